@@ -161,8 +161,10 @@ def number_rows(
     counts = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
     offsets = running_before(counts, keys, "_slot", ["_rows"])
     within = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    # Ranked first: the join then finds the rows already partitioned and sorted by (keys, slot).
     return (
-        slotted.join(offsets, [*keys, "_slot"])
-        .withColumn(SEQ, (F.col("_rows_before") + F.row_number().over(within) - 1).cast("long"))
+        slotted.withColumn(SEQ, F.row_number().over(within))
+        .join(offsets, [*keys, "_slot"])
+        .withColumn(SEQ, (F.col("_rows_before") + F.col(SEQ) - 1).cast("long"))
         .drop("_slot", "_rows_before")
     )

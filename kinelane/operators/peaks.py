@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import half_even, middle
@@ -167,29 +167,31 @@ def _visit(asked: DataFrame, nodes: DataFrame, level: int, fan: int, keys: list[
     idle = F.lit(-1) - F.pmod(F.col("peak"), F.lit(4096))
     rows = asked.withColumn("_active", active).withColumn("node", F.when(active, node).otherwise(idle))
     rows = rows.join(nodes, [*keys, "node"], "left")
-    side = F.col("children")
-    if not down:
-        side = F.filter(
-            side, lambda c: F.when(left, c["id"] < F.col("at")).otherwise(c["id"] > F.col("at"))
-        )
-    rows = rows.withColumn("_side", side)
-    higher = F.filter(F.col("_side"), lambda c: c["hi"] > F.col("v"))
-    pick = F.when(left, F.lit(-1)).otherwise(F.lit(1))
-    rows = rows.withColumn("_hit", F.try_element_at(higher, pick)["id"])
-    hit = F.col("_hit")
-    passed = F.filter(
-        F.col("_side"),
-        lambda c: hit.isNull() | F.when(left, c["id"] > hit).otherwise(c["id"] < hit),
-    )
-    lowest = F.least("lowest", F.array_min(F.transform(passed, lambda c: c["lo"])))
-    moved = F.col("_active")
+    v, at = F.col("v"), F.col("at")
+    nothing = F.struct(F.lit(None).cast("bigint").alias("hit"), F.lit(None).cast("double").alias("low"))
+
+    def step(seen: Column, c: Column) -> Column:
+        """One pass over the children: the nearest higher one so far and the lowest value since."""
+        passed = F.struct(seen["hit"].alias("hit"), F.least(seen["low"], c["lo"]).alias("low"))
+        stop = F.struct(c["id"].alias("hit"), F.lit(None).cast("double").alias("low"))
+        onward = F.struct(c["id"].alias("hit"), seen["low"].alias("low"))
+        to_left = F.when(c["hi"] > v, stop).otherwise(passed)
+        to_right = F.when(seen["hit"].isNotNull(), seen).when(c["hi"] > v, onward).otherwise(passed)
+        moved = F.when(left, to_left).otherwise(to_right)
+        if down:
+            return moved
+        beside = F.when(left, c["id"] < at).otherwise(c["id"] > at)
+        return F.when(beside, moved).otherwise(seen)
+
+    rows = rows.withColumn("_walk", F.aggregate("children", nothing, step))
+    hit, moved = F.col("_walk.hit"), F.col("_active")
     return rows.select(
         *keys,
         "peak",
         "v",
         "side",
-        F.when(moved, F.coalesce(hit, F.col("node"))).otherwise(F.col("at")).alias("at"),
-        F.when(moved, lowest).otherwise(F.col("lowest")).alias("lowest"),
+        F.when(moved, F.coalesce(hit, F.col("node"))).otherwise(at).alias("at"),
+        F.when(moved, F.least("lowest", F.col("_walk.low"))).otherwise(F.col("lowest")).alias("lowest"),
         F.when(moved & hit.isNotNull(), F.lit(level)).otherwise(F.col("found")).alias("found"),
     )
 
@@ -253,7 +255,8 @@ def prominences(
         out["found"] = np.where(np.concatenate([back[1][i], forth[1][i]]), 0, -1).astype("int32")
         return pd.DataFrame(out)
 
-    tops = lanes.tag(peaks.select(*keys, seq))
+    # New aliases keep the two inputs apart when the peaks come from the same rows.
+    tops = lanes.tag(peaks.select(*keys, seq)).select(*[F.col(c).alias(c) for c in [*lanes.group, seq]])
     asked = (
         lanes.tag(samples).groupBy(*lanes.group).cogroup(tops.groupBy(*lanes.group)).applyInPandas(ask, schema)
     ).withColumn("found", F.nullif("found", F.lit(-1)))
@@ -276,7 +279,13 @@ def find_peaks(
     prominence: float | None = None,
     lanes: Lanes = Lanes(),
 ) -> DataFrame:
-    """Peaks that pass the given conditions, applied in this order."""
+    """Peaks that pass the given conditions, applied in this order.
+
+    Prominence reads the samples several times (scan and tree), so they are written down once first.
+    """
+    if prominence is not None:
+        ensure_checkpoints(df.sparkSession)
+        df = df.select(*lanes.keys, lanes.seq, column).checkpoint(eager=True)
     found = local_maxima(df, column, height, lanes)
     if distance is not None:
         found = keep_distance(found, column, distance, lanes)

@@ -1 +1,164 @@
-QUERIES: dict = {}
+"""Learning and scoring queries (results depend on the learner, so they are checked by row counts here
+and by properties in the tests)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinelane.operators.learning import (
+    binary_window_model,
+    cluster,
+    forecaster,
+    forest,
+    forest_search,
+    history,
+    members,
+    multiclass_window_model,
+    project_2d,
+    score_windows,
+    series_means,
+    window_vectors,
+)
+from kinelane.operators.metrics import classification_report, regression_metrics
+from kinelane.operators.scaling import apply_minmax, apply_standard, fit_minmax, fit_standard
+from kinelane.operators.splits import class_weights, random_split
+from kinelane.operators.verdicts import mean_probability, mean_vector
+from kinelane.operators.windows import forecast_windows, segment_features, sliding_windows
+from kinelane.functions.signal import magnitude
+from kinelane.queries import Query
+from kinelane.queries.common import rounded
+from kinelane.schema import AXES, SEQ, SERIES
+from kinelane.sources.recordings import embedding_series, event_series, table
+
+ROW_FEATURES = [*AXES, "acc_magnitude", "gyro_magnitude"]
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight features per sample and a two-class truth."""
+    rows = embedding_series(spark, folder).withColumns(
+        {"acc_magnitude": magnitude(*AXES[:3]), "gyro_magnitude": magnitude(*AXES[3:]), "label": F.col("label") % 2}
+    )
+    return apply_minmax(rows, fit_minmax(rows, ROW_FEATURES), ROW_FEATURES)
+
+
+def _split(df: DataFrame, keys: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
+    parts = random_split(df, keys, stratify=label)
+    return parts.filter("part = 'train'"), parts.filter("part = 'test'")
+
+
+def _report(df: DataFrame) -> DataFrame:
+    return rounded(classification_report(df), ["name", "support"], ["precision", "recall", "f1"])
+
+
+def _forest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _split(_rows(spark, folder), [SERIES, SEQ])
+    model = forest([f"{c}_scaled" for c in ROW_FEATURES], trees=100, depth=10).fit(train)
+    return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
+
+
+def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    rows = embedding_series(spark, folder).withColumn("label", F.col("label") % 2)
+    made = segment_features(rows, label="label", width=5)
+    names = [c for c in made.columns if c.endswith(("_mean", "_std"))]
+    scaled = apply_minmax(made, fit_minmax(made, names), names)
+    return scaled, [f"{c}_scaled" for c in names]
+
+
+def _forest_segments(spark: SparkSession, folder: str) -> DataFrame:
+    scaled, names = _segments(spark, folder)
+    train, test = _split(scaled, [SERIES, "segment"])
+    model = forest(names, trees=50, depth=10, weight="weight").fit(class_weights(train))
+    return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
+
+
+def _forest_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """A small grid, to keep the check short; the operator's default grid is the full one."""
+    scaled, names = _segments(spark, folder)
+    found = forest_search(class_weights(scaled), names, grid={"numTrees": [10, 20], "maxDepth": [5]}, folds=3)
+    rows = [
+        (i, *(int(v) for v in sorted((p.name, v) for p, v in m.items()) for v in v[1:]), float(a))
+        for i, (m, a) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
+    ]
+    return spark.createDataFrame(rows, "candidate int, max_depth int, num_trees int, accuracy double")
+
+
+def _windows(spark: SparkSession, folder: str, classes: int) -> DataFrame:
+    windows = sliding_windows(embedding_series(spark, folder), AXES, 10, 5)
+    return window_vectors(windows).withColumn("label", F.col(SERIES).cast("int") % classes)
+
+
+def _window_binary(spark: SparkSession, folder: str) -> DataFrame:
+    windows = _windows(spark, folder, 2)
+    model = binary_window_model(windows, iterations=20)
+    scored = model.transform(windows).withColumn("p", vector_to_array("probability")[1])
+    return rounded(mean_probability(scored), [SERIES, "windows", "class"], ["score"], 3)
+
+
+def _window_multiclass(spark: SparkSession, folder: str) -> DataFrame:
+    windows = _windows(spark, folder, 4)
+    model = multiclass_window_model(windows, inputs=60, iterations=20)
+    scored = model.transform(windows).withColumn("probs", vector_to_array("probability"))
+    return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 3)
+
+
+def _forecast(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = window_vectors(forecast_windows(event_series(spark, folder), "value"))
+    model = forecaster(pairs, iterations=20)
+    return rounded(regression_metrics(model.transform(pairs), "target", "prediction"), ["n"], ["mae", "huber", "mape"], 3)
+
+
+def _training_history(spark: SparkSession, folder: str) -> DataFrame:
+    windows = _windows(spark, folder, 2)
+    return history(windows, binary_window_model(windows, iterations=10))
+
+
+def _standard_means(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    rows = event_series(spark, folder, "user_id", "event_type")
+    sides = [F.when(F.col("event_type") == t, F.col("value")) for t in ("click", "error", "purchase", "signup", "view")]
+    wide = rows.withColumns({a: F.coalesce(s, F.lit(0.0)) for a, s in zip(AXES, [*sides, F.col("value")])})
+    means = series_means(wide, AXES)
+    return apply_standard(means, fit_standard(means, AXES), AXES), [f"{a}_trans" for a in AXES]
+
+
+def _cluster(spark: SparkSession, folder: str) -> DataFrame:
+    rows, names = _standard_means(spark, folder)
+    return members(cluster(rows, names)[0])
+
+
+def _pca(spark: SparkSession, folder: str) -> DataFrame:
+    rows, names = _standard_means(spark, folder)
+    return rounded(project_2d(rows, names)[0], [SERIES], ["pc1", "pc2"], 4)
+
+
+def _load():
+    def model(batch: np.ndarray) -> np.ndarray:
+        """A fixed linear score per class on the mean of the window."""
+        mean = batch.mean(axis=1)
+        weights = np.linspace(-1.0, 1.0, mean.shape[1] * 4, dtype=np.float32).reshape(mean.shape[1], 4)
+        raw = np.exp(mean @ weights)
+        return raw / raw.sum(axis=1, keepdims=True)
+
+    return model
+
+
+def _score(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's own model on 50-sample windows, then the verdict per series."""
+    scored = score_windows(sliding_windows(embedding_series(spark, folder), AXES, 10, 5), _load)
+    return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 4)
+
+
+QUERIES = {
+    "forest_rows": Query(_forest_rows),
+    "forest_segments": Query(_forest_segments),
+    "forest_grid": Query(_forest_grid),
+    "window_binary": Query(_window_binary),
+    "window_multiclass": Query(_window_multiclass),
+    "forecast": Query(_forecast),
+    "training_history": Query(_training_history),
+    "cluster": Query(_cluster),
+    "pca2": Query(_pca),
+    "score_windows": Query(_score),
+}

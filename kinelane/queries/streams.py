@@ -1 +1,90 @@
-QUERIES: dict = {}
+"""Streaming queries: files as a stream, results in a table of the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinelane.operators.scaling import apply_minmax, fit_minmax
+from kinelane.operators.verdicts import newest_pointer
+from kinelane.queries import Query
+from kinelane.queries.common import EV, r
+from kinelane.schema import SEQ, SERIES
+from kinelane.sources.recordings import event_series, table
+from kinelane.streaming.live import count_windows, detect_motion, pointed_feed, time_windows, to_table
+from kinelane.session import work_path
+
+
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table as a file stream (the pattern keeps a single file or a folder of parts readable)."""
+    schema = table(spark, folder, name).schema
+    pattern = f"{folder}/{name[:-1]}[{name[-1]}].parquet"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(pattern)
+
+
+def _motion(spark: SparkSession, folder: str) -> DataFrame:
+    """Live rows of the newest user, scaled with stored parameters and scored with a stored model."""
+    events = table(spark, folder, "events").withColumn("hour", F.hour("ts").cast("double"))
+    params = fit_minmax(events, ["value", "hour"])
+    train = apply_minmax(events, params, ["value", "hour"]).withColumn("label", (F.col("value") > 50).cast("int"))
+    steps = [
+        VectorAssembler(inputCols=["value_scaled", "hour_scaled"], outputCol="features"),
+        LogisticRegression(labelCol="label", maxIter=20),
+    ]
+    model = Pipeline(stages=steps).fit(train)
+    pointer = newest_pointer(events.select(F.col("user_id").alias("document_id"), F.col("ts").alias("updated_at")))
+    live = _stream(spark, folder, "events").withColumn("hour", F.hour("ts").cast("double"))
+    live = pointed_feed(live, pointer, key="user_id")
+    scored = detect_motion(apply_minmax(live, params, ["value", "hour"]), model)
+    return to_table(scored.select("user_id", "event_id", "message"), "stream-motion")
+
+
+def _count_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered recordings are written as a stream's input and cut into windows as they arrive."""
+    source = work_path(spark, "stream-source")
+    rows = event_series(spark, folder).select(SERIES, SEQ, "value")
+    rows.repartitionByRange(6, SEQ).write.parquet(source)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out = to_table(count_windows(feed, ["value"], 100, 10), "stream-windows")
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v[0])
+    return out.select(
+        SERIES, "window_id", "start", F.size("features").cast("long").alias("samples"), F.round(total, 6).alias("value_sum")
+    )
+
+
+def _time_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly windows every half hour: the 1 s / 100 ms windows of a live sensor at this table's pace.
+
+    Spark sends a window once the watermark has passed its end, so the last ones stay open.
+    """
+    feed = _stream(spark, folder, "events").select(
+        F.col("event_type").alias(SERIES), F.col("ts").cast("timestamp").alias("ts"), "value"
+    )
+    out = time_windows(feed, ["value"], width="1 hour", slide="30 minutes", late="10 minutes")
+    made = to_table(out, "stream-time")
+    return made.select(
+        SERIES, F.unix_micros("start").alias("start_us"), "samples", F.round("value_mean", 5).alias("value_mean"), F.round("value_std", 5).alias("value_std")
+    )
+
+
+QUERIES = {
+    "stream_motion": Query(_motion),
+    "stream_count_windows": Query(
+        _count_windows,
+        f"""
+WITH {EV}, w AS (SELECT series_id, seq AS start FROM ev WHERE seq % 10 = 0 AND seq + 100 <= n)
+SELECT w.series_id, CAST(w.start // 10 AS BIGINT) AS window_id, w.start, count(*) AS samples, {r('sum(x.value)')} AS value_sum
+FROM w JOIN ev x ON x.series_id = w.series_id AND x.seq BETWEEN w.start AND w.start + 99 GROUP BY w.series_id, w.start""",
+    ),
+    "stream_time_windows": Query(
+        _time_windows,
+        f"""
+WITH m AS (SELECT max(epoch_us(ts)) - 600000000 AS mark FROM events),
+x AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 1800000000 * 1800000000, epoch_us(ts) // 1800000000 * 1800000000 - 1800000000]) AS start_us FROM events)
+SELECT series_id, CAST(start_us AS BIGINT) AS start_us, count(*) AS samples, {r('avg(value)', 5)} AS value_mean, {r('stddev_samp(value)', 5)} AS value_std
+FROM x, m WHERE start_us + 3600000000 <= mark // 1000 * 1000 GROUP BY series_id, start_us""",
+    ),
+}

@@ -37,14 +37,14 @@ def count_windows(
     columns: Sequence[str],
     width: int,
     step: int,
-    timeout: str | None = None,
     lanes: Lanes = Lanes(rows=1000),
 ) -> DataFrame:
     """Full windows of ``width`` samples every ``step`` samples, as soon as their last sample is there.
 
     State is kept per lane, not per series: a row goes to every lane whose windows may need it, so one
     busy series is spread over the cluster. A lane's state holds at most its own rows plus ``width - 1``,
-    keyed by position (rows sent again are ignored), and is removed once its last window is out.
+    keyed by position. Once its last window is out only the next start is left, so that rows of a
+    document that is sent again stay ignored.
     """
     keys, seq, rows = list(lanes.keys), lanes.seq, lanes.rows
     columns = list(columns)
@@ -72,8 +72,7 @@ def count_windows(
         at = sorted(held)
         if start < end:
             state.update((start, at, [x for p in at for x in held[p]]))
-        elif not state.exists or held or state.get[0] != start:
-            # Finished lanes keep only their end, so that rows sent again stay ignored.
+        else:
             state.update((start, [], []))
         if out:
             yield pd.DataFrame(out, columns=[*keys, "window_id", "start", "features"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import magnitude
@@ -31,6 +31,36 @@ def moving_average(
     )
 
 
+def _moments(x: Column, w: WindowSpec) -> dict[str, Column]:
+    """Count, mean and central power sums of a running frame, from built-in aggregates."""
+    n, square = F.count(x).over(w), F.var_pop(x).over(w) * F.count(x).over(w)
+    cube = F.skewness(x).over(w) * square * F.sqrt(square) / F.sqrt(n)
+    fourth = (F.kurtosis(x).over(w) + F.lit(3.0)) * square * square / n
+    zero = F.lit(0.0)
+    return {
+        "n": n,
+        "mean": F.coalesce(F.avg(x).over(w), zero),
+        "m2": F.coalesce(square, zero),
+        "m3": F.coalesce(cube, zero),
+        "m4": F.coalesce(fourth, zero),
+    }
+
+
+def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Moments of two disjoint sets of samples together."""
+    na, nb = a["n"].cast("double"), b["n"].cast("double")
+    n = na + nb
+    d = b["mean"] - a["mean"]
+    safe = F.nullif(n, F.lit(0.0))
+    m2 = a["m2"] + b["m2"] + d * d * na * nb / safe
+    m3 = a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (safe * safe)
+    m3 = m3 + F.lit(3.0) * d * (na * b["m2"] - nb * a["m2"]) / safe
+    m4 = a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (safe * safe * safe)
+    m4 = m4 + F.lit(6.0) * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (safe * safe)
+    m4 = m4 + F.lit(4.0) * d * (na * b["m3"] - nb * a["m3"]) / safe
+    return {"n": n, "mean": a["mean"] + d * nb / safe, "m2": m2, "m3": m3, "m4": m4}
+
+
 def rolling(
     df: DataFrame,
     columns: Sequence[str],
@@ -42,31 +72,67 @@ def rolling(
 
     ``ma`` mean, ``std`` sample deviation, ``skew`` and ``kurt`` bias-corrected (a constant window
     gives 0 and -3).
+
+    Cost does not grow with ``width``: positions are cut into blocks of ``width``, and a trailing window is
+    the tail of one block plus the head of the next. Heads and tails are running aggregates; their
+    moments are merged without the cancellation that differences of running sums would bring.
     """
-    frame = lanes.frame(width - 1, 0)
-
-    def one(name: str, stat: str) -> Column:
-        x = F.col(name)
-        if stat == "ma":
-            value = F.avg(x).over(frame)
-        elif stat == "std":
-            value = F.stddev_samp(x).over(frame)
-        elif stat == "skew":
-            scale = F.lit((width * (width - 1)) ** 0.5 / (width - 2)) if width > 2 else F.lit(None)
-            value = F.coalesce(F.skewness(x).over(frame) * scale, F.lit(0.0))
-        elif stat == "kurt":
-            if width > 3:
-                outer = F.lit((width - 1) / ((width - 2) * (width - 3)))
-                value = outer * (F.lit(float(width + 1)) * F.kurtosis(x).over(frame) + F.lit(6.0))
-            else:
-                value = F.lit(None).cast("double")
-            value = F.coalesce(value, F.lit(-3.0))
-        else:
-            raise ValueError(f"unknown rolling statistic {stat!r}")
-        return F.when(F.count(x).over(frame) == width, value)
+    unknown = set(stats) - {"ma", "std", "skew", "kurt"}
+    if unknown:
+        raise ValueError(f"unknown rolling statistics {sorted(unknown)}")
+    block = "_block"
+    inner = Window.partitionBy(*lanes.group, block)
+    upto = (Window.unboundedPreceding, 0)
+    head = inner.orderBy(lanes.seq).rowsBetween(*upto)
+    tail = inner.orderBy(F.col(lanes.seq).desc()).rowsBetween(*upto)
+    along = Window.partitionBy(*lanes.group).orderBy(block, lanes.seq)
+    offset = F.col(lanes.seq) % F.lit(width)
+    parts = ["n", "mean", "m2"] + (["m3", "m4"] if {"skew", "kurt"} & set(stats) else [])
+    w = float(width)
 
-    made = {f"{c}_{s}": one(c, s) for c in columns for s in stats}
-    return lanes.run(df, width - 1, 0, lambda d: d.withColumns(made))
+    def make(d: DataFrame) -> DataFrame:
+        d = d.withColumn(block, F.floor(F.col(lanes.seq) / F.lit(width)).cast("long"))
+        d = d.withColumns({f"_{c}_t_{p}": m for c in columns for p, m in _moments(F.col(c), tail).items() if p in parts})
+        d = d.withColumns({f"_{c}_h_{p}": m for c in columns for p, m in _moments(F.col(c), head).items() if p in parts})
+        # The tail that completes a head starts width - 1 rows earlier; a full head needs none.
+        earlier: dict[str, Column] = {}
+        for c in columns:
+            for p in parts:
+                before = F.lag(f"_{c}_t_{p}", width - 1).over(along)
+                earlier[f"_{c}_e_{p}"] = F.when(offset < width - 1, before).otherwise(F.lit(0.0))
+            changed = F.col(c) != F.lag(c).over(along)
+            earlier[f"_{c}_change"] = F.when(changed | F.lag(c).over(along).isNull(), F.col(lanes.seq))
+        d = d.withColumns(earlier)
+        run = along.rowsBetween(*upto)
+        d = d.withColumns({f"_{c}_since": F.max(f"_{c}_change").over(run) for c in columns})
+        made: dict[str, Column] = {}
+        for c in columns:
+            a = {p: F.col(f"_{c}_e_{p}") if p in parts else F.lit(0.0) for p in ("n", "mean", "m2", "m3", "m4")}
+            b = {p: F.col(f"_{c}_h_{p}") if p in parts else F.lit(0.0) for p in ("n", "mean", "m2", "m3", "m4")}
+            m = _merged(a, b)
+            flat = F.col(lanes.seq) - F.col(f"_{c}_since") >= F.lit(width - 1)
+            m2 = F.nullif(m["m2"], F.lit(0.0))
+            values = {
+                "ma": F.when(flat, F.col(c)).otherwise(m["mean"]),
+                "std": F.when(flat, F.lit(0.0)).otherwise(F.sqrt(m["m2"] / F.lit(w - 1.0))) if width > 1 else None,
+            }
+            if width > 2:
+                scale = (w * (w - 1.0)) ** 0.5 / (w - 2.0) * w**0.5
+                skew = F.lit(scale) * m["m3"] / (m2 * F.sqrt(m2))
+                values["skew"] = F.when(flat, F.lit(0.0)).otherwise(F.coalesce(skew, F.lit(0.0)))
+            if width > 3:
+                outer = (w - 1.0) / ((w - 2.0) * (w - 3.0))
+                kurt = F.lit(outer) * (F.lit((w + 1.0) * w) * m["m4"] / (m2 * m2) - F.lit(3.0 * (w - 1.0)))
+                values["kurt"] = F.when(flat, F.lit(-3.0)).otherwise(F.coalesce(kurt, F.lit(-3.0)))
+            for s in stats:
+                value = values.get(s)
+                full = F.when(m["n"] == w, value) if value is not None else F.lit(None)
+                made[f"{c}_{s}"] = full.cast("double")
+        return d.select("*", *[v.alias(k) for k, v in made.items()])
+
+    kept = [*df.columns, *[f"{c}_{s}" for c in columns for s in stats]]
+    # Whole blocks: a window reaches up to width - 1 rows back, and that row's tail runs to its block's end.
+    return lanes.run(df, width - 1, 0, make).select(*kept)
 
 
 def differences(

@@ -159,7 +159,10 @@ def number_rows(
     ).otherwise(0).cast("long")
     slotted = rows.join(stats, keys).withColumn("_slot", slot).drop("_t", "_lo", "_hi")
     counts = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
-    offsets = running_before(counts, keys, "_slot", ["_rows"])
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(  # one row per slot_rows input rows
+        *keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before")
+    )
     within = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     # Ranked first: the join then finds the rows already partitioned and sorted by (keys, slot).
     return (

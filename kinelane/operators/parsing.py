@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,21 @@ def _halves(line: Column) -> Column:
     return F.size(F.split(line, ";"))
 
 
-def _named(line: Column, key: str) -> Column:
-    """Value of the last item with this name: its whole part and, if there is one, its fraction."""
-    found = F.regexp_extract(line, rf"^(?:.*[,;])?{key}=({FRAGMENT}(?:,{FRAGMENT})?)(?:[,;].*)?$", 1)
-    whole_only = F.regexp_extract(line, rf"^(?:.*[,;])?{key}=({FRAGMENT})(?:[,;].*)?$", 1)
-    value = F.when(found.rlike(rf"^{NUMBER}$"), found).otherwise(whole_only)
-    return F.trim(F.replace(value, F.lit(","), F.lit(".")))
+def _starts(name: str) -> Callable[[Column], Column]:
+    return lambda item: item.startswith(f"{name}=")
+
+
+def _items(line: Column) -> Column:
+    """Items of both halves, fractions joined to their whole part so that each is ``key=value``."""
+    joined = F.regexp_replace(line, r"(=\s*[+-]?\d*),(\d*(?:[eE][+-]?\d+)?\s*(?:[,;]|$))", "$1.$2")
+    return F.split(joined, "[,;]")
 
 
-def tolerant_columns(line: Column) -> dict[str, Column]:
-    made = {}
-    for name in PROFILES["P8_RAW"]:
-        made[name] = _named(line, name).try_cast("bigint" if name.startswith("timestamp") else "double")
-    return made
+def _value(items: Column, name: str) -> Column:
+    """Value by name; of two items with the same name the later one counts."""
+    last = F.try_element_at(F.filter(items, _starts(name)), F.lit(-1))
+    text = F.trim(F.substring_index(last, "=", -1))
+    return text.try_cast("bigint" if name.startswith("timestamp") else "double")
 
 
 def _has_item(line: Column) -> Column:
@@ -61,7 +65,8 @@ def tolerant_reason(line: Column) -> Column:
 def parse_tolerant(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
     """``(recordings, rejects)``: missing keys become NULL, malformed lines are rejected with a reason."""
     text = F.col(line)
-    good = lines.filter(tolerant_ok(text)).withColumns(tolerant_columns(text)).drop(line)
+    split = lines.filter(tolerant_ok(text)).withColumn("_items", _items(text))
+    good = split.withColumns({c: _value(F.col("_items"), c) for c in PROFILES["P8_RAW"]}).drop(line, "_items")
     bad = lines.withColumn("reason", tolerant_reason(text)).filter(F.col("reason").isNotNull())
     return good, bad.select(SERIES, SEQ, F.col(line).alias("line"), "reason")
 

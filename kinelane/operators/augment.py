@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +124,16 @@ def resample_cubic(
     keys, seq, rows = list(lanes.keys), lanes.seq, lanes.rows
     columns = list(columns)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, lane = int(pdf[LENGTH].iloc[0]), int(pdf[LANE].iloc[0])
+    def one(rows_in: pa.Table) -> pa.Table:
+        n, lane = rows_in.column(LENGTH)[0].as_py(), rows_in.column(LANE)[0].as_py()
         steps = factor * n - 1
         own_lo, own_hi = lane * rows, min((lane + 1) * rows, n - 1)
         if own_lo >= own_hi:  # the previous lane already reaches the end of the series
-            return pdf.loc[pdf.index[:0], [*keys, seq, LENGTH, *columns]]
-        pdf = pdf.sort_values(seq)
-        base = int(pdf[seq].iloc[0])
-        y = pdf[columns].to_numpy(dtype=float)
+            return rows_in.slice(0, 0).select([*keys, seq, LENGTH, *columns])
+        position = rows_in.column(seq).to_numpy()
+        order = np.argsort(position)
+        base = int(position[order[0]])
+        y = np.column_stack([rows_in.column(c).to_numpy()[order] for c in columns])
         second = _spline_second(y, base == 0, base + len(y) == n)
         k_lo = -(-own_lo * steps // (n - 1))
         k_hi = factor * n if own_hi == n - 1 else -(-own_hi * steps // (n - 1))
@@ -142,15 +143,17 @@ def resample_cubic(
         i = cell - base
         a = 1.0 - t
         value = a * y[i] + t * y[i + 1] + ((a**3 - a) * second[i] + (t**3 - t) * second[i + 1]) / 6.0
-        out = {key: [pdf[key].iloc[0]] * len(k) for key in keys}
-        return pd.DataFrame({**out, seq: k, LENGTH: factor * n, **{c: value[:, j] for j, c in enumerate(columns)}})
+        made = {key: pa.repeat(rows_in.column(key)[0], len(k)) for key in keys}
+        made |= {seq: pa.array(k), LENGTH: pa.array(np.full(len(k), factor * n, dtype=np.int64))}
+        return pa.table({**made, **{c: pa.array(value[:, j]) for j, c in enumerate(columns)}})
 
     types = dict(df.dtypes)
     schema = ", ".join(
         [*[f"`{k}` {types[k]}" for k in keys], f"`{seq}` bigint", f"{LENGTH} bigint", *[f"`{c}` double" for c in columns]]
     )
-    ready = lanes.with_length(df).filter(F.col(LENGTH) >= 4).select(*keys, seq, LENGTH, *columns)
-    return lanes.spread(ready, SPLINE_HALO, SPLINE_HALO).groupBy(*lanes.group).applyInPandas(one, schema)
+    axes = [F.col(c).cast("double").alias(c) for c in columns]
+    ready = lanes.with_length(df).filter(F.col(LENGTH) >= 4).select(*keys, seq, LENGTH, *axes)
+    return lanes.spread(ready, SPLINE_HALO, SPLINE_HALO).groupBy(*lanes.group).applyInArrow(one, schema)
 
 
 def resample(

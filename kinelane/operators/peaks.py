@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +72,11 @@ def local_maxima(df: DataFrame, column: str, height: float | None = None, lanes:
 def _decide(keys: list[str], seq: str, distance: int, rows: int, halo: int):
     """Greedy choice on one lane and its halo, leaving open what depends on peaks beyond the halo."""
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        at, x = pdf[seq].to_numpy(), pdf["_x"].to_numpy()
-        state = pdf["_state"].to_numpy().copy()  # 0 undecided, 1 kept, 2 dropped, 3 unknown here
-        lane = int(pdf[LANE].iloc[0])
+    def decide(zone: pa.Table) -> pa.Table:
+        zone = zone.take(pa.array(np.argsort(zone.column(seq).to_numpy())))
+        at, x = zone.column(seq).to_numpy(), zone.column("_x").to_numpy()
+        state = zone.column("_state").to_numpy().copy()  # 0 undecided, 1 kept, 2 dropped, 3 unknown here
+        lane = zone.column(LANE)[0].as_py()
         low, high = lane * rows - halo, (lane + 1) * rows - 1 + halo
         near_edge = ((at - distance + 1 < low) & (low > 0)) | (at + distance - 1 > high)
         first = np.searchsorted(at, at - distance, side="right")
@@ -96,10 +96,9 @@ def _decide(keys: list[str], seq: str, distance: int, rows: int, halo: int):
                 around[around != 1] = 2
                 state[i] = 1
             settled[i] = True
-        own = (at >= lane * rows) & (at < (lane + 1) * rows) & (state != 2)
-        out = pdf.loc[own, [*keys, seq, "_x"]].copy()
-        out["_state"] = np.where(state[own] == 1, 1, 0).astype("int32")
-        return out
+        own = pa.array((at >= lane * rows) & (at < (lane + 1) * rows) & (state != 2))
+        kept = zone.select([*keys, seq, "_x"]).append_column("_state", pa.array((state == 1).astype("int32")))
+        return kept.filter(own)
 
     return decide
 
@@ -126,7 +125,7 @@ def keep_distance(peaks: DataFrame, column: str, distance: int, lanes: Lanes = L
         states = (
             zone.spread(states, halo, halo)
             .groupBy(*zone.group)
-            .applyInPandas(_decide(keys, seq, distance, rows, halo), schema)
+            .applyInArrow(_decide(keys, seq, distance, rows, halo), schema)
             .checkpoint(eager=True)
         )
         open_left = not states.filter("_state = 0").isEmpty()
@@ -238,27 +237,26 @@ def prominences(
             stack.append((value, low))
         return lowest, found
 
-    def ask(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        x, base = rows[column].to_numpy(), int(rows[seq].iloc[0])
-        at = tops[seq].to_numpy()
-        i = at - base
-        if not len(at):
-            x = x[:0]
+    def ask(rows: pa.Table, tops: pa.Table) -> pa.Table:
+        at = tops.column(seq).to_numpy()
+        position = rows.column(seq).to_numpy()
+        x = rows.column(column).to_numpy()[np.argsort(position)] if len(at) else np.empty(0)
+        i = at - position.min() if len(at) else at
         back, forth = scan(x), tuple(a[::-1] for a in scan(x[::-1]))
-        out = {k: np.concatenate([tops[k].to_numpy()] * 2) for k in keys}
-        out["peak"] = np.concatenate([at, at])
-        out["v"] = np.concatenate([x[i], x[i]])
-        out["side"] = np.repeat(np.array([-1, 1], dtype="int32"), len(i))
-        out["at"] = np.concatenate([tops[LANE].to_numpy()] * 2)
-        out["lowest"] = np.concatenate([back[0][i], forth[0][i]])
-        out["found"] = np.where(np.concatenate([back[1][i], forth[1][i]]), 0, -1).astype("int32")
-        return pd.DataFrame(out)
+        both = pa.concat_tables([tops, tops])
+        made = {k: both.column(k) for k in keys}
+        made["peak"] = both.column(seq)
+        made["v"] = pa.array(np.concatenate([x[i], x[i]]))
+        made["side"] = pa.array(np.repeat(np.array([-1, 1], dtype="int32"), len(i)))
+        made["at"] = both.column(LANE)
+        made["lowest"] = pa.array(np.concatenate([back[0][i], forth[0][i]]))
+        made["found"] = pa.array(np.where(np.concatenate([back[1][i], forth[1][i]]), 0, -1).astype("int32"))
+        return pa.table(made)
 
     # New aliases keep the two inputs apart when the peaks come from the same rows.
     tops = lanes.tag(peaks.select(*keys, seq)).select(*[F.col(c).alias(c) for c in [*lanes.group, seq]])
     asked = (
-        lanes.tag(samples).groupBy(*lanes.group).cogroup(tops.groupBy(*lanes.group)).applyInPandas(ask, schema)
+        lanes.tag(samples).groupBy(*lanes.group).cogroup(tops.groupBy(*lanes.group)).applyInArrow(ask, schema)
     ).withColumn("found", F.nullif("found", F.lit(-1)))
     tree = _tree(samples, column, lanes, fan, depth)
     for level in range(1, depth + 1):

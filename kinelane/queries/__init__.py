@@ -17,6 +17,7 @@ def all_queries() -> dict[str, Query]:
     from kinelane.queries import (
         aggregates,
         augmentation,
+        files,
         frames,
         learning,
         lines,
@@ -27,6 +28,6 @@ def all_queries() -> dict[str, Query]:
     )
 
     found: dict[str, Query] = {}
-    for module in (lines, frames, windows, peaks, scaling, aggregates, augmentation, learning, streams):
+    for module in (lines, frames, windows, peaks, scaling, aggregates, augmentation, files, learning, streams):
         found.update(module.QUERIES)
     return found

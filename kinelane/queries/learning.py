@@ -45,7 +45,7 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split(df: DataFrame, keys: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
-    parts = random_split(df, keys, stratify=label)
+    parts = random_split(df, keys, stratify=label).persist()
     return parts.filter("part = 'train'"), parts.filter("part = 'test'")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,6 +99,46 @@ def scan_recordings(
     return Scan(recordings, per_series.filter(F.col("reason").isNotNull()).select(SERIES, "reason"))
 
 
+def scan_written(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Recordings as ``write_recordings`` left them: ``series_id=<name>/part=<k>/*.csv``.
+
+    Order inside a recording is (part, split of the file, row of the split), so even a recording of many
+    large parts is numbered from counts per split.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+    location = F.col("_metadata.file_path")
+    series = F.url_decode(F.regexp_extract(location, r"series_id=([^/]*)/", 1))
+    rows = raw.select(
+        F.url_decode(series).alias(SERIES),
+        F.regexp_extract(location, r"/part=(\d+)/", 1).cast("long").alias("_part"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line"),
+    )
+    header = F.lit(",".join(columns))
+    rows = rows.filter((F.col("_split") > 0) | (F.col("line") != header))
+    counts = rows.groupBy(SERIES, "_part", "_split").agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy(SERIES)
+    earlier = whole.orderBy("_part", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(  # one row per split of a file
+        SERIES, "_part", "_split",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(whole).alias(LENGTH),
+    )
+    within = Window.partitionBy(SERIES, "_part", "_split").orderBy("_id")
+    cells = F.split("line", ",", -1)
+    return (
+        rows.withColumn("_k", F.row_number().over(within))
+        .join(offsets, [SERIES, "_part", "_split"])
+        .select(
+            SERIES,
+            (F.col("_before") + F.col("_k") - 1).cast("long").alias(SEQ),
+            LENGTH,
+            *[cells[i].try_cast(column_type(c).simpleString()).alias(c) for i, c in enumerate(columns)],
+        )
+    )
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -52,6 +52,12 @@ def labelled_windows(
 
 
 class Trained(NamedTuple):
+    """A fitted model, its scaler, and the scored test part.
+
+    The split table is kept (memory and disk) because fitting reads it many times and the test part reads
+    it again; ``test.unpersist`` has no effect on it, ``spark.catalog.clearCache()`` frees it.
+    """
+
     model: PipelineModel
     scaler: DataFrame
     test: DataFrame
@@ -60,7 +66,7 @@ class Trained(NamedTuple):
 def train_windows(recordings: DataFrame, width: int = 50, step: int = 10, classes: int = 4, iterations: int = 100) -> Trained:
     """Four-class window model on 80 % of the windows; the rest comes back scored."""
     windows = window_vectors(labelled_windows(recordings, width, step))
-    parts = random_split(windows, [SERIES, "window_id"])
+    parts = random_split(windows, [SERIES, "window_id"]).persist()
     model = multiclass_window_model(
         parts.filter("part = 'train'"), inputs=width * len(FEATURES_11), classes=classes, iterations=iterations
     )
@@ -89,7 +95,8 @@ def train_rows(recordings: DataFrame, label_column: str = "label", trees: int =
 
     The scaler is fitted on the training rows; ``fit_on_all`` fits it before the split instead.
     """
-    rows = random_split(row_features(recordings), [SERIES, SEQ], stratify=label_column)
+    features = row_features(recordings).select(SERIES, SEQ, label_column, *ROW_FEATURES)
+    rows = random_split(features, [SERIES, SEQ], stratify=label_column).persist()
     train = rows.filter("part = 'train'")
     scaler = fit_minmax(rows if fit_on_all else train, ROW_FEATURES)
     scaled = [f"{c}_scaled" for c in ROW_FEATURES]
@@ -111,7 +118,7 @@ def train_segments(
     smoothed = savgol(recordings, AXES, smooth, suffix="")
     segments = segment_features(smoothed, label=label_column, width=width)
     names = [c for c in segments.columns if c.endswith(("_mean", "_std"))]
-    parts = random_split(segments, [SERIES, "segment"], stratify="label")
+    parts = random_split(segments, [SERIES, "segment"], stratify="label").persist()
     train = parts.filter("part = 'train'")
     scaler = fit_minmax(train, names)
     scaled = [f"{c}_scaled" for c in names]

@@ -30,14 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     A machine-local folder is made only for a local master, where driver and executors share it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="kinelane-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="kinelane-"))
+    return context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -90,7 +90,9 @@ def row_features(recordings: DataFrame, width: int = 101) -> DataFrame:
     )
 
 
-def train_rows(recordings: DataFrame, label_column: str = "label", trees: int = 100, fit_on_all: bool = False) -> Trained:
+def train_rows(
+    recordings: DataFrame, label_column: str = "label", trees: int = 100, depth: int = 30, fit_on_all: bool = False
+) -> Trained:
     """Forest on eight scaled features per sample, stratified 80/20.
 
     The scaler is fitted on the training rows; ``fit_on_all`` fits it before the split instead.
@@ -100,7 +102,7 @@ def train_rows(recordings: DataFrame, label_column: str = "label", trees: int =
     train = rows.filter("part = 'train'")
     scaler = fit_minmax(rows if fit_on_all else train, ROW_FEATURES)
     scaled = [f"{c}_scaled" for c in ROW_FEATURES]
-    model = forest(scaled, label_column, trees=trees).fit(apply_minmax(train, scaler, ROW_FEATURES))
+    model = forest(scaled, label_column, trees=trees, depth=depth).fit(apply_minmax(train, scaler, ROW_FEATURES))
     return Trained(model, scaler, model.transform(apply_minmax(rows.filter("part = 'test'"), scaler, ROW_FEATURES)))
 
 

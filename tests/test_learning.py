@@ -156,7 +156,7 @@ def test_window_model_end_to_end(spark):
 
 def test_row_and_segment_forests(spark):
     rows = _recordings(spark)
-    trained = train_rows(rows, trees=5)
+    trained = train_rows(rows, trees=5, depth=5)
     votes = {r.series_id: r["class"] for r in row_verdicts(rows, trained.model, trained.scaler).collect()}
     truth = {r.series_id: r.label for r in rows.select("series_id", "label").distinct().collect()}
     assert np.mean([truth[k] == v for k, v in votes.items()]) > 0.8

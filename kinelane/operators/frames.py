@@ -182,10 +182,12 @@ def running_sum(df: DataFrame, columns: dict[str, str], lanes: Lanes = Lanes())
     totals = tagged.groupBy(*lanes.group).agg(*[F.sum(c).alias(c) for c in names])
     offsets = running_before(totals, lanes.keys, LANE, names)
     upto = lanes.window.rowsBetween(Window.unboundedPreceding, 0)
+    # Summed first: the join then finds the rows partitioned and sorted by (series, lane).
+    local = tagged.withColumns({f"_in_{c}": F.sum(c).over(upto) for c in names})
     return (
-        tagged.join(offsets, lanes.group)
-        .withColumns({columns[c]: F.sum(c).over(upto) + F.col(f"{c}_before") for c in names})
-        .drop(LANE, *[f"{c}_before" for c in names])
+        local.join(offsets, lanes.group)
+        .withColumns({columns[c]: F.col(f"_in_{c}") + F.col(f"{c}_before") for c in names})
+        .drop(LANE, *[f"{c}_before" for c in names], *[f"_in_{c}" for c in names])
     )
 
 

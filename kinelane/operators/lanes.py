@@ -16,11 +16,31 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinelane.schema import LENGTH, SEQ, SERIES
+from kinelane.session import ensure_checkpoints
 
 # Below 4,096 rows Spark's window operator keeps a group in plain memory, so lane + halo stays under.
 LANE_ROWS = 3584
 SLOT_ROWS = 1 << 20
 LANE = "_lane"
+# A table of at most this many rows of a few numbers (some 20 MB) may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def settle(small: DataFrame) -> tuple[DataFrame, bool]:
+    """Write an aggregate down and say whether it is small enough to broadcast.
+
+    Spark cannot know the size of an aggregate before it runs, so it would shuffle the large side of a join
+    even for a handful of groups. The aggregate is needed anyway; measuring it first avoids that shuffle.
+    """
+    ensure_checkpoints(small.sparkSession)
+    fixed = small.checkpoint(eager=True)
+    return fixed, fixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with an aggregate: by broadcast if its measured size allows, else by shuffle."""
+    fixed, fits = settle(small)
+    return rows.join(F.broadcast(fixed) if fits else fixed, list(keys), how)
 
 
 @dataclass(frozen=True)
@@ -72,22 +92,22 @@ class Lanes:
         """One shuffle: spread, apply ``step`` (any number of lane windows), keep owned rows."""
         return self.keep(step(self.spread(df, before, after)))
 
-    def attach(self, df: DataFrame, stats: DataFrame, lane_tagged: bool = False) -> DataFrame:
+    def attach(self, df: DataFrame, stats: DataFrame) -> DataFrame:
         """Add one-row-per-series ``stats`` (with its ``n``) to the rows.
 
-        The statistics are repeated once per lane and joined on ``(series, lane)``: a long series is
-        spread over many join partitions, and a later lane window reuses the same partitioning.
+        Few series: broadcast, rows do not move. Many: the statistics are repeated once per lane and joined
+        on ``(series, lane)``, so that a long series is spread over many join partitions.
         """
-        rows = df if lane_tagged else self.tag(df)
+        fixed, fits = settle(stats)
+        known = fixed.drop(LENGTH) if LENGTH in df.columns else fixed
+        if fits:
+            return df.join(F.broadcast(known), list(self.keys))
         lanes = F.sequence(
             F.lit(0).cast("long"),
             F.floor((F.greatest(F.col(LENGTH), F.lit(1)) - 1) / F.lit(self.rows)).cast("long"),
         )
-        keyed = stats.withColumn(LANE, F.explode(lanes))
-        if LENGTH in df.columns:
-            keyed = keyed.drop(LENGTH)
-        joined = rows.join(keyed, self.group, "inner")
-        return joined if lane_tagged else joined.drop(LANE)
+        keyed = fixed.withColumn(LANE, F.explode(lanes)).select(*known.columns, LANE)
+        return self.tag(df).join(keyed, self.group).drop(LANE)
 
     def with_length(self, df: DataFrame) -> DataFrame:
         """Add ``n`` where a source did not provide it (positions are dense, so n = count)."""
@@ -142,32 +162,49 @@ def number_rows(
 ) -> DataFrame:
     """Add dense positions ``seq`` and the length ``n`` for rows ordered by ``order``.
 
-    ``order[0]`` (number, date or timestamp) cuts a long series into slots of about ``slot_rows``
-    rows; positions are the slot's offset plus the rank inside the slot. Short series have one slot.
-    ``order`` must be a total order within a series, so that reruns give the same positions.
+    Series of up to ``slot_rows`` rows are ranked as they are. For longer ones (there are at most
+    rows / slot_rows of them, found by a first aggregate) ``order[0]`` (number, date or timestamp) cuts the
+    series into slots of about ``slot_rows`` rows; positions are the rank inside the slot plus the rows of
+    earlier slots. One shuffle of the rows either way. ``order`` must be a total order within a series, so
+    that reruns give the same positions.
     """
     keys = list(keys)
     rows = df.withColumn("_t", _as_number(df, order[0]))
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").alias(LENGTH), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")
+    long, few = settle(
+        rows.groupBy(*keys)
+        .agg(F.count("*").alias(LENGTH), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        .filter(F.col(LENGTH) > slot_rows)
     )
+    ordering = [F.col(c).asc_nulls_first() for c in order]
+    if long.isEmpty():
+        return rows.drop("_t").withColumns(
+            {
+                SEQ: (F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)) - 1).cast("long"),
+                LENGTH: F.count("*").over(Window.partitionBy(*keys)),
+            }
+        )
+    hint = F.broadcast if few else (lambda d: d)
     slots = F.ceil(F.col(LENGTH) / F.lit(slot_rows))
     share = (F.col("_t") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
     slot = F.when(
-        (slots > 1) & (F.col("_hi") > F.col("_lo")) & F.col("_t").isNotNull(),
-        F.least(F.floor(share * slots), slots - 1),
+        (F.col("_hi") > F.col("_lo")) & F.col("_t").isNotNull(), F.least(F.floor(share * slots), slots - 1)
     ).otherwise(0).cast("long")
-    slotted = rows.join(stats, keys).withColumn("_slot", slot).drop("_t", "_lo", "_hi")
-    counts = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
+    slotted = rows.join(hint(long), keys, "left").withColumn("_slot", slot).drop("_t", "_lo", "_hi")
+    counts = slotted.filter(F.col(LENGTH).isNotNull()).groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(  # one row per slot_rows input rows
-        *keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before")
+    offsets = counts.select(  # one row per slot of a long series
+        *keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(*keys, "_slot")
+    # Ranked first: a join by shuffle then finds the rows partitioned and sorted by (keys, slot).
+    ranked = slotted.withColumns(
+        {
+            SEQ: F.row_number().over(inside.orderBy(*ordering)),
+            LENGTH: F.coalesce(LENGTH, F.count("*").over(inside)),
+        }
     )
-    within = Window.partitionBy(*keys, "_slot").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    # Ranked first: the join then finds the rows already partitioned and sorted by (keys, slot).
     return (
-        slotted.withColumn(SEQ, F.row_number().over(within))
-        .join(offsets, [*keys, "_slot"])
-        .withColumn(SEQ, (F.col("_rows_before") + F.col(SEQ) - 1).cast("long"))
-        .drop("_slot", "_rows_before")
+        join_small(ranked, offsets, [*keys, "_slot"], "left")
+        .withColumn(SEQ, (F.coalesce("_before", F.lit(0)) + F.col(SEQ) - 1).cast("long"))
+        .drop("_slot", "_before")
     )

@@ -258,11 +258,17 @@ def prominences(
     asked = (
         lanes.tag(samples).groupBy(*lanes.group).cogroup(tops.groupBy(*lanes.group)).applyInArrow(ask, schema)
     ).withColumn("found", F.nullif("found", F.lit(-1)))
-    tree = _tree(samples, column, lanes, fan, depth)
-    for level in range(1, depth + 1):
-        asked = _visit(asked, tree[level], level, fan, keys, down=False)
-    for level in range(depth - 1, -1, -1):
-        asked = _visit(asked, tree[level], level, fan, keys, down=True)
+    if depth > 0:
+        # Written down, so that the few open questions can go on alone without a second scan.
+        ensure_checkpoints(df.sparkSession)
+        asked = asked.checkpoint(eager=True)
+        answered, asked = asked.filter(F.col("found") == 0), asked.filter(F.isnull("found"))
+        tree = _tree(samples, column, lanes, fan, depth)
+        for level in range(1, depth + 1):
+            asked = _visit(asked, tree[level], level, fan, keys, down=False)
+        for level in range(depth - 1, -1, -1):
+            asked = _visit(asked, tree[level], level, fan, keys, down=True)
+        asked = answered.unionByName(asked)
     out = asked.groupBy(*keys, F.col("peak").alias(seq)).agg(
         F.any_value("v").alias(column), (F.any_value("v") - F.max("lowest")).alias("prominence")
     )

@@ -7,40 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelane.operators.lanes import join_small, settle
+
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], slots: int = 4096
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, as ``(keys, p, value)`` rows.
 
-    Values are first counted per distinct value and placed in ``slots`` equal ranges of the group. Only
-    slots that hold a wanted rank are cut again into ``slots`` ranges, and only the wanted ones of those
-    are put in order: about rows / slots**2 of a smooth group, and repeated values weigh nothing.
+    A histogram of ``slots`` equal ranges per group is counted (partial sums, tiny shuffle). Only rows of
+    slots that hold a wanted rank go on and are cut again into ``slots`` ranges; of the wanted ones of those
+    the distinct values are counted and put in order. That is about rows / slots**2 of a smooth group, and
+    a value that repeats weighs nothing.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-    counted = counted.agg(F.count("*").alias("_c"))
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    totals = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")))[0]
     wanted = totals.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"))
     wanted = wanted.withColumn("_at", F.col("p") * (F.col("_n") - 1).cast("double"))
-    ranks = wanted.select(
+    ranks = wanted.select(  # a few per group
         *keys, F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank")
     ).distinct()
 
-    rows = counted.withColumn("_before", F.lit(0).cast("long"))
+    rows = rows.withColumn("_before", F.lit(0).cast("long"))
     group = list(keys)
     for level in range(2):
         slot = f"_s{level}"
         bounds = rows.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
         placed = (
-            rows.join(bounds, group)
+            join_small(rows, bounds, group)
             .withColumn(
                 slot, F.coalesce(F.least(F.floor(share * F.lit(slots)), F.lit(slots - 1)), F.lit(0)).cast("long")
             )
             .drop("_lo", "_hi")
         )
-        sizes = placed.groupBy(*group, slot).agg(F.sum("_c").alias("_t"), F.max("_before").alias("_base"))
+        sizes = placed.groupBy(*group, slot).agg(F.count("*").alias("_t"), F.max("_before").alias("_base"))
         w = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
         # At most ``slots`` rows per group.
         spans = sizes.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_t").over(w), F.lit(0)))
@@ -49,9 +51,10 @@ def exact_quantiles(
         )
         group = [*group, slot]
         hit = hit.groupBy(*group).agg(F.max("_base").alias("_base"))
-        rows = placed.drop("_before").join(hit, group).withColumnRenamed("_base", "_before")
+        rows = join_small(placed.drop("_before"), hit, group).withColumnRenamed("_base", "_before")
+    counted = rows.groupBy(*group, "_v").agg(F.count("*").alias("_c"), F.max("_before").alias("_before"))
     w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = rows.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    ordered = counted.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
     picked = ordered.join(ranks, keys).filter(
         (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c"))
     ).select(*keys, "_rank", "_v")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelane.operators.lanes import join_small
+
 PREFIX = 3  # hex digits: 4,096 even buckets
 
 
@@ -44,7 +46,7 @@ def _cuts(df: DataFrame, by: list[str], shares: Sequence[float], digest: Column)
     )
     in_bucket = Window.partitionBy(*by, "_b").orderBy("_d")
     picked = (
-        hashed.join(wanted.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
+        join_small(hashed, wanted.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
         .withColumn("_k", F.row_number().over(in_bucket))
         .join(wanted, [*by, "_b", "_k"])
     )
@@ -70,7 +72,7 @@ def random_split(
     rows = df if stratify else df.withColumn("_all", F.lit(1))
     rows = rows.withColumn("_d", _digest(keys, seed))
     cuts = _cuts(rows.drop("_d"), by, shares, _digest(keys, seed))
-    joined = rows.join(cuts, by)
+    joined = join_small(rows, cuts, by)
     chain: Column | None = None
     for i, name in enumerate(names[:-1]):
         hit = F.col("_d") <= F.col(f"cut{i}")
@@ -87,4 +89,4 @@ def class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -
     weights = counts.join(F.broadcast(total), how="cross").select(
         label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(weight)
     )
-    return df.join(weights, label)
+    return join_small(df, weights, [label])

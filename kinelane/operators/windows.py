@@ -187,7 +187,7 @@ def concatenate(
         F.sum("_t").over(Window.partitionBy(F.lit(1))).alias("_all"),
     )
     inside = Window.partitionBy("_b").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.join(offsets, "_b").select(
+    placed = sizes.join(F.broadcast(offsets), "_b").select(
         *keys,
         LENGTH,
         (F.col("_before") + F.coalesce(F.sum(LENGTH).over(inside), F.lit(0))).alias("_offset"),

@@ -52,8 +52,9 @@ def _lines_of_large_files(spark: SparkSession, path: str) -> DataFrame:
     counts = rows.groupBy(SERIES, "_split").agg(F.count("*").alias("_rows"))
     offsets = running_before(counts, [SERIES], "_split", ["_rows"])
     w = Window.partitionBy(SERIES, "_split").orderBy("_id")
-    return rows.join(offsets, [SERIES, "_split"]).select(
-        SERIES, (F.col("_rows_before") + F.row_number().over(w) - 1).alias("line_no"), "line"
+    ranked = rows.withColumn("_k", F.row_number().over(w))
+    return ranked.join(offsets, [SERIES, "_split"]).select(
+        SERIES, (F.col("_rows_before") + F.col("_k") - 1).alias("line_no"), "line"
     )
 
 

@@ -11,9 +11,9 @@ from kinelane.functions.text import trim_ws
 from kinelane.schema import AXES, PROFILES, SEQ, SERIES
 
 NUMBER = r"\s*[+-]?(?:\d+,\d*|,\d+)(?:[eE][+-]?\d+)?\s*"
-FRAGMENT = r"[^=,;]*"
+FRAGMENT = r"[^=,;]*+"  # possessive: what it stops at never belongs to it
 # key=int,fraction (which must be a number) or key=anything; after a nameless key fragments are ignored.
-ELEMENT = rf"(?:[^=,;]+={NUMBER}|[^=,;]+={FRAGMENT}|={FRAGMENT}(?:,{FRAGMENT})*)"
+ELEMENT = rf"(?:[^=,;]++={NUMBER}|[^=,;]++={FRAGMENT}|={FRAGMENT}(?:,{FRAGMENT})*)"
 HALF = rf"(?:{FRAGMENT},)*(?:{ELEMENT}(?:,{ELEMENT})*|{FRAGMENT})"
 TOLERANT = rf"^{HALF};{HALF}$"
 PAIR = r"[^=,;]*=\s*[+-]?\d+,\d+"

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinelane.llm.common import read
 from kinelane.llm.packing import best_fit
+from kinelane.llm.passages import remove_earlier_passages
 from kinelane.llm.piece_codec import digests, encode_pieces
+from kinelane.llm.quality import COUNTS, quality_rules
+from kinelane.llm.simhash import near_duplicates
 from kinelane.llm.token_counts import count_tokens
 
 
@@ -16,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"), shingle=3, distance=3)
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(read(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -24,6 +31,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
 def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return encode_pieces(
         read(spark, folder, "documents"),
@@ -33,5 +45,9 @@ def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_best_fit_packing, op8_piece_codec)}
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_earlier_passages(read(spark, folder, "documents"), width=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op7_quality_rules, op8_piece_codec, op10_passages)}
 SQL: dict[str, str] = {}

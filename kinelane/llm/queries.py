@@ -11,6 +11,7 @@ from kinelane.llm.piece_codec import digests, encode_pieces
 from kinelane.llm.quality import COUNTS, quality_rules
 from kinelane.llm.simhash import near_duplicates
 from kinelane.llm.token_counts import count_tokens
+from kinelane.llm.toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +32,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")
@@ -49,5 +55,5 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return remove_earlier_passages(read(spark, folder, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op7_quality_rules, op8_piece_codec, op10_passages)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op6_toxicity, op7_quality_rules, op8_piece_codec, op10_passages)}
 SQL: dict[str, str] = {}

@@ -9,21 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelane.llm.common import small, text_of
-from kinelane.llm.rolling import _BYTE, _ROOT, SEGMENT, _between, _prefix, mix
+from kinelane.llm.common import small, stored, text_of
+from kinelane.llm.rolling import _BYTE, _ROOT, SEGMENT, _between, _prefix, mix, window_hashes
 
 #: Labelled documents the model is fitted on, at most: those with the least hash of their id.
 TRAIN_ROWS = 24_000
 #: Token statistics the model keeps, at most (the most frequent), and the least documents for one to be kept.
 MODEL_ROWS, LEAST = 400_000, 3
 #: Prior weights, in documents: of a prefix for its longer prefix or word, and of the overall rate for a prefix.
-PRIOR = 4.0
+PRIOR = 20.0
 #: Taken off every token, so that ordinary text drifts down and segments end.
 DRIFT = 0.25
 PREFIXES = (4, 6)
+#: Standard errors by which positive log-odds are lowered, so that rare tokens do not pass for toxic ones.
+CAUTION = 1.5
 PREDICTED = 0.7
 #: Evidence (nats) beyond which a document is no more certain for the calibration.
-EVIDENCE = 20.0
+EVIDENCE = 40.0
+TAIL = 0.98
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(97, 123), *range(0x80, 0x100)]] = True
@@ -122,7 +125,7 @@ def log_odds(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     """Scores from document counts (hash, hash of the level above, toxic, clean) of each level, shortest first.
 
     The rate of a token has a Dirichlet prior of weight PRIOR around the rate of its prefix, whose own prior is around
-    the overall rate; the score is the posterior log-odds against the overall odds.
+    the overall rate; the score is the posterior log-odds against the overall odds, where positive at their lower bound.
     """
     overall = (toxic + 1) / (toxic + clean + 2)
     base = np.log(overall / (1 - overall))
@@ -136,7 +139,9 @@ def log_odds(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
         order = np.argsort(own)
         keys.append(own[order])
         rates.append(rate[order])
-        scores.append((np.log(rate / (1 - rate)) - base)[order])
+        odds = np.log(rate / (1 - rate)) - base
+        error = np.sqrt(1 / (bad + PRIOR * prior) + 1 / (good + PRIOR * (1 - prior)))
+        scores.append(np.where(odds > 0, np.maximum(0, odds - CAUTION * error), odds)[order])
     return Model(keys, scores)
 
 
@@ -144,7 +149,7 @@ def calibrate(model: Model, found: list[tuple[int, int, list[float]]]) -> Model:
     """``found``: (label, words, segment scores) of documents that the token scores were not learnt from.
 
     The best segments of clean documents follow an extreme-value law in score and log length: its growth is fitted by
-    least squares, location and scale by quartiles, which a few wrong labels do not move. Evidence beyond it becomes a
+    least squares, location and scale from the median and the TAIL quantile, which a few wrong labels do not move. Evidence beyond it becomes a
     probability by logistic regression.
     """
     clean = [(n, max(s, default=0.0)) for y, n, s in found if not y and n]
@@ -152,10 +157,10 @@ def calibrate(model: Model, found: list[tuple[int, int, list[float]]]) -> Model:
         log_n, best = np.log([n for n, _ in clean]), np.array([m for _, m in clean])
         spread = log_n - log_n.mean()
         growth = float(max(0.0, (spread @ best) / max(spread @ spread, 1e-9)))
-        low, high = np.quantile(best - growth * log_n, (0.25, 0.75))
-        # Quartiles of the standard law are -log(log(4)) and -log(log(4 / 3)).
-        scale = float(max((high - low) / (np.log(np.log(4)) - np.log(np.log(4 / 3))), 0.1))
-        model = model._replace(growth=growth, scale=scale, location=float(low + scale * np.log(np.log(4))))
+        middle, high = np.quantile(best - growth * log_n, (0.5, TAIL))
+        level = [-np.log(-np.log(q)) for q in (0.5, TAIL)]  # of the standard law
+        scale = float(max((high - middle) / (level[1] - level[0]), 0.1))
+        model = model._replace(growth=growth, scale=scale, location=float(middle - scale * level[0]))
     x = np.array([model.evidence(s, n) for _, n, s in found])
     y = np.array([label for label, _, _ in found], float)
     if len(y) == 0 or y.min() == y.max():
@@ -177,6 +182,36 @@ def _train_ids(labels: DataFrame, rows: int) -> DataFrame:
     return first.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One row of each group of copies in the bounded sample, else the rare words of a copied document count as many.
+
+    Copies share the least hash of their three-token windows, or another such hash, unless chance parts them in both.
+    """
+
+    def keys(batches):
+        for batch in batches:
+            for part in small(batch):
+                found = []
+                for text in part.column(1).to_pylist():
+                    windows = window_hashes(tokens(text)[-1], 3)
+                    least = [windows.min(), mix(windows).min()] if len(windows) else [mix(np.array([hash_bytes(text)], np.uint64))[0]] * 2
+                    found.append(np.array(least, np.uint64).view(np.int64))
+                k1, k2 = np.array(found).T
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1), pa.array(k2)], names=["doc_id", "k1", "k2"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    found = sample.select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, k1 long, k2 long")
+    one = found.groupBy("k1").agg(F.min(F.struct("doc_id", "k2")).alias("one")).select("one.*")
+    one = one.groupBy("k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return stored(sample.join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]), "distinct")
+
+
+def hash_bytes(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode())
+
+
 def held_out(column: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
@@ -186,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     The calibration is fitted on the half that the token scores in it did not see; the final scores are from both halves.
     """
-    sample = docs.join(F.broadcast(_train_ids(labels, rows)), "doc_id").select("text", "toxic", "half")
+    sample = _without_copies(stored(docs.join(F.broadcast(_train_ids(labels, rows)), "doc_id"), "sample")).select("text", "toxic", "half")
     depth = len(PREFIXES) + 1
 
     def count(batches):

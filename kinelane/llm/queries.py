@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinelane.llm.common import read
+from kinelane.llm.html_text import extract
 from kinelane.llm.packing import best_fit
 from kinelane.llm.passages import remove_earlier_passages
 from kinelane.llm.piece_codec import digests, encode_pieces
 from kinelane.llm.quality import COUNTS, quality_rules
+from kinelane.llm.repeats import remove_repeats
 from kinelane.llm.simhash import near_duplicates
 from kinelane.llm.token_counts import count_tokens
 from kinelane.llm.toxicity import toxicity
@@ -28,6 +30,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(read(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(read(spark, folder, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -51,9 +57,13 @@ def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read(spark, folder, "documents"), width=400)
+
+
 def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return remove_earlier_passages(read(spark, folder, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op6_toxicity, op7_quality_rules, op8_piece_codec, op10_passages)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op6_toxicity, op7_quality_rules, op8_piece_codec, op9_suffix_repeats, op10_passages)}
 SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ from kinelane.llm.rolling import window_hashes, word_hashes
 #: A null id comes after all others.
 LAST = np.iinfo(np.int64).max
 #: Bytes of text whose entries make a bucket or whose rows make a lane.
-BUCKET_BYTES, LANE_BYTES = 24_000_000, 16_000_000
+BUCKET_BYTES, LANE_BYTES = 24_000_000, 8_000_000
 ANSWER = {"row": "i8", "at": "i4"}
 ENTRY = {"key": "u8", "doc": "i8", "row": "i8", "at": "i4"}
 CHECKED = {"key": "u8", "check": "u4", "doc": "i8", "row": "i8", "at": "i4"}
@@ -79,9 +79,11 @@ def _many(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray] | None:
     return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]} if parts else None
 
 
-def earlier_windows(texts: DataFrame, width: int, buckets: int, lanes: int) -> DataFrame:
+def earlier_windows(texts: DataFrame, width: int, buckets: int, lanes: int) -> tuple[DataFrame, DataFrame]:
     """Packed (row, at): the ``width``-word windows that start in a document with a smaller id as well.
 
+    Second, the rows of ``texts`` by lane with the places of their shared anchors; rows without any hold no such window.
+
     1. Hash the anchor windows at cover positions; any two equal windows have an anchor at the same place in both.
     2. Keep anchors that two documents share; 3. extend: every window that holds one of them is hashed whole, and is
     the answer if the least document with that window is an earlier one.
@@ -133,7 +135,7 @@ def earlier_windows(texts: DataFrame, width: int, buckets: int, lanes: int) -> D
                 yield by_lane({n: chunk[n][keep] for n in ANSWER}, ANSWER, lanes)
 
     together = with_answers(texts, shared, ANSWER, lanes)
-    return meet(deal_stream(together, window_entries, CHECKED, buckets), CHECKED, earlier, packed_answer)
+    return meet(deal_stream(together, window_entries, CHECKED, buckets), CHECKED, earlier, packed_answer), together
 
 
 def remove_earlier_passages(df: DataFrame, width: int = 50, id_column: str = "doc_id", text_column: str = "text", texts: bool = False) -> DataFrame:
@@ -149,32 +151,40 @@ def remove_earlier_passages(df: DataFrame, width: int = 50, id_column: str = "do
     own = own.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), row_key("doc_id", "text").alias("row"), "text")
     size = text_bytes(own)
     buckets, lanes = lanes_for(size, BUCKET_BYTES), lanes_for(size, LANE_BYTES)
-    found = earlier_windows(own.select("row", "doc", "text"), width, buckets, lanes)
-    extra = ", kept string" if texts else ""
+    found, together = earlier_windows(own.select("row", "doc", "doc_id", "text"), width, buckets, lanes)
+    columns = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string"}
+    types = ", ".join(f"{n} {t}" for n, t in columns.items())
+    arrow = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def result(text: str, at: np.ndarray) -> tuple:
+        words = text.encode().split()
+        n = len(words)
+        if len(at):
+            marks = np.zeros(n + 1, np.int32)
+            np.add.at(marks, np.unique(at), 1)
+            np.add.at(marks, np.unique(at) + width, -1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
+        kept = b" ".join(words)
+        return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of rows without shared anchors; the others keep their text for the answers to come."""
+        for batch, answers in read_with_answers(batches, ANSWER):
+            raw = batch.column("text").to_pylist()
+            waits = [len(answers.of(row)["at"]) > 0 for row in batch.column("row").to_pylist()]
+            made = [(None,) * 4 if w else result(t, ()) for w, t in zip(waits, raw, strict=True)]
+            text = pa.array([t if w else None for w, t in zip(waits, raw, strict=True)], pa.string())
+            own = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), text, *own], names=["row", "doc_id", "text", *columns])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, answers in read_with_answers(batches, ANSWER):
-            out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "kept")}
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = text.encode().split()
-                n, at = len(words), answers.of(row)["at"]
-                if len(at):
-                    marks = np.zeros(n + 1, np.int32)
-                    at = np.unique(at)
-                    marks[at] += 1
-                    marks[at + width] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
-                kept = b" ".join(words)
-                out["n_words"].append(n)
-                out["n_removed"].append(n - len(words))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept.decode() if texts else None)
-            columns = [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if texts:
-                columns.append(pa.array(out["kept"], pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    together = with_answers(own.select("row", "doc_id", "text"), found, ANSWER, lanes)
-    return together.mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string{extra}")
+            ready = list(zip(*(batch.column(n).to_pylist() for n in columns), strict=True))
+            rows = zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), ready, strict=True)
+            made = [r if text is None else result(text, answers.of(row)["at"]) for row, text, r in rows]
+            own = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], names=["doc_id", *columns])
+
+    begun = together.mapInArrow(begin, f"row long, doc_id {kind}, text string, {types}")
+    done = with_answers(begun, found, ANSWER, lanes).mapInArrow(finish, f"doc_id {kind}, {types}")
+    return done if texts else done.drop("kept")

@@ -48,6 +48,18 @@ def arrow_pass(df: DataFrame, work: Callable[[dict[str, list]], dict[str, object
     return df.mapInArrow(run, struct)
 
 
+def filter_pass(df: DataFrame, verdict: Callable[[list[str]], list[bool]], text_column: str = "text") -> DataFrame:
+    """Rows of ``df``, with all their columns, that ``verdict`` keeps by their text; null text is judged as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small(batch):
+                texts = part.column(part.schema.get_field_index(text_column)).to_pylist()
+                yield part.filter(pa.array(verdict([t or "" for t in texts]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of at most BATCH_ROWS rows, cut in halves while they hold more than BATCH_BYTES."""
     todo = [batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)][::-1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelane.llm.boosting import Trees, fit
-from kinelane.llm.common import arrow_pass, stored, text_of
+from kinelane.llm.common import arrow_pass, filter_pass, text_of
 from kinelane.llm.rolling import WORD_BYTE, window_hashes, word_hashes
 
 #: Labelled documents that the trees are fitted on, at most: those with the least hash of their id.
@@ -102,27 +102,37 @@ def document_statistics(df: DataFrame, id_column: str = "doc_id", text_column: s
     return arrow_pass(df.select(df[id_column].alias("doc_id"), text_of(text_column).alias("text")), work, schema)
 
 
-def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Trees from at most ``rows`` labelled documents (``labels``: doc_id, quality 0 or 1; nulls are left out)."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("quality", *SHARES).toPandas()
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
+    """Trees from at most ``rows`` labelled documents (``labels``: doc_id, quality 0 or 1; nulls are left out).
+
+    ``docs``: doc_id, text. The chosen ids are at most ``rows``, so they are broadcast and no text is shuffled.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = docs.join(F.broadcast(known), "doc_id").select(F.struct("doc_id", "quality").alias("doc_id"), "text")
+    sample = document_statistics(chosen).select("doc_id.quality", *SHARES).toPandas()
     x = sample[list(SHARES)].to_numpy(float).reshape(len(sample), len(SHARES))
     ways = {i: way for i, way in enumerate(SHARES.values()) if way}
     return fit(x, sample["quality"].to_numpy(float), ways)
 
 
+def verdicts(found: np.ndarray, trees: Trees, keep: float = KEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base failed, kept, score) of rows of ``statistics``."""
+    score = trees.score(found[:, len(COUNTS) :])
+    n, repeated = found[:, 0], found[:, COUNTS.index("n_repeat_words")]
+    failed = (n < 50) | (100 * repeated > 50 * n)
+    return failed, ~failed & (score >= keep), score
+
+
 def judge(stats: DataFrame, trees: Trees, keep: float = KEEP) -> DataFrame:
     """``doc_id``, COUNTS, ``base_failed``, ``kept``, ``score`` from ``document_statistics``."""
     names = ["doc_id", *COUNTS, "base_failed", "kept", "score"]
 
     def run(batches):
         for batch in batches:
-            x = np.stack([batch.column(n).to_numpy() for n in SHARES], 1)
-            score = trees.score(x)
-            n, repeated = batch.column("n_words").to_numpy(), batch.column("n_repeat_words").to_numpy()
-            failed = (n < 50) | (100 * repeated > 50 * n)
-            columns = [batch.column("doc_id"), *[batch.column(c) for c in COUNTS], pa.array(failed), pa.array(~failed & (score >= keep)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            found = np.stack([batch.column(n).to_numpy().astype(float) for n in (*COUNTS, *SHARES)], 1)
+            made = [pa.array(column) for column in verdicts(found, trees, keep)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in COUNTS], *made], names=names)
 
     kind = stats.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *[f"{n} long" for n in COUNTS], "base_failed boolean, kept boolean, score double"])
@@ -137,5 +147,14 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     judged like others (and never labelled); repeated rows repeat; without any labels every score is the same even
     chance, which keeps; an empty table gives no rows.
     """
-    stats = stored(document_statistics(df, id_column, text_column), "statistics")
-    return judge(stats, train(stats, labels))
+    docs = df.select(df[id_column].alias("doc_id"), text_of(text_column).alias("text"))
+    return judge(document_statistics(docs), train(docs, labels))
+
+
+def keep_good(df: DataFrame, trees: Trees, text_column: str = "text") -> DataFrame:
+    """Rows of ``df``, with all columns, that pass the base limits and the trees."""
+
+    def verdict(texts: list[str]) -> list[bool]:
+        return verdicts(np.array([statistics(t) for t in texts], float).reshape(len(texts), -1), trees)[1].tolist()
+
+    return filter_pass(df, verdict, text_column)

@@ -136,7 +136,8 @@ def _packed_texts(parts: list[dict], buckets: int) -> pa.RecordBatch:
 
 
 def remove_repeats(df: DataFrame, width: int = 400, id_column: str = "doc_id", text_column: str = "text", texts: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, binary, with ``texts``) per row of ``df``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``df``; with ``texts`` also ``kept``, the text that
+    is left, without the remains of characters that a removal cuts.
 
     Every byte goes that a string of ``width`` bytes covers which also starts anywhere else, in the same document or
     another; strings overlap and are judged on the input. Null text is empty; repeated rows are copies of one another;
@@ -248,13 +249,13 @@ def _result(text: str, at: np.ndarray, starts: np.ndarray, width: int, texts: bo
         gone = np.cumsum(marks[:-1]) > 0
         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    return n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None
+    return n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if texts else None
 
 
 def _finish(together: DataFrame, found: DataFrame, width: int, lanes: int, kind: str, texts: bool) -> DataFrame:
     """Results per row: at once for rows without shared stretches, for the others when the answers are there."""
-    columns = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
-    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    columns = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     types = ", ".join(f"{n} {t}" for n, t in columns.items())
     none = np.empty(0, np.int64)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelane.llm.common import small, stored, text_of
+from kinelane.llm.common import filter_pass, small, stored, text_of
 from kinelane.llm.rolling import _BYTE, _ROOT, SEGMENT, _between, _prefix, mix, window_hashes
 
 #: Labelled documents the model is fitted on, at most: those with the least hash of their id.
@@ -117,8 +117,13 @@ class Model(NamedTuple):
         bar = self.location + self.growth * np.log(max(words, 1))
         return min(EVIDENCE, float(sum(max(0.0, (s - bar) / self.scale) for s in scores)))
 
-    def probability(self, evidence: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30))))
+    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """Chance of toxicity, and the significant passages (begin, end, score)."""
+        levels = tokens(text)
+        words = levels.shape[1]
+        found = segments(self.token_scores(levels))
+        x = self.slope * self.evidence([s for _, _, s in found], words) + self.shift
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), [f for f in found if self.evidence([f[2]], words) > 0]
 
 
 def log_odds(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], toxic: int, clean: int) -> Model:
@@ -301,17 +306,21 @@ def toxic_passages(df: DataFrame, model: Model, id_column: str = "doc_id", text_
             for part in small(batch):
                 score, passages = [], []
                 for text in part.column(1).to_pylist():
-                    levels = tokens(text)
-                    words = levels.shape[1]
-                    found = segments(own.token_scores(levels))
-                    score.append(own.probability(own.evidence([s for _, _, s in found], words)))
-                    passages.append([{"begin": b, "end": e, "score": s} for b, e, s in found if own.evidence([s], words) > 0])
+                    chance, found = own.score(text)
+                    score.append(chance)
+                    passages.append([{"begin": b, "end": e, "score": s} for b, e, s in found])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(passages, passage)], names=["doc_id", "score", "passages"])
 
     slim = df.select(df[id_column].alias("doc_id"), text_of(text_column).alias("text"))
     return slim.mapInArrow(run, f"doc_id {kind}, score double, passages {PASSAGE}")
 
 
+def keep_clean(df: DataFrame, model: Model, limit: float = PREDICTED, text_column: str = "text") -> DataFrame:
+    """Rows of ``df``, with all columns, whose toxicity score is below ``limit``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_pass(df, lambda texts: [shared.value.score(t)[0] < limit for t in texts], text_column)
+
+
 def toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, passages`` per row; learnt from the labelled rows that are not held out.
 

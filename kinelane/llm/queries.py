@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinelane.llm.common import read
 from kinelane.llm.html_text import extract
+from kinelane.llm.neighbours import nearest
 from kinelane.llm.packing import best_fit
 from kinelane.llm.passages import remove_earlier_passages
 from kinelane.llm.piece_codec import digests, encode_pieces
@@ -38,6 +40,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -65,5 +71,5 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return remove_earlier_passages(read(spark, folder, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op6_toxicity, op7_quality_rules, op8_piece_codec, op9_suffix_repeats, op10_passages)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op5_nearest_neighbours, op6_toxicity, op7_quality_rules, op8_piece_codec, op9_suffix_repeats, op10_passages)}
 SQL: dict[str, str] = {}

@@ -116,6 +116,12 @@ class Lanes:
         return self.attach(df, df.groupBy(*self.keys).agg(F.count("*").alias(LENGTH)))
 
 
+def short_series(df: DataFrame, width: int, lanes: Lanes = Lanes()) -> DataFrame:
+    """``(series keys, n, reason)`` of the series that operators of this width leave out."""
+    sizes = df.groupBy(*lanes.keys).agg(F.count("*").alias(LENGTH)).filter(F.col(LENGTH) < width)
+    return sizes.withColumn("reason", F.lit("shorter than the window"))
+
+
 def running_before(
     totals: DataFrame, keys: Sequence[str], index: str, columns: Sequence[str], block: int = 4096
 ) -> DataFrame:
@@ -170,9 +176,12 @@ def number_rows(
     """
     keys = list(keys)
     rows = df.withColumn("_t", _as_number(df, order[0]))
+    # NaN sorts after all numbers, so it belongs to the last slot and must not stretch the range.
+    nan = F.isnan("_t") if dict(rows.dtypes)["_t"] in ("double", "float") else F.lit(False)
+    known = F.when(~nan, F.col("_t"))
     long, few = settle(
         rows.groupBy(*keys)
-        .agg(F.count("*").alias(LENGTH), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        .agg(F.count("*").alias(LENGTH), F.min(known).alias("_lo"), F.max(known).alias("_hi"))
         .filter(F.col(LENGTH) > slot_rows)
     )
     ordering = [F.col(c).asc_nulls_first() for c in order]
@@ -186,7 +195,7 @@ def number_rows(
     hint = F.broadcast if few else (lambda d: d)
     slots = F.ceil(F.col(LENGTH) / F.lit(slot_rows))
     share = (F.col("_t") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-    slot = F.when(
+    slot = F.when(nan, slots - 1).when(
         (F.col("_hi") > F.col("_lo")) & F.col("_t").isNotNull(), F.least(F.floor(share * slots), slots - 1)
     ).otherwise(0).cast("long")
     slotted = rows.join(hint(long), keys, "left").withColumn("_slot", slot).drop("_t", "_lo", "_hi")

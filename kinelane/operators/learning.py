@@ -165,58 +165,6 @@ def silhouette(df: DataFrame, columns: Sequence[str], cluster: str = "cluster")
     return rows.agg(F.avg(score).alias("silhouette"), F.count("*").alias("points"))
 
 
-def silhouette_euclidean(
-    df: DataFrame, columns: Sequence[str], cluster: str = "cluster", block: int = 1024
-) -> DataFrame:
-    """Mean silhouette with plain Euclidean distance, for one row per recording.
-
-    The measure compares every point with every other, so work is quadratic. Points are packed in blocks;
-    pairs of blocks meet in separate tasks, which return one sum per point and cluster, never pairs.
-    """
-    spread = F.xxhash64(*columns, cluster)
-    blocks = max(1, -(-df.count() // block))
-    points = df.select(
-        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(cluster).cast("int").alias("c"),
-        F.pmod(spread, F.lit(blocks)).alias("b"), F.monotonically_increasing_id().alias("_order"),
-    )
-    numbered = points.withColumn("id", F.concat_ws("-", "b", "_order"))
-    # Ids only tell points of one run apart, so the numbered points are written down first.
-    from kinelane.session import ensure_checkpoints
-
-    ensure_checkpoints(df.sparkSession)
-    numbered = numbered.select("id", "x", "c", "b").checkpoint(eager=True)
-    left = numbered.withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "own")
-    right = numbered.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "against")
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series([], dtype=object), "c": pd.Series([], dtype="int32"), "other": pd.Series([], dtype="int32"), "total": pd.Series([], dtype=float), "size": pd.Series([], dtype="int64")})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        far = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0.0))
-        kind = b["c"].to_numpy()
-        parts = []
-        for other in np.unique(kind):
-            parts.append(pd.DataFrame({"id": a["id"].to_numpy(), "c": a["c"].to_numpy(), "other": np.int32(other), "total": far[:, kind == other].sum(axis=1), "size": int((kind == other).sum())}))
-        return pd.concat(parts, ignore_index=True)
-
-    cells = (
-        left.groupBy("own", "against")
-        .cogroup(right.groupBy("own", "against"))
-        .applyInPandas(sums, "id string, c int, other int, total double, size bigint")
-    )
-    per = cells.groupBy("id", "c", "other").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
-    mine = F.col("c") == F.col("other")
-    ab = per.groupBy("id").agg(
-        F.max(F.when(mine, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
-        F.max(F.when(mine, F.col("size"))).alias("own"),
-        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"),
-    )
-    score = F.when(F.col("own") == 1, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    )
-    return ab.agg(F.avg(score).alias("silhouette"), F.count("*").alias("points"))
-
-
 def project_2d(df: DataFrame, columns: Sequence[str], centroids: Sequence[Sequence[float]] = ()) -> tuple[DataFrame, list[list[float]]]:
     """Two principal components of the points (columns ``pc1``, ``pc2``) and of the centroids.
 

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelane.functions.text import trim_ws
+from kinelane.operators.lanes import number_rows
 from kinelane.schema import AXES, PROFILES, SEQ, SERIES
 
+LINE_NO = "line_no"
+
 NUMBER = r"\s*[+-]?(?:\d+,\d*|,\d+)(?:[eE][+-]?\d+)?\s*"
 FRAGMENT = r"[^=,;]*+"  # possessive: what it stops at never belongs to it
 # key=int,fraction (which must be a number) or key=anything; after a nameless key fragments are ignored.
@@ -109,8 +112,17 @@ def parse_whole(lines: DataFrame, line: str = "line") -> DataFrame:
     return kept.withColumns(made).drop(line, "_a", "_g")
 
 
+def renumbered(good: DataFrame) -> DataFrame:
+    """Parsed lines with dense positions: rejected lines leave holes that no operator may see.
+
+    ``seq`` becomes the rank among the good lines of the document and ``n`` their number; the position in the document
+    stays as ``line_no``.
+    """
+    return number_rows(good.withColumnRenamed(SEQ, LINE_NO), [LINE_NO])
+
+
 def explode_lines(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """One row per line of a document, in order: ``(series_id, seq, n, line)``."""
+    """One row per line of a document, in order: ``(series_id, seq, line)``; ``seq`` is the line number from 0."""
     parts = F.split(trim_ws(F.coalesce(F.col(content), F.lit(""))), "\n")
     return docs.select(F.col(key).cast("string").alias(SERIES), F.posexplode(parts).alias("_p", "line")).select(
         SERIES, F.col("_p").cast("long").alias(SEQ), "line"

@@ -68,8 +68,11 @@ def random_split(
     ``keys`` identify a row. With ``stratify`` sizes hold within each class. The rows themselves are not
     shuffled: each compares its digest with the cut of its class.
     """
-    by = [stratify] if stratify else ["_all"]
-    rows = df if stratify else df.withColumn("_all", F.lit(1))
+    # Rows without a class are a class of their own: a join on the column itself would lose them.
+    by = ["_all"] if not stratify else ["_no", "_all"]
+    whole = F.lit(1) if not stratify else F.coalesce(F.col(stratify).cast("string"), F.lit(""))
+    rows = df.withColumn("_all", whole)
+    rows = rows.withColumn("_no", F.col(stratify).isNull()) if stratify else rows
     rows = rows.withColumn("_d", _digest(keys, seed))
     cuts = _cuts(rows.drop("_d"), by, shares, _digest(keys, seed))
     joined = join_small(rows, cuts, by)
@@ -79,14 +82,14 @@ def random_split(
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     assert chain is not None
     out = joined.withColumn("part", chain.otherwise(names[-1]))
-    return out.drop("_d", "_all", *[f"cut{i}" for i in range(len(shares))])
+    return out.drop("_d", "_all", "_no", *[f"cut{i}" for i in range(len(shares))])
 
 
 def class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Add ``n / (classes * n_class)`` so that classes weigh the same."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_c"))
+    """Add ``n / (classes * n_class)`` so that classes weigh the same; rows without a class get weight 0."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
     weights = counts.join(F.broadcast(total), how="cross").select(
         label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(weight)
     )
-    return join_small(df, weights, [label])
+    return join_small(df, weights, [label], "left").withColumn(weight, F.coalesce(weight, F.lit(0.0)))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from kinelane.functions.signal import magnitude
 from kinelane.functions.text import RULE_D, label, strip_accents
 from kinelane.operators.frames import FEATURES_11, motion_features
+from kinelane.operators.lanes import short_series
 from kinelane.operators.learning import forest, forest_search, multiclass_window_model, window_vectors
-from kinelane.operators.parsing import explode_lines, parse_tolerant
+from kinelane.operators.parsing import LINE_NO, explode_lines, parse_tolerant, renumbered
 from kinelane.operators.savgol import savgol
 from kinelane.operators.scaling import apply_minmax, fit_minmax
 from kinelane.operators.splits import class_weights, random_split
@@ -28,9 +29,23 @@ ROW_FEATURES = [*[f"{a}_smooth" for a in AXES], "acc_magnitude", "gyro_magnitude
 
 
 def documents_to_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Raw documents of a folder as ``(recordings, rejected lines)``; names lose their accents."""
-    docs = read_documents(spark, path).withColumn("doc_id", strip_accents(F.col("doc_id")))
-    return parse_tolerant(explode_lines(docs))
+    """Raw documents of a folder as ``(recordings, rejected lines)``.
+
+    The document's name is the key as it is, since names may differ by accents alone; ``name`` is it without them.
+    Positions of recordings are dense, those of rejected lines are line numbers.
+    """
+    return lines_to_recordings(explode_lines(read_documents(spark, path)))
+
+
+def lines_to_recordings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered raw lines as ``(recordings, rejected lines)``, as ``documents_to_recordings`` does."""
+    good, bad = parse_tolerant(lines)
+    return renumbered(good).withColumn("name", strip_accents(F.col(SERIES))), bad.withColumnRenamed(SEQ, LINE_NO)
+
+
+def too_short(recordings: DataFrame, width: int = 50, smooth: int = 50) -> DataFrame:
+    """Recordings without a verdict, and why: shorter than the smoothing or than one window."""
+    return short_series(recordings, max(width, smooth))
 
 
 def labelled_windows(
@@ -47,7 +62,7 @@ def labelled_windows(
     """
     features = motion_features(recordings, smooth).select(SERIES, SEQ, *FEATURES_11)
     windows = sliding_windows(features, FEATURES_11, width, step)
-    named = windows.withColumn("label", label(F.col(SERIES), rule, strict=strict))
+    named = windows.withColumn("label", label(strip_accents(F.col(SERIES)), rule, strict=strict))
     return named.filter(F.col("label").isNotNull())
 
 
@@ -75,7 +90,7 @@ def train_windows(recordings: DataFrame, width: int = 50, step: int = 10, classe
 
 
 def window_verdicts(recordings: DataFrame, model: PipelineModel, width: int = 50, step: int = 25, classes: int = 4) -> DataFrame:
-    """Class per recording from the mean of its windows' probabilities."""
+    """Class per recording from the mean of its windows' probabilities; ``too_short`` has the recordings without one."""
     features = motion_features(recordings).select(SERIES, SEQ, *FEATURES_11)
     windows = window_vectors(sliding_windows(features, FEATURES_11, width, step))
     scored = model.transform(windows).withColumn("probs", vector_to_array("probability"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import threshold
+from kinelane.operators.lanes import short_series
 from kinelane.operators.learning import series_means, silhouette
 from kinelane.operators.metrics import (
     binary_evaluation,
@@ -113,8 +114,7 @@ def _pointer(spark: SparkSession, folder: str) -> DataFrame:
 
 def _short(spark: SparkSession, folder: str) -> DataFrame:
     """Series that a window of 60 rejects."""
-    sizes = event_series(spark, folder, "user_id").groupBy(SERIES).agg(F.count("*").alias("n"))
-    return sizes.filter("n < 60").withColumn("reason", F.lit("shorter than the window"))
+    return short_series(event_series(spark, folder, "user_id"), 60)
 
 
 def _evaluate(spark: SparkSession, folder: str) -> DataFrame:

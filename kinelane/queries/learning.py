@@ -55,7 +55,7 @@ def _report(df: DataFrame) -> DataFrame:
 
 def _forest_rows(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _split(_rows(spark, folder), [SERIES, SEQ])
-    model = forest([f"{c}_scaled" for c in ROW_FEATURES], trees=100, depth=10).fit(train)
+    model = forest([f"{c}_scaled" for c in ROW_FEATURES], trees=100, depth=30).fit(train)
     return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
 
 
@@ -70,7 +70,7 @@ def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
 def _forest_segments(spark: SparkSession, folder: str) -> DataFrame:
     scaled, names = _segments(spark, folder)
     train, test = _split(scaled, [SERIES, "segment"])
-    model = forest(names, trees=50, depth=10, weight="weight").fit(class_weights(train))
+    model = forest(names, trees=100, depth=30, weight="weight").fit(class_weights(train))
     return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
 
 
@@ -91,23 +91,24 @@ def _windows(spark: SparkSession, folder: str, classes: int) -> DataFrame:
 
 
 def _window_binary(spark: SparkSession, folder: str) -> DataFrame:
-    windows = _windows(spark, folder, 2)
-    model = binary_window_model(windows, iterations=20)
-    scored = model.transform(windows).withColumn("p", vector_to_array("probability")[1])
+    train, test = _split(_windows(spark, folder, 2), [SERIES, "window_id"])
+    model = binary_window_model(train, iterations=100)
+    scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
     return rounded(mean_probability(scored), [SERIES, "windows", "class"], ["score"], 3)
 
 
 def _window_multiclass(spark: SparkSession, folder: str) -> DataFrame:
-    windows = _windows(spark, folder, 4)
-    model = multiclass_window_model(windows, inputs=60, iterations=20)
-    scored = model.transform(windows).withColumn("probs", vector_to_array("probability"))
+    train, test = _split(_windows(spark, folder, 4), [SERIES, "window_id"])
+    model = multiclass_window_model(train, inputs=60, iterations=100)
+    scored = model.transform(test).withColumn("probs", vector_to_array("probability"))
     return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 3)
 
 
 def _forecast(spark: SparkSession, folder: str) -> DataFrame:
     pairs = window_vectors(forecast_windows(event_series(spark, folder), "value"))
-    model = forecaster(pairs, iterations=20)
-    return rounded(regression_metrics(model.transform(pairs), "target", "prediction"), ["n"], ["mae", "huber", "mape"], 3)
+    parts = random_split(pairs, [SERIES, "window_id"])
+    model = forecaster(parts.filter("part = 'train'"), iterations=100)
+    return rounded(regression_metrics(model.transform(parts.filter("part = 'test'")), "target", "prediction"), ["n"], ["mae", "huber", "mape"], 3)
 
 
 def _training_history(spark: SparkSession, folder: str) -> DataFrame:

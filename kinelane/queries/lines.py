@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.text import RULE_A, RULE_B, RULE_C, RULE_D, class_name, fixed4, label, repetitions, strip_accents
+from kinelane.operators.frames import moving_average
 from kinelane.operators.parsing import explode_lines, parse_strict, parse_tolerant, parse_whole
+from kinelane.plans.pipelines import lines_to_recordings
 from kinelane.queries import Query
 from kinelane.queries.common import cents, r, rounded
 from kinelane.schema import AXES, SEQ, SERIES
@@ -58,6 +60,26 @@ def _parsed(df: DataFrame) -> DataFrame:
     return df.select(SERIES, SEQ, "timestamp_acc", *made[:3], "timestamp_gyro", *made[3:])
 
 
+def document_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with rejects among them to recordings with dense positions, smoothed over five samples."""
+    good, _ = lines_to_recordings(raw_lines(spark, folder))
+    smooth = moving_average(good, ["acc_x"], 5)
+    return rounded(smooth, [SERIES, SEQ, "n", "line_no"], ["acc_x", "acc_x_smooth"])
+
+
+DOCUMENT_FEATURES_SQL = f"""
+WITH e AS (
+  SELECT event_type AS series_id, event_id AS line_no, {SHAPES} AS shape, CAST(round(value * 100) AS BIGINT) AS c,
+         CAST(floor(round(value * 100) / 100) AS BIGINT) AS w
+  FROM events),
+g AS (SELECT series_id, line_no, CASE WHEN shape = 'whole' THEN CAST(w AS DOUBLE) ELSE c / 100.0 END AS acc_x,
+             row_number() OVER s - 1 AS seq, count(*) OVER (PARTITION BY series_id) AS n
+      FROM e WHERE shape IN ('missing', 'whole', 'good') WINDOW s AS (PARTITION BY series_id ORDER BY line_no))
+SELECT series_id, seq, n, line_no, {r('acc_x')} AS acc_x,
+       {r('sum(acc_x) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5')} AS acc_x_smooth
+FROM g WHERE n >= 5"""
+
+
 def whole_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Old format; every third event also carries a timestamp and so is not 3 + 3."""
     v = F.floor(F.col("value")).cast("string")
@@ -134,6 +156,7 @@ SELECT series_id, seq, CASE shape WHEN 'two_parts' THEN 'expected two parts sepa
   WHEN 'two_equals' THEN 'item with two ''=''' ELSE 'malformed number' END AS reason
 FROM e WHERE shape IN ('two_parts', 'two_equals', 'two_fractions')""",
     ),
+    "documents_features": Query(document_features, DOCUMENT_FEATURES_SQL),
     "parse_strict": Query(
         lambda s, d: _parsed(parse_strict(raw_lines(s, d))[0]), _parsed_sql("'good'", False)
     ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -20,20 +21,25 @@ class Scan(NamedTuple):
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Each text file below ``path`` as ``(doc_id, content)``."""
+    """Each text file below ``path`` as ``(doc_id, content)``; the id is the path below it, without suffix."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(_name("_metadata.file_name").alias("doc_id"), F.col("value").alias("content"))
+    return files.select(_name("_metadata.file_path", path).alias("doc_id"), F.col("value").alias("content"))
 
 
-def _name(column: str) -> Column:
-    return F.regexp_replace(F.url_decode(F.col(column)), r"\.[^.]*$", "")
+def _name(column: str, root: str) -> Column:
+    """Path below ``root`` without suffix, so that files of the same name in several folders stay apart."""
+    scheme = r"^[a-z0-9+.-]+:/*"
+    base = re.sub(scheme, "/", root).rstrip("/") + "/"
+    whole = F.regexp_replace(F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))), scheme, "/")
+    below = F.element_at(F.split(whole, re.escape(base), 2), -1)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
 def _lines_of_small_files(spark: SparkSession, path: str) -> DataFrame:
     """``(series_id, line_no, line)`` without a shuffle: one file is one value."""
     whole = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
-    return whole.select(_name("_metadata.file_name").alias(SERIES), F.posexplode(lines).alias("line_no", "line"))
+    return whole.select(_name("_metadata.file_path", path).alias(SERIES), F.posexplode(lines).alias("line_no", "line"))
 
 
 def _lines_of_large_files(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +50,7 @@ def _lines_of_large_files(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("pathGlobFilter", "*.csv").text(path)
     rows = raw.select(
-        _name("_metadata.file_name").alias(SERIES),
+        _name("_metadata.file_path", path).alias(SERIES),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("line"),
@@ -97,7 +103,12 @@ def scan_recordings(
     recordings = Lanes().attach(rows, good).select(
         SERIES, SEQ, F.col(LENGTH).cast("long").alias(LENGTH), *kept_columns(profile)
     )
-    return Scan(recordings, per_series.filter(F.col("reason").isNotNull()).select(SERIES, "reason"))
+    rejects = per_series.filter(F.col("reason").isNotNull()).select(SERIES, "reason")
+    # Files without any line have no rows above, and readers skip empty files: the paths come from the listing.
+    paths = [(p,) for p in spark.read.option("pathGlobFilter", "*.csv").text(path).inputFiles()]
+    listed = spark.createDataFrame(paths, "path string").select(_name("path", path).alias(SERIES))
+    blank = listed.join(per_series, SERIES, "left_anti").withColumn("reason", F.lit("no rows"))
+    return Scan(recordings, rejects.unionByName(blank))
 
 
 def scan_written(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

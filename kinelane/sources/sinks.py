@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelane.functions.text import RULE_A, label, strip_accents
-from kinelane.operators.lanes import LANE, Lanes
+from kinelane.operators.lanes import LANE, Lanes, join_small
 from kinelane.schema import PROFILES, SEQ, SERIES
 
 
@@ -24,11 +24,17 @@ def write_recordings(
 ) -> None:
     """One folder of CSV per recording, rows in order, names without accents.
 
+    Where names differ by accents alone, all of them keep theirs, so that no two recordings share a folder.
+
     A recording of up to ``rows_per_file`` rows is one file. A longer one is written by many tasks, with a
     ``part`` folder per stretch so that its order stays readable from the path.
     """
     lanes = Lanes(rows=rows_per_file)
-    named = lanes.tag(df).withColumnRenamed(LANE, "part").withColumn(SERIES, strip_accents(F.col(SERIES)))
+    plain = strip_accents(F.col(SERIES))
+    names = df.select(SERIES).distinct().groupBy(plain.alias("_plain")).agg(F.collect_set(SERIES).alias("_names"))
+    shared = names.filter(F.size("_names") > 1).select(F.explode("_names").alias(SERIES), F.lit(True).alias("_shared"))
+    tagged = join_small(lanes.tag(df).withColumnRenamed(LANE, "part"), shared, [SERIES], "left")
+    named = tagged.withColumn(SERIES, F.when(F.col("_shared"), F.col(SERIES)).otherwise(plain)).drop("_shared")
     folders = [*partition, SERIES, "part"]
     (
         named.repartition(*[F.col(c) for c in folders])

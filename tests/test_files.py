@@ -75,8 +75,9 @@ def test_documents(spark, tmp_path):
     line = "timestamp_acc=1,acc_x=1,5,acc_y=0,5,acc_z=-0,75;timestamp_gyro=2,gyro_x=1,5,gyro_y=2,5,gyro_z=3,5"
     (tmp_path / "Flexión_1.txt").write_text(f"\n{line}\nbroken\n{line}\n")
     good, bad = documents_to_recordings(spark, str(tmp_path))
-    assert [(r.series_id, r.seq, r.acc_x) for r in good.orderBy("seq").collect()] == [("Flexion_1", 0, 1.5), ("Flexion_1", 2, 1.5)]
-    assert [(r.seq, r.line) for r in bad.collect()] == [(1, "broken")]
+    assert [(r.series_id, r.seq, r.acc_x) for r in good.orderBy("seq").collect()] == [("Flexión_1", 0, 1.5), ("Flexión_1", 1, 1.5)]
+    assert {(r.name, r.n, r.line_no) for r in good.collect()} == {("Flexion_1", 2, 0), ("Flexion_1", 2, 2)}
+    assert [(r.line_no, r.line) for r in bad.collect()] == [(1, "broken")]
 
 
 def test_small_sinks(spark, tmp_path):
@@ -84,3 +85,30 @@ def test_small_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "one"), header=True).collect()[0].asDict() == {"a": "1", "b": "2.5"}
     write_history(spark.createDataFrame([(0, 1.0)], "iteration int, loss double"), {"epochs": 3}, str(tmp_path / "h"))
     assert spark.read.json(str(tmp_path / "h" / "params")).first().epochs == "3"
+
+
+def test_names_that_meet(spark, tmp_path, tmp_path_factory):
+    """Same names in several folders, names that differ by accents, blank files, holes between good lines."""
+    from kinelane.operators.lanes import short_series
+    from kinelane.sources.recordings import read_documents
+
+    rows = "\n".join(f"{i},{i}.5,1,2,{i},3,4,5" for i in range(4))
+    for name in ("a/one.csv", "b/one.csv"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(HEADER + "\n" + rows)
+    (tmp_path / "a" / "zero.csv").write_text("")
+    (tmp_path / "a" / "blank.csv").write_text("\n \n")
+    scan = scan_recordings(spark, str(tmp_path / "*"))
+    assert scan.recordings.select("series_id").distinct().count() == 2
+    assert {r.series_id.split("/")[-1]: r.reason for r in scan.rejects.collect()} == {"zero": "no rows", "blank": "no rows"}
+    own = scan_recordings(spark, str(tmp_path / "a"))
+    assert {r.series_id for r in own.recordings.collect()} == {"one"}
+    assert [(r.series_id, r.n) for r in short_series(own.recordings, 5).collect()] == [("one", 4)]
+    docs = tmp_path_factory.mktemp("docs")
+    (docs / "Flexión_1.txt").write_text("x")
+    (docs / "Flexion_1.txt").write_text("y")
+    assert {r.doc_id for r in read_documents(spark, str(docs)).collect()} == {"Flexión_1", "Flexion_1"}
+    out = str(tmp_path_factory.mktemp("out")) + "/x"
+    both = own.recordings.withColumn("series_id", F.explode(F.array(F.lit("Flexión"), F.lit("Flexion"), F.lit("Única"))))
+    write_recordings(both, out)
+    assert {r.series_id for r in scan_written(spark, out, PROFILES["P8_RAW"]).collect()} == {"Flexión", "Flexion", "Unica"}

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinelane.operators.learning import cluster, members, per_column, project_2d, score_windows, silhouette, silhouette_euclidean
+from kinelane.operators.learning import cluster, members, per_column, project_2d, score_windows, silhouette
 from kinelane.operators.metrics import classification_report, confusion_cells
 from kinelane.operators.quantiles import exact_quantiles
 from kinelane.operators.scaling import apply_minmax, fit_minmax, minmax_series, standardise_series
@@ -98,7 +98,6 @@ def _silhouette(x, c, square):
 def test_silhouettes(spark):
     x, c, df = _blobs(spark)
     assert np.isclose(silhouette(df, ["a", "b"]).first().silhouette, _silhouette(x, c, True))
-    assert np.isclose(silhouette_euclidean(df, ["a", "b"], block=16).first().silhouette, _silhouette(x, c, False))
 
 
 def test_clusters_and_projection(spark):
@@ -162,3 +161,14 @@ def test_row_and_segment_forests(spark):
     assert np.mean([truth[k] == v for k, v in votes.items()]) > 0.8
     found = train_segments(rows, width=40, grid={"numTrees": [2, 3], "maxDepth": [3]}, folds=2)
     assert found.test.select("prediction").count() > 0
+
+
+def test_rows_without_a_class_are_kept(spark):
+    from kinelane.operators.splits import class_weights, random_split
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id long, label int")
+    split = random_split(df, ["id"], stratify="label")
+    assert split.columns == ["id", "label", "part"] and split.count() == 50
+    assert split.filter("part = 'test' and label is null").count() == 2
+    weights = {r.id: (r.label, r.weight) for r in class_weights(df).collect()}
+    assert len(weights) == 50 and all((label is None) == (w == 0) for label, w in weights.values())

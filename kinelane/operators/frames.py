@@ -91,6 +91,8 @@ def rolling(
     w = float(width)
 
     def make(d: DataFrame) -> DataFrame:
+        # Dealt by lane once: the windows by block and the one along the lane then need no other shuffle.
+        d = d.repartition(*[F.col(c) for c in lanes.group])
         d = d.withColumn(block, F.floor(F.col(lanes.seq) / F.lit(width)).cast("long"))
         d = d.withColumns({f"_{c}_t_{p}": m for c in columns for p, m in _moments(F.col(c), tail).items() if p in parts})
         d = d.withColumns({f"_{c}_h_{p}": m for c in columns for p, m in _moments(F.col(c), head).items() if p in parts})

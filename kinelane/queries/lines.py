@@ -37,7 +37,9 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(";timestamp_gyro="), (ms + 5).cast("string"),
         F.lit(",gyro_x="), whole, F.lit(",25,gyro_y=-"), whole, F.lit(","), part, F.lit(",gyro_z=-0,75"), tail,
     )
-    return table(spark, folder, "events").select(F.col("event_type").alias(SERIES), F.col("event_id").alias(SEQ), line.alias("line"))
+    # A generated column is written once; a plain one would be rendered again in every filter on it.
+    rendered = F.explode(F.array(line)).alias("line")
+    return table(spark, folder, "events").select(F.col("event_type").alias(SERIES), F.col("event_id").alias(SEQ), rendered)
 
 
 def _parsed_sql(where: str, tolerant: bool) -> str:

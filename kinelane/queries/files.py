@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import magnitude
+from kinelane.operators.lanes import number_rows
 from kinelane.operators.learning import forest
 from kinelane.operators.scaling import apply_minmax, fit_minmax, save_params
 from kinelane.operators.verdicts import majority_vote
@@ -14,7 +15,7 @@ from kinelane.queries import Query
 from kinelane.queries.common import EM, EV, r, rounded
 from kinelane.schema import AXES, LENGTH, PROFILES, SEQ, SERIES
 from kinelane.session import work_path
-from kinelane.sources.recordings import embedding_series, epoch_us, event_series, scan_written
+from kinelane.sources.recordings import Scan, embedding_series, epoch_us, event_series, scan_recordings, scan_written, table
 from kinelane.sources.sinks import load_model, save_model, write_labelled, write_recordings
 
 RAW = PROFILES["P8_RAW"]
@@ -34,6 +35,45 @@ def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(SERIES, SEQ, LENGTH, "timestamp_acc", "timestamp_gyro", *[F.round(a, 6).alias(a) for a in AXES])
 
 
+def _written(spark: SparkSession, folder: str) -> str:
+    """Forty recordings as plain files with a header; of ten, three have a wrong header, a short row or a text value."""
+    events = table(spark, folder, "events")
+    k = F.col("user_id") % 40
+    rows = number_rows(events.select(F.concat(F.lit("rec_"), k.cast("string")).alias(SERIES), k.alias("k"), "ts", "event_id", "value"), ["ts", "event_id"])
+    ms = F.floor(epoch_us("ts") / 1000).cast("long")
+    numbers = [ms, *[F.col("value") * (i + 1) for i in range(3)], ms + 5, *[F.col("value") * (i + 4) for i in range(3)]]
+    line = F.concat_ws(",", *[c.cast("string") for c in numbers])
+    line = F.when((F.col("k") % 10 == 2) & (F.col(SEQ) == 0), "1,2,3").otherwise(line)
+    line = F.when((F.col("k") % 10 == 3) & (F.col(SEQ) == 0), F.lit(",".join(["x"] * 8))).otherwise(line)
+    heads = rows.filter(F.col(SEQ) == 0).select(SERIES, F.lit(-1).cast("long").alias(SEQ), F.when(F.col("k") % 10 == 1, F.lit(",".join(RAW).replace("acc_x", "ax"))).otherwise(F.lit(",".join(RAW))).alias("value"))
+    lines = heads.unionByName(rows.select(SERIES, SEQ, line.alias("value")))
+    path = work_path(spark, "scan")
+    dealt = lines.withColumnRenamed(SERIES, "name").repartition(F.col("name")).sortWithinPartitions("name", SEQ)
+    dealt.select("name", "value").write.partitionBy("name").option("lineSep", "\n").format("text").save(path)
+    return path
+
+
+def _scan(spark: SparkSession, folder: str, large: bool = False) -> Scan:
+    """What a scan finds in the written files; the folder of a file is its name."""
+    found = scan_recordings(spark, f"{_written(spark, folder)}/*", large_files=large, pattern="*.txt")
+    name = F.regexp_extract(F.col(SERIES), r"name=([^/]+)", 1)
+    return Scan(*[df.withColumn(SERIES, name) for df in found])
+
+
+def _scanned(spark: SparkSession, folder: str, large: bool = False) -> DataFrame:
+    rows = _scan(spark, folder, large).recordings
+    return rows.select(SERIES, SEQ, LENGTH, "timestamp_acc", "timestamp_gyro", *[F.round(a, 6).alias(a) for a in AXES])
+
+
+SCAN_SQL = f"""
+WITH e AS (SELECT user_id % 40 AS k, value, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms,
+       row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) - 1 AS seq,
+       count(*) OVER (PARTITION BY user_id % 40) AS n FROM events)
+SELECT 'rec_' || CAST(k AS VARCHAR) AS series_id, seq, n, ms AS timestamp_acc, ms + 5 AS timestamp_gyro,
+       {", ".join(f"{r(f'value * {i + 1}')} AS {a}" for i, a in enumerate(AXES))}
+FROM e WHERE k % 10 NOT IN (1, 2, 3)"""
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "labelled")
     names = F.when(F.col(SERIES).isin("click", "view"), F.concat(F.lit("flexion_cuello_"), SERIES)).when(
@@ -78,6 +118,14 @@ QUERIES = {
         f"""SELECT CASE event_type WHEN 'error' THEN 'extension_cuello_' ELSE 'flexion_cuello_' END || event_type AS series_id,
   CASE event_type WHEN 'error' THEN 1 ELSE 0 END AS label, count(*) AS rows, {r('sum(value)', 4)} AS total
 FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY event_type""",
+    ),
+    "scan_recordings": Query(_scanned, SCAN_SQL),
+    "scan_large_files": Query(lambda s, d: _scanned(s, d, large=True), SCAN_SQL),
+    "scan_rejects": Query(
+        lambda s, d: _scan(s, d).rejects,
+        """SELECT DISTINCT 'rec_' || CAST(user_id % 40 AS VARCHAR) AS series_id, CASE user_id % 10 WHEN 1 THEN 'wrong header'
+  WHEN 2 THEN 'wrong number of columns' ELSE 'value is not a number' END AS reason
+FROM events WHERE user_id % 10 IN (1, 2, 3)""",
     ),
     "stored_scaler": Query(
         _stored_scaler,

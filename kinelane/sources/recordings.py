@@ -35,20 +35,20 @@ def _name(column: str, root: str) -> Column:
     return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
-def _lines_of_small_files(spark: SparkSession, path: str) -> DataFrame:
+def _lines_of_small_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``(series_id, line_no, line)`` without a shuffle: one file is one value."""
-    whole = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True)
+    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     return whole.select(_name("_metadata.file_path", path).alias(SERIES), F.posexplode(lines).alias("line_no", "line"))
 
 
-def _lines_of_large_files(spark: SparkSession, path: str) -> DataFrame:
+def _lines_of_large_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """The same for files read in many splits.
 
     Inside one split rows are read in file order, so the position is the number of rows in earlier splits
     of the file plus the rank in its own split.
     """
-    raw = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    raw = spark.read.option("pathGlobFilter", pattern).text(path)
     rows = raw.select(
         _name("_metadata.file_path", path).alias(SERIES),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -65,16 +65,16 @@ def _lines_of_large_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_recordings(
-    spark: SparkSession, path: str, profile: str = "P8_RAW", large_files: bool = False, check_header: bool = True
+    spark: SparkSession, path: str, profile: str = "P8_RAW", large_files: bool = False, check_header: bool = True, pattern: str = "*.csv"
 ) -> Scan:
-    """A directory of recording files, one series per ``*.csv``.
+    """A directory of recording files, one series per file that fits ``pattern``.
 
     The profile gives the columns by position; ``check_header`` also wants the header to name exactly
     them (always for ``P8_RAW``). A series with a wrong header, a wrong column count, a value that is not
     a number or no rows at all goes to the rejects.
     """
     names = PROFILES[profile]
-    lines = (_lines_of_large_files if large_files else _lines_of_small_files)(spark, path)
+    lines = (_lines_of_large_files if large_files else _lines_of_small_files)(spark, path, pattern)
     cells = F.split("line", ",", -1)
     body = lines.withColumn("_cells", cells)
     wrong_header = (F.col("line_no") == 0) & (F.trim("line") != ",".join(names))
@@ -105,7 +105,7 @@ def scan_recordings(
     )
     rejects = per_series.filter(F.col("reason").isNotNull()).select(SERIES, "reason")
     # Files without any line have no rows above, and readers skip empty files: the paths come from the listing.
-    paths = [(p,) for p in spark.read.option("pathGlobFilter", "*.csv").text(path).inputFiles()]
+    paths = [(p,) for p in spark.read.option("pathGlobFilter", pattern).text(path).inputFiles()]
     listed = spark.createDataFrame(paths, "path string").select(_name("path", path).alias(SERIES))
     blank = listed.join(per_series, SERIES, "left_anti").withColumn("reason", F.lit("no rows"))
     return Scan(recordings, rejects.unionByName(blank))

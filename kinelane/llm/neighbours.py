@@ -40,18 +40,24 @@ def distinct_vectors(vectors: DataFrame, members: int) -> DataFrame:
     return few.withColumn("node", F.min("vec_id").over(Window.partitionBy("vector")))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[int, list[pa.RecordBatch]], None]) -> None:
-    """Calls ``work`` for the rows of each value of the first column; rows come sorted by it."""
-    held, at = [], None
+def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[int, list[pa.RecordBatch]], None], most: int = 1 << 60) -> None:
+    """Calls ``work`` for the rows of each value of the first column, ``most`` at a time; rows come sorted by it."""
+    held, at, n = [], None, 0
     for batch in batches:
         keys = batch.column(0).to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() if len(keys) else []
         for a, b in zip(cuts, [*cuts, len(keys)][1:], strict=True) if cuts else ():
             if keys[a] != at and held:
                 work(at, held)
-                held = []
+                held, n = [], 0
             at = keys[a]
-            held.append(batch.slice(a, b - a))
+            while a < b:
+                size = min(b - a, most - n)
+                held.append(batch.slice(a, size))
+                a, n = a + size, n + size
+                if n == most:
+                    work(at, held)
+                    held, n = [], 0
     if held:
         work(at, held)
 
@@ -141,19 +147,16 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
         best = _Best(degree)
 
         def compare(_, rows: list[pa.RecordBatch]) -> None:
-            ids, new, worst, x = _column(rows, 1), _column(rows, 2).astype(bool), _column(rows, 3), _vectors(rows, 4)
-            for a in range(0, len(ids), CHUNK):
-                own = slice(a, a + CHUNK)
-                if not new[own].any():
-                    continue
-                d = _squares(x[own])
-                useful = (d < worst[own][:, None]) & (new[own][:, None] | new[own][None])
-                useful &= ids[own][:, None] != ids[own][None]
-                i, j = np.nonzero(useful)
-                if len(i):
-                    best.add(ids[own][i], ids[own][j], d[i, j])
-
-        _grouped(batches, compare)
+            ids, new, worst = _column(rows, 1), _column(rows, 2).astype(bool), _column(rows, 3)
+            if not new.any():
+                return
+            d = _squares(_vectors(rows, 4))
+            useful = (d < worst[:, None]) & (new[:, None] | new[None]) & (ids[:, None] != ids[None])
+            i, j = np.nonzero(useful)
+            if len(i):
+                best.add(ids[i], ids[j], d[i, j])
+
+        _grouped(batches, compare, CHUNK)
         yield best.batch()
 
     for turn in range(rounds if count > degree + 1 else 0):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,29 +20,76 @@ from kinelane.llm.units import UnitCache, byte_units
 LANE_ROWS = 20_000
 
 
+# Fixed value: how byte-level vocabularies split text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes of every token with its id, if merging by lowest id is what the file's list of merges says; else None."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or spec["normalizer"] or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    if made != sorted(made):
+        return None
+    # Bytes that print stand for themselves, the others for the characters from 256 on, in order.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+
+
 class Ids:
-    """Ids of whole texts for one worker, joined from cached ids of the units between spaces."""
+    """Ids of whole texts for one worker, joined from cached ids of the units between spaces.
 
-    def __init__(self, path: str):
-        import os
+    Units without special tokens are merged by rank, which is several times as fast as the vocabulary's own library and
+    gives the same ids; all others, and vocabularies of another kind, go through the library.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = merge_ranks(path)
+        self.ranked = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.break_id = self._encode(["\n"])[0]
         self.units = UnitCache(self._merge, limit=300_000)
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _merge(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        """Ids of " " + unit. Units without a line break are merged together, one per line, and cut at the breaks."""
+        out: list[bytes | None] = [None] * len(units)
+        if self.ranked and len(self.break_id) == 1:
+            plain = [k for k, u in enumerate(units) if u and "\n" not in u and not (u[0].isspace() or u[-1].isspace() or any(t in u for t in self.special))]
+            ids = np.array(self.ranked.encode_ordinary(" " + "\n ".join([units[k] for k in plain])), np.uint32)
+            breaks = np.flatnonzero(ids == self.break_id[0])
+            if plain and len(breaks) == len(plain) - 1:
+                raw = ids.tobytes()
+                for k, a, b in zip(plain, [0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), len(raw)], strict=True):
+                    out[k] = raw[a:b]
+        left = [k for k, found in enumerate(out) if found is None]
+        for k, ids in zip(left, self._encode([" " + units[k] for k in left]), strict=True):
+            out[k] = np.array(ids, np.uint32).tobytes()
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for text in texts:
-            first, *rest = byte_units(text)
-            split.append([first, *[" " + u for u in rest]] if first or rest else [])
+        split = [byte_units(text) for text in texts]
+        heads = self._encode([units[0] for units in split])
+        for units in split:
+            del units[0]
         self.units.fill(split)
-        return [b"".join(map(self.units.__getitem__, units)) for units in split]
+        get = self.units.__getitem__
+        return [np.array(head, np.uint32).tobytes() + b"".join(map(get, units)) for head, units in zip(heads, split, strict=True)]
 
 
 @lru_cache(maxsize=2)

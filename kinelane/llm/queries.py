@@ -72,4 +72,32 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op5_nearest_neighbours, op6_toxicity, op7_quality_rules, op8_piece_codec, op9_suffix_repeats, op10_passages)}
-SQL: dict[str, str] = {}
+#: DuckDB twins of the operators that SQL can express; the others are tested against libraries and brute force.
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (
+         SELECT win.doc_id, i, unnest(range(50)) AS j FROM win JOIN least USING (k) WHERE first < win.doc_id)),
+words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM s WHERE n >= 400)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win JOIN twice USING (k)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM spans),
+kept AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS t, max(b) AS last
+         FROM gaps JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT s.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM s LEFT JOIN kept USING (doc_id)"""
+
+SQL = {"op9_suffix_repeats": REPEATS_SQL, "op10_passages": PASSAGES_SQL}

@@ -29,13 +29,17 @@ def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 def _accent_map() -> tuple[str, str]:
     """Latin letters to their base letter; combining marks have no counterpart, so they vanish."""
     kept, removed, bases = [], [], []
     for low, high in LATIN:
         for code in range(low, high + 1):
             ch = chr(code)
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+            base = _without_marks(ch)
             if base == "":
                 removed.append(ch)
             elif len(base) == 1 and base != ch:
@@ -54,12 +58,11 @@ def strip_accents(c: Column, exact: bool = False) -> Column:
 
     @F.pandas_udf("string")
     def decompose(text: pd.Series) -> pd.Series:
-        def one(s: str | None) -> str | None:
-            if s is None or s.isascii():
-                return s
-            return "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch))
-
-        return text.map(one, na_action="ignore")
+        # One pass over a text at a time; equal and plain texts are not decomposed again.
+        other = text[~text.isna()].drop_duplicates()
+        other = other[~other.map(str.isascii)]
+        made = dict(zip(other, other.map(_without_marks), strict=True))
+        return text.map(lambda s: made.get(s, s), na_action="ignore")
 
     return decompose(c)
 

@@ -13,10 +13,9 @@ def confusion_cells(df: DataFrame, label: str = "label", prediction: str = "pred
     counts = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count("*").alias("count")
     )
-    # Everything below works on at most classes**2 rows.
-    classes = counts.select(F.array("label", "prediction").alias("c")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("c")
-    )
+    # Everything below works on the classes, of which there are few: sets of them are merged, never lists of pairs.
+    classes = counts.agg(F.collect_set("label").alias("a"), F.collect_set("prediction").alias("b"))
+    classes = classes.select(F.array_sort(F.array_union("a", "b")).alias("c"))
     grid = classes.select(F.explode("c").alias("label"), "c").select("label", F.explode("c").alias("prediction"))
     return grid.join(counts, ["label", "prediction"], "left").withColumn(
         "count", F.coalesce("count", F.lit(0).cast("long"))

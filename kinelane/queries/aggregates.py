@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import threshold
+from kinelane.functions.text import CLASS_NAMES
 from kinelane.operators.lanes import short_series
 from kinelane.operators.learning import series_means, silhouette
 from kinelane.operators.metrics import (
@@ -141,8 +142,6 @@ SELECT {r('avg(CASE WHEN own = 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greates
 
 J = f"j AS (SELECT {TRUTH} AS label, {GUESS} AS prediction FROM events)"
 Q = "q AS (SELECT quality AS label, toxic AS prediction FROM labels)"
-NAMED = {0: "Flexión", 1: "Extensión", 2: "Idle", 3: "Flex baja"}
-
 QUERIES = {
     "series_means": Query(
         lambda s, d: rounded(series_means(embedding_series(s, d), AXES), [SERIES], AXES),
@@ -166,7 +165,7 @@ FROM q GROUP BY label""",
     ),
     "class_report": Query(lambda s, d: _report(judged(s, d)), f"WITH {J}, {report_sql('j')}"),
     "class_report_named": Query(
-        lambda s, d: _report(judged(s, d), NAMED),
+        lambda s, d: _report(judged(s, d), CLASS_NAMES),
         f"WITH {J}, {report_sql('j')}".replace(
             "SELECT name, (round(p",
             "SELECT CASE name WHEN '0' THEN 'Flexión' WHEN '1' THEN 'Extensión' WHEN '2' THEN 'Idle' WHEN '3' THEN 'Flex baja' ELSE name END AS name, (round(p",

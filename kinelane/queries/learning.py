@@ -28,8 +28,9 @@ from kinelane.operators.splits import class_weights, random_split
 from kinelane.operators.verdicts import mean_probability, mean_vector
 from kinelane.operators.windows import forecast_windows, segment_features, sliding_windows
 from kinelane.functions.signal import magnitude
+from kinelane.functions.text import CLASS_NAMES
 from kinelane.queries import Query
-from kinelane.queries.common import rounded
+from kinelane.queries.common import EM, r, rounded
 from kinelane.schema import AXES, SEQ, SERIES
 from kinelane.sources.recordings import embedding_series, event_series, table
 
@@ -151,6 +152,21 @@ def _score(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 4)
 
 
+def _score_sql() -> str:
+    """The same fixed model: softmax of a linear score of the window's means, averaged per series."""
+    weights = np.linspace(-1.0, 1.0, len(AXES) * 4, dtype=np.float32).reshape(len(AXES), 4)
+    raw = [" + ".join(f"{a} * {float(weights[i, c])!r}" for i, a in enumerate(AXES)) for c in range(4)]
+    names = " ".join(f"WHEN {k} THEN '{v}'" for k, v in CLASS_NAMES.items())
+    return f"""
+WITH {EM}, w AS (SELECT series_id, unnest(range(0, n - 9, 5)) AS s FROM em WHERE seq = 0 AND n >= 10),
+m AS (SELECT w.series_id, s, {", ".join(f"avg({a}) AS {a}" for a in AXES)}
+      FROM w JOIN em ON em.series_id = w.series_id AND em.seq BETWEEN s AND s + 9 GROUP BY w.series_id, s),
+e AS (SELECT series_id, {", ".join(f"exp({x}) AS e{c}" for c, x in enumerate(raw))} FROM m),
+p AS (SELECT series_id, {", ".join(f"avg(e{c} / (e0 + e1 + e2 + e3)) AS p{c}" for c in range(4))} FROM e GROUP BY series_id),
+k AS (SELECT *, CASE greatest(p0, p1, p2, p3) WHEN p0 THEN 0 WHEN p1 THEN 1 WHEN p2 THEN 2 ELSE 3 END AS class FROM p)
+SELECT series_id, class, CASE class {names} END AS class_name, {", ".join(f"{r(f'p{c}', 4)} AS p{c}" for c in range(4))} FROM k"""
+
+
 QUERIES = {
     "forest_rows": Query(_forest_rows),
     "forest_segments": Query(_forest_segments),
@@ -161,5 +177,5 @@ QUERIES = {
     "training_history": Query(_training_history),
     "cluster": Query(_cluster),
     "pca2": Query(_pca),
-    "score_windows": Query(_score),
+    "score_windows": Query(_score, _score_sql()),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -14,9 +16,11 @@ from kinelane.queries import Query
 from kinelane.queries.common import EV, r
 from kinelane.schema import SEQ, SERIES
 from kinelane.sources.recordings import event_series, table
-from kinelane.streaming.live import count_windows, detect_motion, pointed_feed, time_windows, to_table
+from kinelane.streaming.live import count_windows, detect_motion, pointed_feed, time_windows, to_table, with_end
 from kinelane.session import work_path
 
+FILE_ROWS = 1_000_000  # rows of a file of the written feed
+
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table as a file stream (the pattern keeps a single file or a folder of parts readable)."""
@@ -46,7 +50,8 @@ def _count_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered recordings are written as a stream's input and cut into windows as they arrive."""
     source = work_path(spark, "stream-source")
     rows = event_series(spark, folder).select(SERIES, SEQ, "value")
-    rows.repartitionByRange(6, SEQ).write.parquet(source)
+    files = max(6, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, SEQ).write.parquet(source)
     feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     out = to_table(count_windows(feed, ["value"], 100, 10), "stream-windows")
     total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v[0])
@@ -58,13 +63,15 @@ def _count_windows(spark: SparkSession, folder: str) -> DataFrame:
 def _time_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly windows every half hour: the 1 s / 100 ms windows of a live sensor at this table's pace.
 
-    Spark sends a window once the watermark has passed its end, so the last ones stay open.
+    The feed is ended after its last row, so that the last windows go out as well.
     """
     feed = _stream(spark, folder, "events").select(
         F.col("event_type").alias(SERIES), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
+    feed, end = with_end(feed, "ts")
+    last = table(spark, folder, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
     out = time_windows(feed, ["value"], width="1 hour", slide="30 minutes", late="10 minutes")
-    made = to_table(out, "stream-time")
+    made = to_table(out, "stream-time", then=lambda: end((last or datetime(2000, 1, 1)) + timedelta(hours=3)))
     return made.select(
         SERIES, F.unix_micros("start").alias("start_us"), "samples", F.round("value_mean", 5).alias("value_mean"), F.round("value_std", 5).alias("value_std")
     )
@@ -82,9 +89,8 @@ FROM w JOIN ev x ON x.series_id = w.series_id AND x.seq BETWEEN w.start AND w.st
     "stream_time_windows": Query(
         _time_windows,
         f"""
-WITH m AS (SELECT max(epoch_us(ts)) - 600000000 AS mark FROM events),
-x AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 1800000000 * 1800000000, epoch_us(ts) // 1800000000 * 1800000000 - 1800000000]) AS start_us FROM events)
+WITH x AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 1800000000 * 1800000000, epoch_us(ts) // 1800000000 * 1800000000 - 1800000000]) AS start_us FROM events)
 SELECT series_id, CAST(start_us AS BIGINT) AS start_us, count(*) AS samples, {r('avg(value)', 5)} AS value_mean, {r('stddev_samp(value)', 5)} AS value_std
-FROM x, m WHERE start_us + 3600000000 <= mark // 1000 * 1000 GROUP BY series_id, start_us""",
+FROM x GROUP BY series_id, start_us""",
     ),
 }

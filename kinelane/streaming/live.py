@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from kinelane.operators.lanes import LANE, Lanes
 from kinelane.schema import SEQ, SERIES
@@ -108,19 +110,41 @@ def time_windows(
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c not in ("w", *keys)])
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input into a table in the shared folder and read it back."""
+def with_end(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[datetime], None]]:
+    """A feed that can be ended, and the function that ends it.
+
+    A window goes out once the watermark has passed its end, so the last ones of a finished feed would stay open. The
+    end is a row without key at the given time, read from a source of its own after all others.
+    """
+    spark, path = stream.sparkSession, work_path(stream.sparkSession, "stream-end")
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def end(at: datetime) -> None:
+        row = tuple(at if f.name == ts else None for f in schema)
+        spark.createDataFrame([row], StructType([StructField(f.name, f.dataType) for f in schema])).coalesce(1).write.mode("append").parquet(path)
+
+    return stream.unionByName(spark.readStream.schema(schema).parquet(path)), end
+
+
+def to_table(stream: DataFrame, name: str, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over all available input into a table in the shared folder and read it back.
+
+    ``then`` is called when the input is used up, and the stream goes on from there with what came meanwhile.
+    """
     spark = stream.sparkSession
     path = work_path(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", f"{path}/rows")
         .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    writer.start().awaitTermination()
+    if then is not None:
+        then()
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from kinelane.llm.common import lanes_for, stored
 
 #: Neighbours kept per node, rounds of descent at most, and the share of edges that a round must change to go on.
-DEGREE, ROUNDS, SETTLED = 24, 8, 0.02
+DEGREE, ROUNDS, SETTLED = 24, 20, 0.02
 #: Nodes compared with one another at the start, and members of a node compared at a time.
 BLOCK, CHUNK = 1024, 96
 #: Nodes a search keeps open per query, and how many times the wanted number is scored exactly.
-BEAM, RESCORED = 128, 4
+BEAM, RESCORED = 320, 4
 EDGE = "u long, v long, d float"
 
 
@@ -183,10 +183,11 @@ def _squares_to(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """``query_id, node, d``: everything a greedy search visits, from ``queries`` (query_id, packed, start).
+    """``query_id, node, d``: the nearest ``beam`` nodes that a greedy search visits, from ``queries`` (query_id, packed, start).
 
-    Each hop opens, for every query, the nearest ``beam`` visited nodes that are not open yet, joins their neighbours in
-    both directions and measures those not visited before; it ends when the nearest ``beam`` are all open.
+    Each hop opens, for every query, those of its nearest ``beam`` nodes that are not open yet, joins their neighbours in
+    both directions and measures them; it ends when the nearest ``beam`` are all open. What is farther than ``beam``
+    nodes can never come back, so a query holds no more rows than that, however many nodes it visits.
     """
     adjacent = stored(graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "adjacent")
     asked = queries.select("query_id", "packed")
@@ -211,18 +212,16 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
         dealt = marked.repartition(F.col("query_id")).sortWithinPartitions("query_id", "node")
         return dealt.mapInArrow(measure, "query_id long, node long, d float")
 
-    visited = distances(queries.select("query_id", F.col("start").alias("node"))).withColumn("opened", F.lit(False))
-    visited = stored(visited, "visited")
+    pool = stored(distances(queries.select("query_id", F.col("start").alias("node"))).withColumn("opened", F.lit(False)), "pool")
     while True:
-        ranked = visited.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node")))
-        opening = stored(ranked.filter((F.col("rank") <= beam) & ~F.col("opened")).select("query_id", "node"), "opening")
+        opening = pool.filter(~F.col("opened")).select("query_id", "node")
         if opening.isEmpty():
-            return visited.select("query_id", "node", "d")
+            return pool.select("query_id", "node", "d")
         reached = opening.join(adjacent, opening["node"] == adjacent["u"]).select("query_id", F.col("v").alias("node")).distinct()
-        fresh = reached.join(visited, ["query_id", "node"], "left_anti")
-        now = visited.join(opening.withColumn("now", F.lit(True)), ["query_id", "node"], "left")
-        now = now.select("query_id", "node", "d", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        visited = stored(now.union(distances(fresh).withColumn("opened", F.lit(False))), "visited")
+        fresh = distances(reached.join(pool, ["query_id", "node"], "left_anti")).withColumn("opened", F.lit(False))
+        every = pool.withColumn("opened", F.lit(True)).unionByName(fresh)
+        ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node")))
+        pool = stored(ranked.filter(F.col("rank") <= beam).drop("rank"), "pool")
 
 
 def nearest(df: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:

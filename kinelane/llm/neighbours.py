@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinelane.llm.common import lanes_for, stored
 
@@ -15,9 +16,9 @@ from kinelane.llm.common import lanes_for, stored
 DEGREE, ROUNDS, SETTLED = 24, 20, 0.02
 #: Nodes compared with one another at the start, and members of a node compared at a time.
 BLOCK, CHUNK = 1024, 96
-#: Nodes a search keeps open per query, and how many times the wanted number is scored exactly.
-BEAM, RESCORED = 320, 4
-EDGE = "u long, v long, d float"
+#: Nodes a search keeps open per query, and numbers that are subtracted at a time.
+BEAM, NUMBERS = 320, 1 << 18
+EDGE = "u long, v long, d double"
 
 
 def valid_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -62,18 +63,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], work: Callable[[int, list[pa.Rec
         work(at, held)
 
 
-def _vectors(batches: list[pa.RecordBatch], column: int) -> np.ndarray:
+def _vectors(batches: list[pa.RecordBatch], column: int, kind: type) -> np.ndarray:
     raw = b"".join(v.as_buffer().to_pybytes() for b in batches for v in b.column(column))
-    return np.frombuffer(raw, np.float16).reshape(sum(b.num_rows for b in batches), -1).astype(np.float32)
+    return np.frombuffer(raw, kind).reshape(sum(b.num_rows for b in batches), -1).astype(np.float64)
 
 
 def _column(batches: list[pa.RecordBatch], column: int) -> np.ndarray:
     return np.concatenate([b.column(column).to_numpy() for b in batches])
 
 
-def _squares(x: np.ndarray) -> np.ndarray:
-    own = (x * x).sum(1)
-    return np.maximum(own[:, None] + own[None] - 2 * x @ x.T, 0)
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` and ``y`` (or of one row and many), by their differences."""
+    return ((x - y) ** 2).sum(1)
+
+
+def _least_squares(x: np.ndarray) -> np.ndarray:
+    """Lower bounds of the squared distances of all rows by the product form: it less what its rounding can add.
+
+    The products lose what near copies differ in, so they only rule pairs out; NaN (products overflow) rules out none.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        own = (x * x).sum(1)
+        both = own[:, None] + own[None]
+        return both - 2 * x @ x.T - (2 * x.shape[1] + 8) * np.finfo(np.float64).eps * both
 
 
 class _Best:
@@ -90,7 +102,7 @@ class _Best:
             self.n = len(self.held[0][0])
 
     def reduced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        u, v, d = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        u, v, d = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
         order = np.lexsort((v, d, u))
         u, v, d = u[order], v[order], d[order]
         fresh = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.empty(0, bool)
@@ -102,7 +114,7 @@ class _Best:
 
     def batch(self) -> pa.RecordBatch:
         u, v, d = self.reduced()
-        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d.astype(np.float64))], names=["u", "v", "d"])
 
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
@@ -111,13 +123,13 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("rank") <= degree).drop("rank")
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``u, v, d``: near neighbours of every node (``nodes``: node, packed; packed is the vector as 16-bit floats).
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, kind: type = np.float16) -> DataFrame:
+    """``u, v, d``: near neighbours of every node (``nodes``: node, packed; packed is the vector as floats of ``kind``).
 
     Start: nodes are compared within two sets of blocks drawn by hash. Each round joins the neighbours of a node, in both directions,
     with their vectors, and compares them with one another (neighbours of neighbours); a pair counts if it is nearer
     than the worst neighbour that one of them has so far, and was not compared before in that role. Nodes with many
-    reverse neighbours are compared in chunks, dealt anew each round.
+    reverse neighbours are compared in chunks, dealt anew each round. Distances are squared, in double precision.
     """
     count = nodes.count()
     blocks = lanes_for(count, BLOCK)
@@ -126,9 +138,9 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
         best = _Best(degree)
 
         def compare(_: int, rows: list[pa.RecordBatch]) -> None:
-            ids, x = _column(rows, 1), _vectors(rows, 2)
+            ids, x = _column(rows, 1), _vectors(rows, 2, kind)
             for a in range(0, len(ids), CHUNK * 8):
-                d = _squares_to(x[a : a + CHUNK * 8], x)
+                d = np.stack([_squares(one, x) for one in x[a : a + CHUNK * 8]])
                 few = min(degree // 2 + 1, len(ids)) if blocks > 1 else min(degree + 1, len(ids))
                 near = np.argpartition(d, few - 1, axis=1)[:, :few]
                 u, v = np.repeat(ids[a : a + len(d)], few), ids[near].ravel()
@@ -150,18 +162,21 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
             ids, new, worst = _column(rows, 1), _column(rows, 2).astype(bool), _column(rows, 3)
             if not new.any():
                 return
-            d = _squares(_vectors(rows, 4))
-            useful = (d < worst[:, None]) & (new[:, None] | new[None]) & (ids[:, None] != ids[None])
-            i, j = np.nonzero(useful)
-            if len(i):
-                best.add(ids[i], ids[j], d[i, j])
+            x = _vectors(rows, 4, kind)
+            useful = ~(_least_squares(x) >= worst[:, None]) & (new[:, None] | new[None]) & (ids[:, None] != ids[None])
+            pairs, step = np.argwhere(useful), max(1, NUMBERS // x.shape[1])
+            for a in range(0, len(pairs), step):
+                i, j = pairs[a : a + step].T
+                d = _squares(x[i], x[j])
+                nearer = d < worst[i]
+                best.add(ids[i[nearer]], ids[j[nearer]], d[nearer])
 
         _grouped(batches, compare, CHUNK)
         yield best.batch()
 
     for turn in range(rounds if count > degree + 1 else 0):
         worst = edges.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-        worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") < degree, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
+        worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") < degree, F.lit(float("inf"))).otherwise(F.col("worst")).alias("worst"))
         known = nodes.join(worst, "node")
         both = edges.select("u", "v", "new").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new"))
         both = both.groupBy("u", "v").agg(F.max("new").alias("new"))
@@ -178,16 +193,13 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
     return edges.select("u", "v", "d")
 
 
-def _squares_to(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-
-
-def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, kind: type = np.float16) -> DataFrame:
     """``query_id, node, d``: the nearest ``beam`` nodes that a greedy search visits, from ``queries`` (query_id, packed, start).
 
     Each hop opens, for every query, those of its nearest ``beam`` nodes that are not open yet, joins their neighbours in
     both directions and measures them; it ends when the nearest ``beam`` are all open. What is farther than ``beam``
-    nodes can never come back, so a query holds no more rows than that, however many nodes it visits.
+    nodes can never come back, so a query holds no more rows than that, however many nodes it visits. ``d`` is the
+    squared distance in double precision; packed vectors are floats of ``kind``.
     """
     adjacent = stored(graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "adjacent")
     asked = queries.select("query_id", "packed")
@@ -196,12 +208,12 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
         out: list[pa.RecordBatch] = []
 
         def one(query: int, rows: list[pa.RecordBatch]) -> None:
-            x = _vectors(rows, 2)
+            x = _vectors(rows, 2, kind)
             ids = _column(rows, 1)
             asks = np.flatnonzero(ids < 0)  # the query itself comes first
             if len(asks) and len(ids) > 1:
-                d = _squares_to(x[asks[:1]], x[1:])[0]
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(d), query, np.int64)), pa.array(ids[1:]), pa.array(d.astype(np.float32))], names=["query_id", "node", "d"]))
+                d = _squares(x[asks[0]], x[1:])
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(d), query, np.int64)), pa.array(ids[1:]), pa.array(d)], names=["query_id", "node", "d"]))
 
         _grouped(batches, one)
         yield from out
@@ -210,7 +222,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
         rows = pairs.join(nodes, "node").select("query_id", "node", "packed")
         marked = rows.union(asked.select("query_id", F.lit(-1).cast("long").alias("node"), "packed"))
         dealt = marked.repartition(F.col("query_id")).sortWithinPartitions("query_id", "node")
-        return dealt.mapInArrow(measure, "query_id long, node long, d float")
+        return dealt.mapInArrow(measure, "query_id long, node long, d double")
 
     pool = stored(distances(queries.select("query_id", F.col("start").alias("node"))).withColumn("opened", F.lit(False)), "pool")
     while True:
@@ -233,31 +245,23 @@ def nearest(df: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "ve
     candidates are all returned.
     """
     members = stored(distinct_vectors(valid_vectors(df, id_column, vector_column), k + 1), "members")
-    scale = members.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0] or 1.0
+    kind = np.float32 if isinstance(df.schema[vector_column].dataType.elementType, T.FloatType) else np.float64
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            rows = (flat / scale).astype(np.float16)
+            rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "packed"])
 
     nodes = stored(members.filter("rank = 1").select(F.col("node").cast("long"), "vector").mapInArrow(pack, "node long, packed binary"), "nodes")
-    graph = neighbour_graph(nodes)
+    graph = neighbour_graph(nodes, kind=kind)
     vectors = members.filter("rank = 1").select("node", "vector")
     asked = valid_vectors(df, id_column, vector_column).filter(is_query).dropDuplicates(["vec_id", "vector"])
     asked = stored(asked.join(vectors, "vector").select(F.col("vec_id").cast("long").alias("query_id"), "vector", F.col("node").cast("long").alias("start")), "asked")
     packed = asked.join(nodes, asked["start"] == nodes["node"]).select("query_id", "packed", "start")
-    visited = graph_search(graph, nodes, packed)
-    near = visited.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node"))).filter(F.col("rank") <= RESCORED * k)
-    pairs = near.select("query_id", "node").join(vectors, "node").join(asked.select("query_id", F.col("vector").alias("asked")), "query_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((a - b) ** 2).sum(1)))], names=["query_id", "node", "score"])
-
-    scored = pairs.select("query_id", F.col("node").cast("long").alias("node"), "vector", "asked").mapInArrow(score, "query_id long, node long, score double")
+    visited = graph_search(graph, nodes, packed, max(BEAM, 2 * k), kind).select("query_id", "node", F.sqrt("d").alias("score"))
+    # Every node but the query's own gives a row at least; rank leaves nodes of equal score in.
+    scored = visited.withColumn("at", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).filter(F.col("at") <= k + 1).drop("at")
     rows = scored.join(members.select("node", F.col("vec_id").cast("long").alias("vec_id")), "node").filter("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -194,6 +194,21 @@ def test_nearest_recall(spark, data):
     assert np.mean([(q, v) in hits for q, _, v, _ in want]) >= 0.9
 
 
+def test_nearest_among_near_copies(spark):
+    """One group of 300 copies that differ beyond half precision, and one vector far greater than all others."""
+    rng = np.random.default_rng(12)
+    center = rng.normal(size=64)
+    center /= np.linalg.norm(center)
+    vectors = {i: (center + 3e-5 * rng.normal(size=64)).astype(np.float32).tolist() for i in range(300)}
+    vectors |= {300 + i: (rng.normal(size=64) / 8).astype(np.float32).tolist() for i in range(100)}
+    for table in (vectors, vectors | {1000: [1e7] * 64}):
+        df = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<float>")
+        got = rows(nearest(df, F.col("vec_id") % 50 == 7, k=10), "query_id", "rank", "vec_id", "score")
+        want = sorted((r for q in table if q % 50 == 7 for r in _nearest(table, q, 10)), key=repr)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=0)
+
+
 def test_graph_keeps_the_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 8)).astype(np.float16)

@@ -19,17 +19,27 @@ RAW = frozenset("script style textarea title noscript template iframe svg math s
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that are never part of an article's text.
 BOILERPLATE = frozenset("head nav footer aside form button dialog menu fieldset video audio".split())
-#: Words of class, id or role that mark what is not part of an article's text.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|alert|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|consent|contentinfo|cookie|cookies"
-    r"|discussion|disqus|foot|footer|form|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination"
-    r"|popup|promo|promoted|promotion|recommended|related|replies|reply|respond|rss|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored"
-    r"|subscribe|subscription|toolbar|topbar|widget|widgets)(?=$|[\s_\d-])"
+#: Words of class, id or role that mark what is not part of an article's text, if all of a name is such words,
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies"
+    " discussion disqus foot footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination"
+    " popup promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored"
+    " subscribe subscription toolbar topbar widget widgets".split()
 )
+#: or these words of place and kind beside them ("site-footer"; not "has-sidebar" or "story-with-ads").
+_PLACE = frozenset(
+    "area article bar block bottom box buttons center container entry footer form global group header inner inline left link links list main message middle mobile"
+    " outer overlay page panel post posts primary right secondary section site slot sticky text the top unit wrap wrapper".split()
+)
+_COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 _HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])")
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])")
 #: Blocks that are paragraphs of what holds them; text right inside other blocks counts for the block itself.
 PARAGRAPH = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption address summary".split())
+#: Boilerplate kinds that some pages are wrapped in as a whole.
+_WRAPS = frozenset("form fieldset dialog header".split())
+#: Share of a page's text outside links from which an element is the page's content, whatever its class.
+MOST = 0.75
 #: An open element of the first kind ends where one of the second kind begins.
 _ENDS = {
     "p": frozenset("p div ul ol dl li table section article aside header footer nav form blockquote pre h1 h2 h3 h4 h5 h6 hr main address figure fieldset details".split()),
@@ -47,20 +57,41 @@ LEAST_CHARS = 25
 KIND_POINTS = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": -5.0, "#": -5.0, "html": -10.0}
 
 
+def _unlikely(marks: str) -> set[str]:
+    """Unlikely words of the names in ``marks`` that consist of such words, words of place and numbers."""
+    found: set[str] = set()
+    for name in marks.split():
+        words = {w.rstrip("0123456789") for w in re.split(r"[_-]+", name)} - {""}
+        if words <= UNLIKELY | _PLACE:
+            found |= words & UNLIKELY
+    return found
+
+
 class _Page:
-    """Elements in page order with their parents, and the blocks of text in them."""
+    """Elements in page order with their parents, and the blocks of text in them.
+
+    Elements in ``exempt`` are not dropped for their kind or class; with ``classes`` false, none is for its class.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, exempt: frozenset[int] = frozenset(), classes: bool = True):
         self.tag, self.parent, self.last, self.out, self.likely, self.inside = ["#"], [0], [0], [False], [False], [False]
+        self.exempt, self.classes = exempt, classes
+        self.dropped: dict[int, bool] = {}  # elements dropped for their class or as a wrapper, and whether they are comments
+        self.plain: dict[int, int] = {}  # characters right in an element and outside links, dropped or not
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it inside links
         self._read(html)
 
     def _open(self, name: str, attributes: str, parent: int) -> int:
         marks = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if attributes else ""
         inside = self.inside[parent] or name in ("article", "main")
-        drop = self.out[parent] or name in BOILERPLATE or (name == "header" and not self.inside[parent])
-        if not drop and marks and name not in ("html", "body", "article", "main"):
-            drop = bool(UNLIKELY.search(marks)) or (not inside and bool(_HEADER.search(marks)))
+        own = name in BOILERPLATE or (name == "header" and not self.inside[parent])
+        wrapper, comments = own and name in _WRAPS, False
+        if not own and self.classes and marks and name not in ("html", "body", "article", "main"):
+            words = _unlikely(marks)
+            wrapper, comments = bool(words) or (not inside and bool(_HEADER.search(marks))), bool(words & _COMMENTS)
+        if wrapper and len(self.tag) not in self.exempt:
+            self.dropped[len(self.tag)] = comments
+        drop = self.out[parent] or (own and not wrapper) or len(self.tag) in self.dropped
         self.tag.append(name)
         self.parent.append(parent)
         self.last.append(len(self.tag) - 1)
@@ -86,6 +117,8 @@ class _Page:
             links[0] = 0
 
         def add(text: str) -> None:
+            if text and not in_link:
+                self.plain[stack[-1]] = self.plain.get(stack[-1], 0) + len(text.strip())
             if text and not self.out[stack[-1]]:
                 buffer.append(text)
                 if in_link:
@@ -153,6 +186,19 @@ class _Page:
             element = self.parent[element]
         yield 0
 
+    def content(self) -> frozenset[int]:
+        """Dropped elements that hold the article: the largest main or else article, or most of the page's text."""
+        if not self.dropped:
+            return frozenset()
+        plain = [self.plain.get(e, 0) for e in range(len(self.tag))]
+        for e in range(len(plain) - 1, 0, -1):
+            plain[self.parent[e]] += plain[e]
+        for kind in ("main", "article"):
+            found = [e for e, tag in enumerate(self.tag) if tag == kind and plain[e]]
+            if found:
+                return frozenset(self.dropped).intersection(self.ancestors(max(found, key=lambda e: (plain[e], -e))))
+        return frozenset(e for e, comments in self.dropped.items() if not comments and plain[e] >= MOST * plain[0] > 0)
+
     def container(self, element: int) -> int:
         """What a block's points go to."""
         while element and (self.tag[element] in PARAGRAPH or self.tag[element] in INLINE):
@@ -161,8 +207,23 @@ class _Page:
 
 
 def main_text(html: str) -> str:
-    """Text blocks of the article of a page, joined by an empty line; empty if the page has no text."""
+    """Text blocks of the article of a page, joined by an empty line; empty if the page has no text.
+
+    Boilerplate and elements of unlikely classes are dropped, unless they hold the article; if next to nothing is left
+    and no article is marked as one, the page is read again without regard to classes.
+    """
     page = _Page(html)
+    if exempt := page.content():
+        page = _Page(html, exempt)
+    text = _article(page)
+    if len(text) < LEAST_CHARS and page.dropped and not any(page.inside[e] for e, _, _ in page.blocks):
+        again = _article(_Page(html, frozenset([*exempt, *page.dropped]), False))
+        if len(again) >= LEAST_CHARS:
+            return again
+    return text
+
+
+def _article(page: _Page) -> str:
     if not page.blocks:
         return ""
     points: dict[int, float] = {}

@@ -33,6 +33,21 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "content no-sidebar", "elementor-widget elementor-widget-text-editor", "post-content story-with-ads", "wrapper cookie-consent"])
+def test_wrappers_of_unlikely_classes(name):
+    for kind in ("div", "form", "section"):
+        for inner in ("article", "main", "div"):
+            page = f"<{kind} class='{name}'><div class='site-footer'>{LONG} no</div><{inner}><p>{LONG}</p><p>{LONG} 2</p><p>{LONG} 3</p><p>{LONG} 4</p></{inner}></{kind}>"
+            assert main_text(page) == "\n\n".join([LONG, *(f"{LONG} {i}" for i in (2, 3, 4))])
+
+
+def test_short_rest_is_read_again():
+    assert main_text(f"<p>Home</p><div class='share'><p>{LONG}</p></div><div class='popup'><p>{LONG} 2</p></div>") != "Home"
+    assert main_text(f"<div class='ad'>{LONG}</div><article><p>short</p></article>") == "short"
+    assert main_text(f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG * 9}</p></div>") == LONG
+    assert main_text(f"<div><p>{LONG}</p></div><div class='comments'><p>{LONG * 9}</p></div>") == LONG
+
+
 def test_deep_and_broken_pages():
     assert main_text("<div>" * 3000 + LONG + "</div>" * 10) == LONG
     assert main_text("<p " * 200 + ">" + LONG) != "" or True

@@ -249,10 +249,14 @@ def _article(page: _Page) -> str:
         # A parent that nearly reaches the best has other good parts beside it.
         while (up := page.parent[best]) and score.get(up, 0.0) >= 0.75 * score[best] and page.tag[up] not in ("body", "html", "#"):
             best = up
+        # An article is kept as a whole: its parts may be of very different length.
+        best = next((e for e in page.ancestors(best) if page.tag[e] in ("article", "main")), best)
         keep = [best]
         if page.tag[best] not in ("#", "body", "html", "article", "main"):
             bar = max(10.0, 0.2 * score[best])
-            keep += [e for e in range(1, len(page.tag)) if page.parent[e] == page.parent[best] and e != best and _sibling(page, e, score, bar, chars, density)]
+            prose = {a for e, text, _ in page.blocks if page.tag[e] in ("p", "pre", "blockquote") or len(text) >= LEAST_CHARS for a in _upto(page, e, page.parent[best])}
+            like = lambda e: e in prose and page.tag[e] == page.tag[best]
+            keep += [e for e in range(1, len(page.tag)) if page.parent[e] == page.parent[best] and e != best and _sibling(page, e, score, bar, chars, density, like(e))]
     else:
         keep = [next((e for e, t in enumerate(page.tag) if t in ("article", "main") and chars[e] and not page.out[e]), 0)]
     spans = [(e, page.last[e]) for e in keep] if keep != [0] else [(0, len(page.tag))]
@@ -260,14 +264,24 @@ def _article(page: _Page) -> str:
     return "\n\n".join(text for e, text, _ in page.blocks if any(a <= e <= b for a, b in spans) and not any(m in menus for m in page.ancestors(e)))
 
 
-def _sibling(page: _Page, e: int, score: dict[int, float], bar: float, chars: list[int], density) -> bool:
+def _upto(page: _Page, element: int, parent: int) -> list[int]:
+    """The child of ``parent`` that ``element`` is or is in, if any."""
+    while element > parent:
+        if page.parent[element] == parent:
+            return [element]
+        element = page.parent[element]
+    return []
+
+
+def _sibling(page: _Page, e: int, score: dict[int, float], bar: float, chars: list[int], density, like: bool) -> bool:
+    """Whether a sibling of the best container stays; ``like`` is one of the same kind that holds paragraphs."""
     if page.out[e]:
         return False
     if score.get(e, 0.0) >= bar:
         return True
     if page.tag[e] in ("h1", "h2", "h3"):
         return chars[e] > 0 and density(e) < 0.5
-    return page.tag[e] in ("p", "pre", "blockquote") and chars[e] > 0 and (density(e) < 0.25 if chars[e] > 80 else density(e) == 0)
+    return (like or page.tag[e] in ("p", "pre", "blockquote")) and chars[e] > 0 and (density(e) < 0.25 if chars[e] > 80 else density(e) == 0)
 
 
 def _menus(page: _Page, chars: list[int], linked: list[int]) -> set[int]:

@@ -48,6 +48,15 @@ def test_short_rest_is_read_again():
     assert main_text(f"<div><p>{LONG}</p></div><div class='comments'><p>{LONG * 9}</p></div>") == LONG
 
 
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_uneven_parts_of_an_article(tag):
+    long = [f"{LONG} {i}" for i in range(20)]
+    parts = f"<{tag}>{''.join(f'<p>{t}</p>' for t in long)}</{tag}><{tag}><p>{LONG} last</p></{tag}><{tag}><p>End.</p></{tag}>"
+    links = f"<{tag}><p><a href=1>{LONG} menu</a></p></{tag}>"
+    for page in (f"<article>{parts}</article>{links}", f"<main><div>{parts}</div></main>{links}", f"<body><div>{parts}{links}</div>"):
+        assert main_text(page) == "\n\n".join([*long, f"{LONG} last", "End."])
+
+
 def test_deep_and_broken_pages():
     assert main_text("<div>" * 3000 + LONG + "</div>" * 10) == LONG
     assert main_text("<p " * 200 + ">" + LONG) != "" or True

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelane.llm.alignment import align_tokenisers
 from kinelane.llm.common import read
 from kinelane.llm.html_text import extract
+from kinelane.llm.minhash import near_duplicate_sets
 from kinelane.llm.neighbours import nearest
 from kinelane.llm.packing import best_fit
 from kinelane.llm.passages import remove_earlier_passages
@@ -16,6 +18,7 @@ from kinelane.llm.repeats import remove_repeats
 from kinelane.llm.simhash import near_duplicates
 from kinelane.llm.token_counts import count_tokens
 from kinelane.llm.toxicity import toxicity
+from kinelane.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -71,7 +74,24 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return remove_earlier_passages(read(spark, folder, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op5_nearest_neighbours, op6_toxicity, op7_quality_rules, op8_piece_codec, op9_suffix_repeats, op10_passages)}
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whiten(read(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokenisers(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_sets(read(spark, folder, "documents"), shingle=2, percent=80)
+
+
+_ALL = [
+    op1_simhash, op2_token_counts, op3_html_text, op4_best_fit_packing, op5_nearest_neighbours, op6_toxicity, op7_quality_rules,
+    op8_piece_codec, op9_suffix_repeats, op10_passages, op11_whitening, op12_alignment, op13_superminhash,
+]
+QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB twins of the operators that SQL can express; the others are tested against libraries and brute force.
 PASSAGES_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -100,4 +120,14 @@ SELECT s.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, C
        sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM s LEFT JOIN kept USING (doc_id)"""
 
-SQL = {"op9_suffix_repeats": REPEATS_SQL, "op10_passages": PASSAGES_SQL}
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS s FROM w),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM d JOIN reach USING (doc_id) GROUP BY doc_id, s"""
+
+SQL = {"op9_suffix_repeats": REPEATS_SQL, "op10_passages": PASSAGES_SQL, "op13_superminhash": NEAR_SQL}

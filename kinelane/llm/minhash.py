@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinelane.llm.common import small, stored, text_of
+from kinelane.llm.common import lanes_for, small, stored, text_of
 from kinelane.llm.components import components
 from kinelane.llm.rolling import mix, window_hashes, word_hashes
 
@@ -22,7 +23,9 @@ CHUNK = 50_000
 #: A round of stars in which fewer of the compared pairs are links is the last; the rest is compared in tiles.
 FRUITFUL = 0.1
 #: Sets and bytes of sets of a tile.
-TILE, TILE_BYTES = 128, 8_000_000
+TILE, TILE_BYTES = 256, 8_000_000
+#: Links whose trees are built in one part.
+TOGETHER = 500_000
 _STEP, _DRAWN = 0x9E3779B97F4A7C15, np.uint64(24)
 
 
@@ -145,47 +148,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, link boolean")
 
 
-def tile_links(tables: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that join what is alike among some sets of different roots, no more than a tree of them."""
-    nodes, roots = tables.column("node").to_pylist(), tables.column("root").to_pylist()
-    sets = [np.frombuffer(s, np.uint64) for s in tables.column("set").to_pylist()]
+def _find(parent: dict[bytes, bytes], x: bytes) -> bytes:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def tile_links(table: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join what is alike among some sets of different roots, no more than a tree of them.
+
+    Sets of the commonest root are compared with those of other roots only, not with one another.
+    """
+    nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+    commonest = max(roots, key=Counter(roots).__getitem__)
+    others = np.array([k for k, r in enumerate(roots) if r != commonest], np.int64)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(column, kind="stable")
     column, row = column[order], np.repeat(np.arange(len(sets)), sizes)[order]
-    common, begin = np.zeros((len(sets), len(sets))), 0
+    common, begin = np.zeros((len(others), len(sets))), 0
     while begin < len(column):  # the sets as rows of ones, some thousand shingles at a time
         end = int(np.searchsorted(column, column[begin] + 8192))
         ones = np.zeros((len(sets), 8192), np.float32)
         ones[row[begin:end], column[begin:end] - column[begin]] = 1
-        common += ones @ ones.T
+        common += ones[others] @ ones.T
         begin = end
-    alike = np.argwhere(np.triu(_alike(common.astype(np.int64), sizes[:, None], sizes[None, :], percent), 1))
     parent = {r: r for r in roots}
-
-    def find(x: bytes) -> bytes:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
     links = []
-    for i, j in alike.tolist():
-        one, other = find(roots[i]), find(roots[j])
+    for i, j in np.argwhere(_alike(common.astype(np.int64), sizes[others, None], sizes[None, :], percent)).tolist():
+        one, other = _find(parent, roots[others[i]]), _find(parent, roots[j])
         if one != other:
             parent[one] = other
-            links.append((nodes[i], nodes[j]))
+            links.append((nodes[others[i]], nodes[j]))
     return links
 
 
 def compared_in_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among the members (``key, node, n, root``) of each bucket, every two of which meet in some tile.
+    """Links ``a, b`` among the members (``key, node, n, root``) of each bucket; any two of different roots meet in a tile.
 
-    A bucket is dealt to tiles of bounded number and bytes of sets by a hash of the node, and each two tiles are a task.
+    The members of a bucket's commonest root, and those of all others, are dealt to tiles of bounded number and bytes of sets
+    by a hash of the node. Each two tiles are a task, but for two of the commonest root, where nothing is left to find.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    roots = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = roots.groupBy("key").agg(F.max(F.struct("c", "s", "root")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+    def tiles(count: F.Column, shingles: F.Column) -> F.Column:
+        return F.ceil(F.greatest(count / TILE, shingles * 8 / TILE_BYTES)).cast("int")
+
+    own, most = tiles(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")), tiles(F.col("most.c"), F.col("most.s"))
+    sizes = sizes.select("key", F.col("most.root").alias("common"), own.alias("own"), most.alias("most"))
+    dealt, turn = members.join(sizes, "key"), F.xxhash64("node")
+    place = F.when(F.col("root") == F.col("common"), F.col("own") + F.pmod(turn, F.col("most"))).otherwise(F.pmod(turn, F.col("own"))).cast("int")
+    upto = F.when(F.col("root") == F.col("common"), F.col("own")).otherwise(F.col("own") + F.col("most")) - 1
+    dealt = dealt.select("key", "node", "root", place.alias("place"), F.explode(F.sequence(F.lit(0), upto)).alias("with"))
+    dealt = dealt.select("key", F.least("place", "with").alias("i"), F.greatest("place", "with").alias("j"), "node", "root")
 
     def run(table: pa.Table) -> pa.Table:
         links = tile_links(table, percent)
@@ -194,6 +211,26 @@ def compared_in_tiles(members: DataFrame, sets: DataFrame, percent: int) -> Data
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def grouped(links: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes of ``links``: union-find within parts of bounded size, then rounds over the trees left.
+
+    Links of one part are settled by its union-find alone; the root of a tree is its least node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[bytes, bytes] = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one, other = _find(parent, parent.setdefault(a, a)), _find(parent, parent.setdefault(b, b))
+                parent[max(one, other)] = min(one, other)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([_find(parent, x) for x in nodes], pa.binary())], names=["node", "root"])
+
+    parts = lanes_for(links.count(), TOGETHER)
+    trees = links.repartition(parts).mapInArrow(run, "node binary, root binary")
+    return trees if parts == 1 else components(trees.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def similar_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """``node, root`` for the nodes of ``met`` (``key, node, n``) that links join; None without links.
 
@@ -218,7 +255,7 @@ def similar_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
         if found:
             new = judged.filter("link").select("a", "b")
             links = new if links is None else links.union(new)
-            roots = stored(components(links), "roots")
+            roots = stored(grouped(links), "roots")
         tested = judged.select("a", "b") if tested is None else tested.union(judged.select("a", "b"))
         turn += 1
         if found < max(1, FRUITFUL * n):
@@ -228,7 +265,7 @@ def similar_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
     open_ = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
     rest = stored(compared_in_tiles(own.join(open_, "key", "left_semi"), sets, percent), "tile-links")
     if not rest.isEmpty():
-        roots = stored(components(rest if links is None else links.union(rest)), "roots")
+        roots = stored(grouped(rest if links is None else links.union(rest)), "roots")
     return roots
 
 

@@ -80,9 +80,10 @@ def test_sets():
         assert len(shingle_set(text or "", 2)) == len(_set(text))
 
 
-@pytest.mark.parametrize("fruitful, tile", [(0.1, 128), (2.0, 128), (2.0, 4)])
-def test_near_duplicates(spark, monkeypatch, fruitful, tile):
-    """All rounds, or one round and tiles for the rest (of any size): the same groups."""
+@pytest.mark.parametrize("fruitful, tile, together", [(0.1, 256, 500_000), (2.0, 4, 15)])
+def test_near_duplicates(spark, monkeypatch, fruitful, tile, together):
+    """All rounds, or one round and tiles for the rest, and trees of all links or of parts of them: the same groups."""
+    monkeypatch.setattr(minhash, "TOGETHER", together)
     monkeypatch.setattr(minhash, "FRUITFUL", fruitful)
     monkeypatch.setattr(minhash, "TILE", tile)
     texts = [*ODD, *_family(1, 90, 40, 0.04), *_family(2, 60, 30, 0.05), *_family(3, 25, 15, 0.06), *[prose(i, 100) for i in range(20, 40)]]

@@ -66,12 +66,15 @@ def tolerant_reason(line: Column) -> Column:
 
 
 def parse_tolerant(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """``(recordings, rejects)``: missing keys become NULL, malformed lines are rejected with a reason."""
+    """``(recordings, rejects)``: missing keys become NULL, malformed lines are rejected with a reason.
+
+    Positions of recordings are dense (see ``renumbered``), as for the other parsers; rejects keep their line number.
+    """
     text = F.col(line)
     split = lines.filter(tolerant_ok(text)).withColumn("_items", _items(text))
     good = split.withColumns({c: _value(F.col("_items"), c) for c in PROFILES["P8_RAW"]}).drop(line, "_items")
     bad = lines.withColumn("reason", tolerant_reason(text)).filter(F.col("reason").isNotNull())
-    return good, bad.select(SERIES, SEQ, F.col(line).alias("line"), "reason")
+    return renumbered(good), bad.select(SERIES, SEQ, F.col(line).alias("line"), "reason")
 
 
 def parse_strict(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
@@ -92,7 +95,7 @@ def parse_strict(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataF
         "expected a timestamp and three values in each part"
     )
     bad = lines.filter(~ok).select(SERIES, SEQ, F.col(line).alias("line"), reason.alias("reason"))
-    return good, bad
+    return renumbered(good), bad
 
 
 def parse_whole(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -109,7 +112,7 @@ def parse_whole(lines: DataFrame, line: str = "line") -> DataFrame:
     kept = both.filter((F.size("_a") == 3) & (F.size("_g") == 3) & ~F.exists(six, lambda v: v.isNull()))
     made = {a: F.col("_a")[i] for i, a in enumerate(AXES[:3])}
     made |= {g: F.col("_g")[i] for i, g in enumerate(AXES[3:])}
-    return kept.withColumns(made).drop(line, "_a", "_g")
+    return renumbered(kept.withColumns(made).drop(line, "_a", "_g"))
 
 
 def renumbered(good: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from kinelane.functions.text import RULE_D, label, strip_accents
 from kinelane.operators.frames import FEATURES_11, motion_features
 from kinelane.operators.lanes import short_series
 from kinelane.operators.learning import forest, forest_search, multiclass_window_model, window_vectors
-from kinelane.operators.parsing import LINE_NO, explode_lines, parse_tolerant, renumbered
+from kinelane.operators.parsing import LINE_NO, explode_lines, parse_tolerant
 from kinelane.operators.savgol import savgol
 from kinelane.operators.scaling import apply_minmax, fit_minmax
 from kinelane.operators.splits import class_weights, random_split
@@ -40,7 +40,7 @@ def documents_to_recordings(spark: SparkSession, path: str) -> tuple[DataFrame,
 def lines_to_recordings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbered raw lines as ``(recordings, rejected lines)``, as ``documents_to_recordings`` does."""
     good, bad = parse_tolerant(lines)
-    return renumbered(good).withColumn("name", strip_accents(F.col(SERIES))), bad.withColumnRenamed(SEQ, LINE_NO)
+    return good.withColumn("name", strip_accents(F.col(SERIES))), bad.withColumnRenamed(SEQ, LINE_NO)
 
 
 def too_short(recordings: DataFrame, width: int = 50, smooth: int = 50) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelane.functions.signal import threshold
-from kinelane.functions.text import CLASS_NAMES
+from kinelane.functions.signal import magnitude, threshold
+from kinelane.functions.text import CLASS_NAMES, RULE_C, label
+from kinelane.operators.frames import moving_average
 from kinelane.operators.lanes import short_series
 from kinelane.operators.learning import series_means, silhouette
 from kinelane.operators.metrics import (
@@ -61,11 +62,22 @@ SELECT name, {r('p')} AS precision, {r('q')} AS recall, {r('f')} AS f1, support
 
 
 def _describe(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").withColumn("size", F.length("props").cast("double"))
-    out = describe(rows, ["event_type"], ["value", "size"])
-    return rounded(out, ["event_type", "column", "count"], ["mean", "std", "min", "p10", "p25", "p50", "p75", "p90", "max"])
-
-
+    """Statistics per class of the name on both magnitudes of the smoothed axes.
+
+    Recordings are users; names and the axes (multiples of the value) stand for the files' ones.
+    """
+    rows = event_series(spark, folder, "user_id")
+    axes = {a: F.col("value") * (i + 1) for i, a in enumerate(AXES)}
+    made = moving_average(rows.withColumns(axes), AXES, 5, suffix="")
+    made = made.withColumns({"acc_magnitude": magnitude(*AXES[:3]), "gyro_magnitude": magnitude(*AXES[3:])})
+    named = made.withColumn("class", label(F.expr(USER_NAME), RULE_C)).filter(F.col("class").isNotNull())
+    out = describe(named, ["class"], ["acc_magnitude", "gyro_magnitude"])
+    return rounded(out, ["class", "column", "count"], ["mean", "std", "min", "p10", "p25", "p50", "p75", "p90", "max"])
+
+
+# A recording's name, from its user; one in four has no known class.
+USER_NAME = """CASE CAST(series_id AS INTEGER) % 4 WHEN 0 THEN 'Flexion_cuello_' WHEN 1 THEN 'extension_cuello_'
+  WHEN 2 THEN 'IDLE_cuello_' ELSE 'otro_' END || series_id"""
 _DESCRIBE = ", ".join(
     ["count(x) AS count", f"{r('avg(x)')} AS mean", f"{r('stddev_samp(x)')} AS std", f"{r('min(x)')} AS min"]
     + [f"{r(f'quantile_cont(x, {p / 100})')} AS p{p}" for p in (10, 25, 50, 75, 90)]
@@ -149,9 +161,11 @@ QUERIES = {
     ),
     "class_describe": Query(
         _describe,
-        f"""WITH l AS (SELECT event_type, 'value' AS "column", value AS x FROM events
-  UNION ALL SELECT event_type, 'size', CAST(length(props) AS DOUBLE) FROM events)
-SELECT event_type, "column", {_DESCRIBE} FROM l GROUP BY event_type, "column" """,
+        f"""WITH {US}, m AS (SELECT series_id, n, sum(value) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS v FROM us),
+k AS (SELECT CASE CAST(series_id AS INTEGER) % 4 WHEN 0 THEN 'Flexion' WHEN 1 THEN 'Extension' WHEN 2 THEN 'Idle' END AS class, v FROM m WHERE n >= 5),
+l AS (SELECT class, 'acc_magnitude' AS "column", sqrt(v * v + 2 * v * 2 * v + 3 * v * 3 * v) AS x FROM k WHERE class IS NOT NULL
+  UNION ALL SELECT class, 'gyro_magnitude', sqrt(4 * v * 4 * v + 5 * v * 5 * v + 6 * v * 6 * v) FROM k WHERE class IS NOT NULL)
+SELECT class, "column", {_DESCRIBE} FROM l GROUP BY class, "column" """,
     ),
     "confusion": Query(
         lambda s, d: confusion_cells(judged(s, d)),

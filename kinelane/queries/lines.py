@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kinelane.functions.text import RULE_A, RULE_B, RULE_C, RULE_D, class_name, fixed4, label, repetitions, strip_accents
 from kinelane.operators.frames import moving_average
-from kinelane.operators.parsing import explode_lines, parse_strict, parse_tolerant, parse_whole
+from kinelane.operators.parsing import LINE_NO, explode_lines, parse_strict, parse_tolerant, parse_whole
 from kinelane.plans.pipelines import lines_to_recordings
 from kinelane.queries import Query
 from kinelane.queries.common import cents, r, rounded
-from kinelane.schema import AXES, SEQ, SERIES
+from kinelane.schema import AXES, LENGTH, SEQ, SERIES
 from kinelane.sources.recordings import epoch_us, table
 
 # One event in seven each: two ';', an item with two '=', two fractions, a missing axis, no fraction.
@@ -51,7 +51,8 @@ WITH e AS (
          CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms,
          CAST(round(value * 100) AS BIGINT) AS c, CAST(floor(round(value * 100) / 100) AS BIGINT) AS w
   FROM events)
-SELECT series_id, seq, ms AS timestamp_acc, CAST({r(x)} AS DOUBLE) AS acc_x, {r(y)} AS acc_y,
+SELECT series_id, seq AS line_no, row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1 AS seq,
+       count(*) OVER (PARTITION BY series_id) AS n, ms AS timestamp_acc, CAST({r(x)} AS DOUBLE) AS acc_x, {r(y)} AS acc_y,
        CAST(0.5 AS DOUBLE) AS acc_z, ms + 5 AS timestamp_gyro, CAST(w + 0.25 AS DOUBLE) AS gyro_x,
        CAST({r('-(c / 100.0)')} AS DOUBLE) AS gyro_y, CAST(-0.75 AS DOUBLE) AS gyro_z
 FROM e WHERE shape IN ({where})"""
@@ -59,7 +60,7 @@ FROM e WHERE shape IN ({where})"""
 
 def _parsed(df: DataFrame) -> DataFrame:
     made = [F.round(F.col(a), 6).alias(a) for a in AXES]
-    return df.select(SERIES, SEQ, "timestamp_acc", *made[:3], "timestamp_gyro", *made[3:])
+    return df.select(SERIES, LINE_NO, SEQ, LENGTH, "timestamp_acc", *made[:3], "timestamp_gyro", *made[3:])
 
 
 def document_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,10 +172,11 @@ SELECT series_id, seq, CASE shape WHEN 'two_parts' THEN 'expected two parts sepa
 FROM e WHERE shape <> 'good'""",
     ),
     "parse_whole": Query(
-        lambda s, d: rounded(parse_whole(whole_lines(s, d)), [SERIES, SEQ], AXES),
+        lambda s, d: rounded(parse_whole(whole_lines(s, d)), [SERIES, LINE_NO, SEQ, LENGTH], AXES),
         """
 WITH e AS (SELECT event_type AS series_id, event_id AS seq, floor(value) AS v FROM events WHERE event_id % 3 <> 0)
-SELECT series_id, seq, v AS acc_x, CAST(2 AS DOUBLE) AS acc_y, -v + 0.0 AS acc_z, v AS gyro_x,
+SELECT series_id, seq AS line_no, row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1 AS seq,
+       count(*) OVER (PARTITION BY series_id) AS n, v AS acc_x, CAST(2 AS DOUBLE) AS acc_y, -v + 0.0 AS acc_z, v AS gyro_x,
        CAST(5 AS DOUBLE) AS gyro_y, CAST(6 AS DOUBLE) AS gyro_z FROM e""",
     ),
     "doc_lines": Query(

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kinelane.operators import quantiles
 from kinelane.operators.learning import cluster, members, per_column, project_2d, score_windows, silhouette
 from kinelane.operators.metrics import classification_report, confusion_cells
 from kinelane.operators.quantiles import exact_quantiles
@@ -23,7 +24,10 @@ def test_split_sizes_are_exact(spark):
     assert {r.id for r in again.collect()} == {r.id for r in random_split(rows, ["id"]).filter("part = 'test'").collect()}
 
 
-def test_quantiles_with_outliers_and_hot_values(spark):
+@pytest.mark.parametrize("accuracy, ordered", [(10_000, 1_000_000), (20, 7)])
+def test_quantiles_with_outliers_and_hot_values(spark, monkeypatch, accuracy, ordered):
+    """Brackets of some or of nearly all rows, values in one order or cut into slots."""
+    monkeypatch.setattr(quantiles, "ORDERED", ordered)
     rng = np.random.default_rng(3)
     groups = {
         "smooth": rng.normal(size=999),
@@ -31,13 +35,27 @@ def test_quantiles_with_outliers_and_hot_values(spark):
         "hot": np.r_[np.full(700, 3.0), rng.normal(size=200)],
         "one": np.array([4.0]),
         "pair": np.array([1.0, 2.0]),
+        "ends": np.r_[np.full(30, -np.inf), rng.normal(size=50), np.full(30, np.inf)],
     }
     rows = pd.concat([pd.DataFrame({"g": k, "x": v}) for k, v in groups.items()])
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    out = exact_quantiles(spark.createDataFrame(rows), ["g"], "x", ps, slots=8).collect()
+    out = exact_quantiles(spark.createDataFrame(rows), ["g"], "x", ps, accuracy=accuracy).collect()
     got = {(r.g, r.p): r.x for r in out}
     for k, v in groups.items():
-        assert np.allclose([got[(k, p)] for p in ps], np.quantile(v, ps)), k
+        v, some = np.sort(v), ps if k != "ends" else [0.5]
+        assert np.allclose([got[(k, p)] for p in some], np.quantile(v, some)), k
+
+
+def test_an_outlier_enlarges_no_bracket(spark):
+    """What a task holds of 20,000 rows is the same with and without one row of 1e12."""
+    x = np.random.default_rng(8).normal(size=20_000)
+    sizes = []
+    for last in (1.0, 1e12):
+        rows = spark.createDataFrame(pd.DataFrame({"g": "a", "_v": np.r_[x, last]}))
+        q = F.percentile_approx("_v", F.array(*[F.lit(p) for p in (0.499, 0.501)]), F.lit(10_000))
+        totals = rows.groupBy("g").agg(F.count("*").alias("_n"), q.alias("_q"))
+        sizes.append(quantiles._bracketed(rows, totals, True, ["g"], 1).count())
+    assert sizes[0] < 100 and abs(sizes[0] - sizes[1]) <= 2
 
 
 def test_scaling_of_constant_columns(spark):

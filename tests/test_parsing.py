@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinelane.functions.text import RULE_A, RULE_B, RULE_C, RULE_D, label, repetitions, strip_accents
@@ -85,3 +86,25 @@ def test_accents(spark):
     for exact in (False, True):
         got = [r[0] for r in df.select(strip_accents(F.col("t"), exact)).collect()]
         assert got == ["Flexion AEIou n C e", None]
+
+
+def _squares(line):
+    """Twelve lines of x = i * i; the fourth is broken."""
+    return ["broken" if i == 3 else line(i * i) for i in range(12)]
+
+
+def test_every_parser_gives_dense_positions(spark):
+    """A filter sees neighbours, not the hole that a rejected line leaves."""
+    from kinelane.operators.parsing import LINE_NO, parse_strict, parse_tolerant, parse_whole
+    from kinelane.operators.savgol import savgol
+
+    full = "timestamp_acc=1,acc_x={0},0,acc_y=0,0,acc_z=0,0;timestamp_gyro=2,gyro_x=0,0,gyro_y=0,0,gyro_z=0,0"
+    old = "acc_x={0},acc_y=0,acc_z=0;gyro_x=0,gyro_y=0,gyro_z=0"
+    for parse, form in ((lambda d: parse_tolerant(d)[0], full), (lambda d: parse_strict(d)[0], full), (parse_whole, old)):
+        lines = spark.createDataFrame([("s", i, x) for i, x in enumerate(_squares(form.format))], "series_id string, seq long, line string")
+        rows = {r["seq"]: r for r in savgol(parse(lines), ["acc_x"], 5).collect()}
+        kept = [i for i in range(12) if i != 3]
+        assert [rows[k][LINE_NO] for k in range(11)] == kept and {r["n"] for r in rows.values()} == {11}
+        x = [i * i for i in kept]
+        want = [np.polyval(np.polyfit(range(s, s + 5), x[s : s + 5], 2), k) for k in range(11) for s in [min(max(k - 2, 0), 6)]]
+        assert np.allclose([rows[k]["acc_x_smooth"] for k in range(11)], want)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import magnitude
-from kinelane.operators.lanes import LANE, Lanes, running_before
+from kinelane.operators.lanes import LANE, Lanes, join_small, running_before
 from kinelane.schema import ACC, AXES, GYRO, LENGTH
+from kinelane.session import ensure_checkpoints
 
 TIME_STEP = 0.01  # fixed value: nominal 100 Hz
 
@@ -196,11 +197,24 @@ def running_sum(df: DataFrame, columns: dict[str, str], lanes: Lanes = Lanes())
 def integrate(
     df: DataFrame, columns: dict[str, str], timestamp: str, lanes: Lanes = Lanes()
 ) -> DataFrame:
-    """Velocity as the running sum of acceleration times the sample interval (first interval 0)."""
-    timed = differences(df, interval=timestamp, lanes=lanes)
-    terms = timed.withColumns({f"_{c}_dt": F.col(c) * F.col("delta_t") for c in columns})
-    summed = running_sum(terms, {f"_{c}_dt": target for c, target in columns.items()}, lanes)
-    return summed.drop(*[f"_{c}_dt" for c in columns])
+    """Velocity as the running sum of acceleration times the sample interval (first interval 0).
+
+    One scan and one shuffle of the rows: interval and running sum are taken in the same pass over a lane and written
+    down. Totals of lanes are its last rows, a handful, and the offsets they make come back by a join.
+    """
+    w = lanes.window
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    timed = lanes.spread(df, 1, 0).withColumn("delta_t", F.coalesce(F.col(timestamp) - F.lag(timestamp).over(w), F.lit(0)))
+    sums = {f"_in_{c}": F.sum(F.when(lanes.owned(), F.col(c) * F.col("delta_t"))).over(upto) for c in columns}
+    ensure_checkpoints(df.sparkSession)
+    local = timed.withColumns(sums).filter(lanes.owned()).checkpoint(eager=True)
+    totals = local.groupBy(*lanes.group).agg(*[F.max_by(f"_in_{c}", lanes.seq).alias(c) for c in columns])
+    offsets = running_before(totals, lanes.keys, LANE, list(columns))
+    return (
+        join_small(local, offsets, lanes.group)
+        .withColumns({target: F.col(f"_in_{c}") + F.col(f"{c}_before") for c, target in columns.items()})
+        .drop(LANE, *[f"{c}_before" for c in columns], *[f"_in_{c}" for c in columns])
+    )
 
 
 def motion_features(

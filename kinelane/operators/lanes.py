@@ -160,6 +160,55 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+#: Parts into which a part of a long series is cut in one round.
+SPLITTERS = 64
+
+
+def sample_slots(df: DataFrame, order: Sequence[str], keys: Sequence[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Add ``_slot``, an array that orders the rows of a series into parts of at most ``slot_rows`` rows.
+
+    Parts that are too long are cut again by splitters: quantiles, from a mergeable sketch, of the first column of ``order``
+    that differs inside the part. A stray value is one row among others there. Rows equal to a splitter are a part of
+    their own, which the next column cuts, so that no value is too frequent. Parts stay whole only where their rows agree in
+    every number, date and timestamp of ``order``. Series of up to ``slot_rows`` rows are one part.
+    """
+    keys = list(keys)
+    kinds = dict(df.dtypes)
+    plain = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+    columns = [c for c in order if kinds[c] in plain or kinds[c].startswith("decimal")]
+    numbers = []
+    for c in columns:
+        x = _as_number(df, c).cast("double")
+        # Nulls stand before all numbers and NaN after them, as in the order of the rows.
+        numbers.append(F.coalesce(F.when(F.isnan(x), F.lit(float("inf"))).otherwise(x), F.lit(float("-inf"))))
+    rows = df.withColumns({"_slot": F.array().cast("array<int>"), **{f"_o{i}": x for i, x in enumerate(numbers)}})
+    path = [*keys, "_slot"]
+    done = None
+    while columns:
+        differs = F.coalesce(*[F.when(F.min(f"_o{i}") < F.max(f"_o{i}"), F.lit(i)) for i in range(len(columns))])
+        sizes = rows.groupBy(*path).agg(F.count("*").alias("_rows"), differs.alias("_at")).filter(F.col("_rows") > slot_rows)
+        long, few = settle(sizes.filter("_at is not null"))
+        left = [tuple(r) for r in long.agg(F.count("*"), F.sum("_rows"), F.max("_rows")).collect()]
+        if not left[0][0] or left == done:
+            break
+        done = left
+        chosen = F.lit(None).cast("double")
+        for i in range(len(columns)):
+            chosen = F.when(F.col("_at") == i, F.col(f"_o{i}")).otherwise(chosen)
+        hint = F.broadcast if few else (lambda d: d)
+        marks = F.array(*[F.lit(i / SPLITTERS) for i in range(1, SPLITTERS)])
+        sketch = F.array_distinct(F.percentile_approx(chosen, marks, F.lit(20 * SPLITTERS)))
+        found = rows.join(hint(long), path).groupBy(*path, "_at").agg(sketch.alias("_cuts"))
+        cuts, few = settle(found)
+        hint = F.broadcast if few else (lambda d: d)
+        placed = rows.join(hint(cuts), path, "left")
+        below = F.size(F.filter("_cuts", lambda c: c < chosen))
+        place = F.lit(2) * below + F.array_contains("_cuts", chosen).cast("int")
+        grown = F.when(F.col("_cuts").isNotNull(), F.concat("_slot", F.array(place))).otherwise(F.col("_slot"))
+        rows = placed.withColumn("_slot", grown).drop("_at", "_cuts")
+    return rows.drop(*[f"_o{i}" for i in range(len(columns))])
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],
@@ -168,37 +217,23 @@ def number_rows(
 ) -> DataFrame:
     """Add dense positions ``seq`` and the length ``n`` for rows ordered by ``order``.
 
-    Series of up to ``slot_rows`` rows are ranked as they are. For longer ones (there are at most
-    rows / slot_rows of them, found by a first aggregate) ``order[0]`` (number, date or timestamp) cuts the
-    series into slots of about ``slot_rows`` rows; positions are the rank inside the slot plus the rows of
-    earlier slots. One shuffle of the rows either way. ``order`` must be a total order within a series, so
-    that reruns give the same positions.
+    Series of up to ``slot_rows`` rows are ranked as they are. Longer ones (found by a first aggregate) are cut into
+    slots by ``sample_slots``; positions are the rank inside the slot plus the rows of earlier slots. One shuffle of the
+    rows either way. ``order`` must be a total order within a series, so that reruns give the same positions.
     """
     keys = list(keys)
-    rows = df.withColumn("_t", _as_number(df, order[0]))
-    # NaN sorts after all numbers, so it belongs to the last slot and must not stretch the range.
-    nan = F.isnan("_t") if dict(rows.dtypes)["_t"] in ("double", "float") else F.lit(False)
-    known = F.when(~nan, F.col("_t"))
-    long, few = settle(
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias(LENGTH), F.min(known).alias("_lo"), F.max(known).alias("_hi"))
-        .filter(F.col(LENGTH) > slot_rows)
-    )
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(LENGTH)).filter(F.col(LENGTH) > slot_rows)
+    long, few = settle(sizes)
     ordering = [F.col(c).asc_nulls_first() for c in order]
     if long.isEmpty():
-        return rows.drop("_t").withColumns(
+        return df.withColumns(
             {
                 SEQ: (F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering)) - 1).cast("long"),
                 LENGTH: F.count("*").over(Window.partitionBy(*keys)),
             }
         )
     hint = F.broadcast if few else (lambda d: d)
-    slots = F.ceil(F.col(LENGTH) / F.lit(slot_rows))
-    share = (F.col("_t") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-    slot = F.when(nan, slots - 1).when(
-        (F.col("_hi") > F.col("_lo")) & F.col("_t").isNotNull(), F.least(F.floor(share * slots), slots - 1)
-    ).otherwise(0).cast("long")
-    slotted = rows.join(hint(long), keys, "left").withColumn("_slot", slot).drop("_t", "_lo", "_hi")
+    slotted = sample_slots(df, order, keys, slot_rows).join(hint(long), keys, "left")
     counts = slotted.filter(F.col(LENGTH).isNotNull()).groupBy(*keys, "_slot").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(  # one row per slot of a long series

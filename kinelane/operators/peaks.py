@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import half_even, middle
-from kinelane.operators.lanes import LANE, Lanes
+from kinelane.operators.lanes import LANE, LANE_ROWS, Lanes
 from kinelane.schema import LENGTH
 from kinelane.session import ensure_checkpoints
 
 
+#: Samples scanned together for prominences; a group of numbers, not of windows.
+PROMINENCE_ROWS = 1 << 15
+
+
 def local_maxima(df: DataFrame, column: str, height: float | None = None, lanes: Lanes = Lanes()) -> DataFrame:
     """Samples (or flat tops) higher than both neighbours: ``seq`` = middle, ``left`` and ``right`` ends.
 
@@ -195,12 +199,33 @@ def _visit(asked: DataFrame, nodes: DataFrame, level: int, fan: int, keys: list[
     )
 
 
+def _lowest_before(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each position ``at``: the lowest value back to the nearest strictly higher sample, and whether there is one.
+
+    Tables of the greatest and least of every 2**k samples; all positions walk back together, by the longest stretches
+    that hold nothing higher first.
+    """
+    tops, lows = [x], [x]
+    while 2 << (len(tops) - 1) <= len(x):
+        step = 1 << (len(tops) - 1)
+        tops.append(np.maximum(tops[-1][:-step], tops[-1][step:]))
+        lows.append(np.minimum(lows[-1][:-step], lows[-1][step:]))
+    here, lowest = at.copy(), x[at]
+    for k in range(len(tops) - 1, -1, -1):
+        start = here - (1 << k)
+        free = np.flatnonzero(start >= 0)
+        free = free[tops[k][start[free]] <= x[at[free]]]
+        lowest[free] = np.minimum(lowest[free], lows[k][start[free]])
+        here[free] = start[free]
+    return lowest, here > 0
+
+
 def prominences(
     df: DataFrame,
     peaks: DataFrame,
     column: str,
     minimum: float | None = None,
-    lanes: Lanes = Lanes(rows=1024),
+    lanes: Lanes = Lanes(rows=PROMINENCE_ROWS),
     fan: int = 256,
     depth: int | None = None,
 ) -> DataFrame:
@@ -225,32 +250,20 @@ def prominences(
         [*[f"`{k}` {types[k]}" for k in keys], "peak bigint, v double, side int, at bigint, lowest double, found int"]
     )
 
-    def scan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lowest value back to the nearest strictly higher sample, and whether there is one."""
-        lowest, found = np.empty(len(x)), np.empty(len(x), dtype=bool)
-        stack: list[tuple[float, float]] = []
-        for i, value in enumerate(x.tolist()):
-            low = value
-            while stack and stack[-1][0] <= value:
-                low = min(low, stack.pop()[1])
-            lowest[i], found[i] = low, bool(stack)
-            stack.append((value, low))
-        return lowest, found
-
     def ask(rows: pa.Table, tops: pa.Table) -> pa.Table:
         at = tops.column(seq).to_numpy()
         position = rows.column(seq).to_numpy()
         x = rows.column(column).to_numpy()[np.argsort(position)] if len(at) else np.empty(0)
         i = at - position.min() if len(at) else at
-        back, forth = scan(x), tuple(a[::-1] for a in scan(x[::-1]))
+        back, forth = _lowest_before(x, i), _lowest_before(x[::-1], len(x) - 1 - i)
         both = pa.concat_tables([tops, tops])
         made = {k: both.column(k) for k in keys}
         made["peak"] = both.column(seq)
         made["v"] = pa.array(np.concatenate([x[i], x[i]]))
         made["side"] = pa.array(np.repeat(np.array([-1, 1], dtype="int32"), len(i)))
         made["at"] = both.column(LANE)
-        made["lowest"] = pa.array(np.concatenate([back[0][i], forth[0][i]]))
-        made["found"] = pa.array(np.where(np.concatenate([back[1][i], forth[1][i]]), 0, -1).astype("int32"))
+        made["lowest"] = pa.array(np.concatenate([back[0], forth[0]]))
+        made["found"] = pa.array(np.where(np.concatenate([back[1], forth[1]]), 0, -1).astype("int32"))
         return pa.table(made)
 
     # New aliases keep the two inputs apart when the peaks come from the same rows.
@@ -294,7 +307,7 @@ def find_peaks(
     if distance is not None:
         found = keep_distance(found, column, distance, lanes)
     if prominence is not None:
-        found = prominences(df, found, column, prominence, Lanes(lanes.keys, lanes.seq, min(lanes.rows, 1024)))
+        found = prominences(df, found, column, prominence, Lanes(lanes.keys, lanes.seq, PROMINENCE_ROWS if lanes.rows == LANE_ROWS else lanes.rows))
     return found
 
 

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelane.operators.lanes import join_small
+from kinelane.operators.lanes import join_small, settle
 
-PREFIX = 3  # hex digits: 4,096 even buckets
+DIGEST_DIGITS = 32
+DIGITS = 3  # hex digits of one level: 4,096 even buckets
+ORDERED = 1_000_000  # rows of a bucket that one task puts in order
 
 
 def _digest(keys: Sequence[str], seed: int) -> Column:
@@ -19,17 +21,11 @@ def _digest(keys: Sequence[str], seed: int) -> Column:
 def _cuts(df: DataFrame, by: list[str], shares: Sequence[float], digest: Column) -> DataFrame:
     """Digest of the last row of each part per group: ``cut0``, ``cut1``, ... (at ``ceil(share * n)`` rows).
 
-    Bucket counts give the bucket that holds a cut; only the rows of those buckets are put in order.
+    Rank selection by digits: bucket counts give the bucket that holds a cut, and a bucket of over ORDERED rows is
+    counted by its next digits, until the rows of the bucket can be put in order.
     """
-    hashed = df.select(*by, digest.alias("_d")).withColumn("_b", F.substring("_d", 1, PREFIX))
-    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = counts.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_c").over(upto), F.lit(0)),
-            "_n": F.sum("_c").over(Window.partitionBy(*by)),
-        }
-    )
+    hashed = df.select(*by, digest.alias("_d"))
+    totals = hashed.groupBy(*by).agg(F.count("*").alias("_n"))
     # Shares add up from the start, each step as a share of what is left (as two-step splits do).
     sizes: list[Column] = []
     left = F.col("_n")
@@ -37,18 +33,30 @@ def _cuts(df: DataFrame, by: list[str], shares: Sequence[float], digest: Column)
         size = F.ceil(F.round(F.lit(share) * left, 9))
         sizes.append((sizes[-1] if sizes else F.lit(0)) + size)
         left = left - size
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), s.cast("long").alias("size")) for i, s in enumerate(sizes)])
-    wanted = (
-        spans.select(*by, "_b", "_before", "_c", F.inline(targets))
-        .filter((F.col("size") > F.col("_before")) & (F.col("size") <= F.col("_before") + F.col("_c")))
-        .withColumn("_k", F.col("size") - F.col("_before"))
-        .select(*by, "_b", "i", "_k")
-    )
-    in_bucket = Window.partitionBy(*by, "_b").orderBy("_d")
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), s.cast("long").alias("_k")) for i, s in enumerate(sizes)])
+    # The row wanted of each cut, counted from 1 inside the bucket ``_b`` of digits known so far.
+    wanted = settle(totals.select(*by, F.inline(targets)).filter("_k > 0").withColumn("_b", F.lit("")))[0]
+    digits = 0
+    while True:
+        bucket = [*by, "_b"]
+        placed = hashed.withColumn("_b", F.substring("_d", 1, digits)) if digits else hashed.withColumn("_b", F.lit(""))
+        inside = join_small(placed, wanted.select(*bucket).distinct(), bucket, "left_semi")
+        finer = inside.withColumn("_next", F.substring("_d", 1, digits + DIGITS))
+        counts = finer.groupBy(*bucket, "_next").agg(F.count("*").alias("_c"))
+        upto = Window.partitionBy(*bucket).orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        spans = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        found = spans.join(wanted.drop("_c"), bucket).filter((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
+        found = found.select(*by, F.col("_next").alias("_b"), "i", (F.col("_k") - F.col("_before")).alias("_k"), "_c")
+        wanted, _ = settle(found)
+        digits += DIGITS
+        if digits >= DIGEST_DIGITS or (wanted.agg(F.max("_c")).first()[0] or 0) <= ORDERED:
+            break
+    bucket = [*by, "_b"]
+    placed = hashed.withColumn("_b", F.substring("_d", 1, digits))
     picked = (
-        join_small(hashed, wanted.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-        .withColumn("_k", F.row_number().over(in_bucket))
-        .join(wanted, [*by, "_b", "_k"])
+        join_small(placed, wanted.select(*bucket).distinct(), bucket, "left_semi")
+        .withColumn("_k", F.row_number().over(Window.partitionBy(*bucket).orderBy("_d")))
+        .join(wanted.drop("_c"), [*bucket, "_k"])
     )
     return picked.groupBy(*by).agg(
         *[F.max(F.when(F.col("i") == i, F.col("_d"))).alias(f"cut{i}") for i in range(len(shares))]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinelane.operators.augment import add_noise, jitter, resample_cubic, resample_linear, rotate
 from kinelane.operators.frames import integrate, moving_average, rolling, running_sum
-from kinelane.operators.lanes import LANE, Lanes, number_rows, running_before
+from kinelane.operators.lanes import LANE, Lanes, number_rows, running_before, sample_slots
 from kinelane.operators.savgol import savgol, savgol_nearest
 from kinelane.operators.windows import concatenate, segment_rows, sequence_targets, sliding_windows
 from series import by_series, frame, savgol as savgol_brute, shapes, spline
@@ -35,6 +35,26 @@ def test_numbering_of_one_moment_and_missing_times(spark):
     assert out == {1: 0, 2: 1, 3: 2, 4: 0}
 
 
+@pytest.mark.parametrize("case", ["stray", "instant", "skewed", "nulls"])
+def test_slots_are_bounded_whatever_the_times(spark, case):
+    """One stray time, half of the rows at one instant, times crowded at one end, missing and NaN times."""
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=3000)
+    if case == "stray":
+        t[17] = 1e15
+    elif case == "instant":
+        t[rng.permutation(3000)[:1500]] = 0.25
+    elif case == "skewed":
+        t = np.exp(8 * t)
+    rows = [("a", None if case == "nulls" and i % 3 == 0 else float("nan") if case == "nulls" and i % 3 == 1 else float(x), i) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "series_id string, t double, id long").union(spark.createDataFrame([("b", 1.0, 1)], "series_id string, t double, id long"))
+    sizes = sample_slots(df, ["t", "id"], ["series_id"], 200).groupBy("series_id", "_slot").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200
+    got = {r.id: r.seq for r in number_rows(df, ["t", "id"], slot_rows=200).filter("series_id = 'a'").collect()}
+    order = sorted(range(3000), key=lambda i: ((rows[i][1] is not None) + (rows[i][1] != rows[i][1]), 0 if rows[i][1] is None or rows[i][1] != rows[i][1] else rows[i][1], i))
+    assert [got[i] for i in order] == list(range(3000))
+
+
 def test_no_group_is_longer_than_a_lane_and_its_halo(df):
     sizes = SMALL.spread(df, 5, 7).groupBy("series_id", LANE).count()
     assert sizes.agg(F.max("count")).first()[0] <= 16 + 5 + 7

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinelane.operators import quantiles
+from kinelane.operators import quantiles, splits
 from kinelane.operators.learning import cluster, members, per_column, project_2d, score_windows, silhouette
 from kinelane.operators.metrics import classification_report, confusion_cells
 from kinelane.operators.quantiles import exact_quantiles
@@ -15,11 +15,17 @@ from kinelane.schema import AXES
 from series import frame
 
 
-def test_split_sizes_are_exact(spark):
+@pytest.mark.parametrize("digits, ordered", [(3, 1_000_000), (1, 4)])
+def test_split_sizes_are_exact(spark, monkeypatch, digits, ordered):
+    """Buckets of three digits put in order at once, or cut digit by digit to four rows."""
+    monkeypatch.setattr(splits, "DIGITS", digits)
+    monkeypatch.setattr(splits, "ORDERED", ordered)
     rows = spark.range(1003).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     assert random_split(rows, ["id"]).filter("part = 'test'").count() == 201
     got = {(r.label, r.part): r["count"] for r in random_split(rows, ["id"], (0.2, 0.25), ("test", "valid", "train"), "label").groupBy("label", "part").count().collect()}
     assert got == {(1, "test"): 21, (1, "valid"): 20, (1, "train"): 60, (0, "test"): 181, (0, "valid"): 181, (0, "train"): 540}
+    assert {r.part for r in random_split(rows.limit(1), ["id"]).collect()} == {"test"}
+    assert random_split(rows.limit(0), ["id"]).count() == 0
     again = random_split(rows.repartition(5), ["id"]).filter("part = 'test'")
     assert {r.id for r in again.collect()} == {r.id for r in random_split(rows, ["id"]).filter("part = 'test'").collect()}
 

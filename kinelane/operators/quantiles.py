@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelane.operators.lanes import join_small, running_before, settle
@@ -64,7 +64,14 @@ def _placed(cells: DataFrame, keys: list[str]) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group, as ``(keys, p, value)`` rows; null values take no part.
+    """Linear-interpolation quantiles per group, as ``(keys, p, value)`` rows; null values take no part."""
+    return _quantiles(df, keys, value, probabilities, [], accuracy)[0]
+
+
+def _quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], also: Sequence[Column], accuracy: int = ACCURACY
+) -> tuple[DataFrame, DataFrame]:
+    """Quantiles, and a table of the aggregates ``also`` (of the value, as ``_v``) per group from the same first pass.
 
     Two passes over the rows. The first one makes a mergeable quantile sketch of each group, whose values at ranks a
     little below and above a wanted one bracket it. The second counts rows: by value inside the brackets (some
@@ -78,7 +85,7 @@ def exact_quantiles(
     while True:
         ends = [max(p - reach, 0.0) for p in marks] + [min(p + reach, 1.0) for p in marks]
         sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy))
-        totals, few = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_q")))
+        totals, few = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_q"), *also))
         cells = settle(_bracketed(rows, totals, few, keys, k))[0]
         wanted = totals.select(*keys, "_n", F.explode(F.array(*[F.lit(p) for p in marks])).alias("p"))
         wanted = wanted.withColumn("_at", F.col("p") * (F.col("_n") - 1).cast("double"))
@@ -93,11 +100,9 @@ def exact_quantiles(
     high = picked.select(*keys, F.col("_rank").alias("_hr"), F.col("_v").alias("_hv"))
     named = wanted.withColumns({"_lr": F.floor("_at"), "_hr": F.ceil("_at")})
     share = F.col("_at") - F.col("_lr")
-    return (
-        named.join(low, [*keys, "_lr"])
-        .join(high, [*keys, "_hr"])
-        .select(*keys, "p", (F.col("_lv") + (F.col("_hv") - F.col("_lv")) * share).alias(value))
-    )
+    found = named.join(low, [*keys, "_lr"]).join(high, [*keys, "_hr"])
+    found = found.select(*keys, "p", (F.col("_lv") + (F.col("_hv") - F.col("_lv")) * share).alias(value))
+    return found, totals.drop("_q")
 
 
 def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -108,13 +113,9 @@ def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     # One row per value only where columns are described together; built without a shuffle.
     long = df.select(*keys, F.inline(pairs))
     group = [*keys, "column"]
-    basic = long.groupBy(*group).agg(
-        F.count("x").alias("count"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-    )
-    q = exact_quantiles(long, group, "x", list(marks.values()))
+    also = [F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
+    q, basic = _quantiles(long, group, "x", list(marks.values()), also)
     wide = q.groupBy(*group).agg(*[F.max(F.when(F.col("p") == p, F.col("x"))).alias(name) for name, p in marks.items()])
-    return basic.join(wide, group, "left")
+    basic = basic.select(*group, F.col("_n").alias("count"), "mean", "std", "min", "max")
+    every = df.select(*keys, F.explode(F.array(*map(F.lit, columns))).alias("column")).distinct()
+    return every.join(basic, group, "left").withColumn("count", F.coalesce("count", F.lit(0))).join(wide, group, "left")

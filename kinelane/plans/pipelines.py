@@ -22,6 +22,7 @@ from kinelane.operators.splits import class_weights, random_split
 from kinelane.operators.verdicts import majority_vote, mean_vector
 from kinelane.operators.windows import segment_features, sliding_windows
 from kinelane.schema import AXES, SEQ, SERIES
+from kinelane.session import ensure_checkpoints
 from kinelane.sources.recordings import read_documents
 from kinelane.streaming.live import detect_motion, for_each_batch, pointed_feed
 
@@ -69,8 +70,7 @@ def labelled_windows(
 class Trained(NamedTuple):
     """A fitted model, its scaler, and the scored test part.
 
-    The split table is kept (memory and disk) because fitting reads it many times and the test part reads
-    it again; ``test.unpersist`` has no effect on it, ``spark.catalog.clearCache()`` frees it.
+    The split table is written down (a checkpoint), since fitting reads it many times and the test part reads it again.
     """
 
     model: PipelineModel
@@ -78,10 +78,15 @@ class Trained(NamedTuple):
     test: DataFrame
 
 
+def _written(df: DataFrame) -> DataFrame:
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def train_windows(recordings: DataFrame, width: int = 50, step: int = 10, classes: int = 4, iterations: int = 100) -> Trained:
     """Four-class window model on 80 % of the windows; the rest comes back scored."""
     windows = window_vectors(labelled_windows(recordings, width, step))
-    parts = random_split(windows, [SERIES, "window_id"]).persist()
+    parts = _written(random_split(windows, [SERIES, "window_id"]))
     model = multiclass_window_model(
         parts.filter("part = 'train'"), inputs=width * len(FEATURES_11), classes=classes, iterations=iterations
     )
@@ -113,7 +118,7 @@ def train_rows(
     The scaler is fitted on the training rows; ``fit_on_all`` fits it before the split instead.
     """
     features = row_features(recordings).select(SERIES, SEQ, label_column, *ROW_FEATURES)
-    rows = random_split(features, [SERIES, SEQ], stratify=label_column).persist()
+    rows = _written(random_split(features, [SERIES, SEQ], stratify=label_column))
     train = rows.filter("part = 'train'")
     scaler = fit_minmax(rows if fit_on_all else train, ROW_FEATURES)
     scaled = [f"{c}_scaled" for c in ROW_FEATURES]
@@ -135,7 +140,7 @@ def train_segments(
     smoothed = savgol(recordings, AXES, smooth, suffix="")
     segments = segment_features(smoothed, label=label_column, width=width)
     names = [c for c in segments.columns if c.endswith(("_mean", "_std"))]
-    parts = random_split(segments, [SERIES, "segment"], stratify="label").persist()
+    parts = _written(random_split(segments, [SERIES, "segment"], stratify="label"))
     train = parts.filter("part = 'train'")
     scaler = fit_minmax(train, names)
     scaled = [f"{c}_scaled" for c in names]

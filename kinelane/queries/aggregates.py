@@ -23,6 +23,7 @@ from kinelane.operators.windows import sequence_targets, shift_ahead
 from kinelane.queries import Query
 from kinelane.queries.common import EM, EV, US, r, rounded
 from kinelane.schema import AXES, SEQ, SERIES
+from kinelane.session import ensure_checkpoints
 from kinelane.sources.recordings import embedding_series, event_series, table
 
 TRUTH = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 3 END"
@@ -71,6 +72,8 @@ def _describe(spark: SparkSession, folder: str) -> DataFrame:
     made = moving_average(rows.withColumns(axes), AXES, 5, suffix="")
     made = made.withColumns({"acc_magnitude": magnitude(*AXES[:3]), "gyro_magnitude": magnitude(*AXES[3:])})
     named = made.withColumn("class", label(F.expr(USER_NAME), RULE_C)).filter(F.col("class").isNotNull())
+    ensure_checkpoints(spark)  # written down, since statistics are two passes
+    named = named.select("class", "acc_magnitude", "gyro_magnitude").checkpoint(eager=True)
     out = describe(named, ["class"], ["acc_magnitude", "gyro_magnitude"])
     return rounded(out, ["class", "column", "count"], ["mean", "std", "min", "p10", "p25", "p50", "p75", "p90", "max"])
 

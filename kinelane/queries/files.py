@@ -10,11 +10,12 @@ from kinelane.functions.signal import magnitude
 from kinelane.operators.lanes import number_rows
 from kinelane.operators.learning import forest
 from kinelane.operators.scaling import apply_minmax, fit_minmax, save_params
+from kinelane.operators.splits import random_split
 from kinelane.operators.verdicts import majority_vote
 from kinelane.queries import Query
 from kinelane.queries.common import EM, EV, r, rounded
 from kinelane.schema import AXES, LENGTH, PROFILES, SEQ, SERIES
-from kinelane.session import work_path
+from kinelane.session import ensure_checkpoints, work_path
 from kinelane.sources.recordings import Scan, embedding_series, epoch_us, event_series, scan_recordings, scan_written, table
 from kinelane.sources.sinks import load_model, save_model, write_labelled, write_recordings
 
@@ -93,15 +94,17 @@ def _stored_scaler(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored_forest(spark: SparkSession, folder: str) -> DataFrame:
-    """A forest is trained, stored, loaded again and votes on every recording."""
+    """A forest is trained on four fifths of the samples, stored, loaded again and votes on the rest of every recording."""
     names = [*AXES, "acc_magnitude", "gyro_magnitude"]
     rows = embedding_series(spark, folder).withColumns(
         {"acc_magnitude": magnitude(*AXES[:3]), "gyro_magnitude": magnitude(*AXES[3:]), "label": F.col("label") % 2}
-    ).persist()
+    )
+    ensure_checkpoints(spark)
+    rows = random_split(rows, [SERIES, SEQ], stratify="label").checkpoint(eager=True)
     path = work_path(spark, "forest")
-    save_model(forest(names, trees=20, depth=5).fit(rows), path)
+    save_model(forest(names, trees=100, depth=30).fit(rows.filter("part = 'train'")), path)
     model: PipelineModel = load_model(path)
-    return majority_vote(model.transform(rows).withColumn("prediction", F.col("prediction").cast("int")))
+    return majority_vote(model.transform(rows.filter("part = 'test'")).withColumn("prediction", F.col("prediction").cast("int")))
 
 
 MS = "CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)"

@@ -8,7 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelane.operators.frames import FEATURES_11, motion_features
+from kinelane.operators.lanes import number_rows
 from kinelane.operators.learning import (
+    FOREST_GRID,
     binary_window_model,
     cluster,
     forecaster,
@@ -31,7 +34,8 @@ from kinelane.functions.signal import magnitude
 from kinelane.functions.text import CLASS_NAMES
 from kinelane.queries import Query
 from kinelane.queries.common import EM, r, rounded
-from kinelane.schema import AXES, SEQ, SERIES
+from kinelane.schema import AXES, LENGTH, SEQ, SERIES
+from kinelane.session import ensure_checkpoints
 from kinelane.sources.recordings import embedding_series, event_series, table
 
 ROW_FEATURES = [*AXES, "acc_magnitude", "gyro_magnitude"]
@@ -46,7 +50,8 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split(df: DataFrame, keys: list[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
-    parts = random_split(df, keys, stratify=label).persist()
+    ensure_checkpoints(df.sparkSession)  # written down: a fit reads its part many times
+    parts = random_split(df, keys, stratify=label).checkpoint(eager=True)
     return parts.filter("part = 'train'"), parts.filter("part = 'test'")
 
 
@@ -61,8 +66,10 @@ def _forest_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    rows = embedding_series(spark, folder).withColumn("label", F.col("label") % 2)
-    made = segment_features(rows, label="label", width=5)
+    """Statistics of segments of 100 samples; series are event types, the axes multiples of the value."""
+    rows = event_series(spark, folder).withColumns({a: F.col("value") * (i + 1) for i, a in enumerate(AXES)})
+    rows = rows.withColumn("label", F.length(SERIES) % 2)
+    made = segment_features(rows, label="label", width=100)
     names = [c for c in made.columns if c.endswith(("_mean", "_std"))]
     scaled = apply_minmax(made, fit_minmax(made, names), names)
     return scaled, [f"{c}_scaled" for c in names]
@@ -76,31 +83,41 @@ def _forest_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forest_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """A small grid, to keep the check short; the operator's default grid is the full one."""
+    """The whole search, 18 candidates by five folds, on the training segments; accuracy of each over the folds."""
     scaled, names = _segments(spark, folder)
-    found = forest_search(class_weights(scaled), names, grid={"numTrees": [10, 20], "maxDepth": [5]}, folds=3)
-    rows = [
-        (i, *(int(v) for v in sorted((p.name, v) for p, v in m.items()) for v in v[1:]), float(a))
-        for i, (m, a) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
-    ]
-    return spark.createDataFrame(rows, "candidate int, max_depth int, num_trees int, accuracy double")
+    train, _ = _split(scaled, [SERIES, "segment"])
+    found = forest_search(class_weights(train), names)
+    rows = []
+    for i, (m, a) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics)):
+        value = {p.name: int(v) for p, v in m.items()}
+        rows.append((i, *(value[n] for n in FOREST_GRID), float(a)))
+    return spark.createDataFrame(rows, "candidate int, num_trees int, max_depth int, min_rows int, accuracy double")
 
 
-def _windows(spark: SparkSession, folder: str, classes: int) -> DataFrame:
-    windows = sliding_windows(embedding_series(spark, folder), AXES, 10, 5)
-    return window_vectors(windows).withColumn("label", F.col(SERIES).cast("int") % classes)
+def _recordings(spark: SparkSession, folder: str, classes: int) -> DataFrame:
+    """Six-axis series by class: the labels modulo the number of classes, in id order."""
+    axes = [F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate(AXES)]
+    series = (F.col("label") % classes).cast("string").alias(SERIES)
+    return number_rows(table(spark, folder, "embeddings").select(series, "vec_id", *axes), ["vec_id"])
+
+
+def _labelled_windows(rows: DataFrame, columns: list[str], width: int) -> DataFrame:
+    return window_vectors(sliding_windows(rows, columns, width, 10)).withColumn("label", F.col(SERIES).cast("int"))
 
 
 def _window_binary(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _split(_windows(spark, folder, 2), [SERIES, "window_id"])
+    """Windows of 100 samples by six axes, two classes; verdicts from the windows held out."""
+    train, test = _split(_labelled_windows(_recordings(spark, folder, 2), AXES, 100), [SERIES, "window_id"])
     model = binary_window_model(train, iterations=100)
     scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
     return rounded(mean_probability(scored), [SERIES, "windows", "class"], ["score"], 3)
 
 
 def _window_multiclass(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _split(_windows(spark, folder, 4), [SERIES, "window_id"])
-    model = multiclass_window_model(train, inputs=60, iterations=100)
+    """Windows of 50 samples by eleven features, four classes; verdicts from the windows held out."""
+    rows = motion_features(_recordings(spark, folder, 4)).select(SERIES, SEQ, LENGTH, *FEATURES_11)
+    train, test = _split(_labelled_windows(rows, FEATURES_11, 50), [SERIES, "window_id"])
+    model = multiclass_window_model(train, inputs=50 * len(FEATURES_11), iterations=100)
     scored = model.transform(test).withColumn("probs", vector_to_array("probability"))
     return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 3)
 
@@ -113,14 +130,16 @@ def _forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _training_history(spark: SparkSession, folder: str) -> DataFrame:
-    windows = _windows(spark, folder, 2)
-    return history(windows, binary_window_model(windows, iterations=10))
+    """Objective per iteration of the two-class window model on its training part."""
+    train, _ = _split(_labelled_windows(_recordings(spark, folder, 2), AXES, 100), [SERIES, "window_id"])
+    return history(train, binary_window_model(train, iterations=100))
 
 
 def _standard_means(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    rows = event_series(spark, folder, "user_id", "event_type")
-    sides = [F.when(F.col("event_type") == t, F.col("value")) for t in ("click", "error", "purchase", "signup", "view")]
-    wide = rows.withColumns({a: F.coalesce(s, F.lit(0.0)) for a, s in zip(AXES, [*sides, F.col("value")])})
+    """Standardised means per user; value and five parts of the time stand for the axes."""
+    rows = event_series(spark, folder, "user_id")
+    parts = [F.col("value"), *[F.date_part(F.lit(p), "ts") for p in ("HOUR", "MINUTE", "SECOND", "DAY", "DOW")]]
+    wide = rows.withColumns({a: part.cast("double") for a, part in zip(AXES, parts, strict=True)})
     means = series_means(wide, AXES)
     return apply_standard(means, fit_standard(means, AXES), AXES), [f"{a}_trans" for a in AXES]
 
@@ -148,19 +167,22 @@ def _load():
 
 def _score(spark: SparkSession, folder: str) -> DataFrame:
     """A user's own model on 50-sample windows, then the verdict per series."""
-    scored = score_windows(sliding_windows(embedding_series(spark, folder), AXES, 10, 5), _load)
+    scored = score_windows(sliding_windows(_recordings(spark, folder, 4), AXES, 50, 25), _load)
     return rounded(mean_vector(scored, "probs", 4), [SERIES, "class", "class_name"], ["p0", "p1", "p2", "p3"], 4)
 
 
+EM_BY_FOUR = EM.replace("CAST(label AS VARCHAR) AS series_id", "CAST(label % 4 AS VARCHAR) AS series_id").replace("PARTITION BY label", "PARTITION BY label % 4")
+
+
 def _score_sql() -> str:
     """The same fixed model: softmax of a linear score of the window's means, averaged per series."""
     weights = np.linspace(-1.0, 1.0, len(AXES) * 4, dtype=np.float32).reshape(len(AXES), 4)
     raw = [" + ".join(f"{a} * {float(weights[i, c])!r}" for i, a in enumerate(AXES)) for c in range(4)]
     names = " ".join(f"WHEN {k} THEN '{v}'" for k, v in CLASS_NAMES.items())
     return f"""
-WITH {EM}, w AS (SELECT series_id, unnest(range(0, n - 9, 5)) AS s FROM em WHERE seq = 0 AND n >= 10),
+WITH {EM_BY_FOUR}, w AS (SELECT series_id, unnest(range(0, n - 49, 25)) AS s FROM em WHERE seq = 0 AND n >= 50),
 m AS (SELECT w.series_id, s, {", ".join(f"avg({a}) AS {a}" for a in AXES)}
-      FROM w JOIN em ON em.series_id = w.series_id AND em.seq BETWEEN s AND s + 9 GROUP BY w.series_id, s),
+      FROM w JOIN em ON em.series_id = w.series_id AND em.seq BETWEEN s AND s + 49 GROUP BY w.series_id, s),
 e AS (SELECT series_id, {", ".join(f"exp({x}) AS e{c}" for c, x in enumerate(raw))} FROM m),
 p AS (SELECT series_id, {", ".join(f"avg(e{c} / (e0 + e1 + e2 + e3)) AS p{c}" for c in range(4))} FROM e GROUP BY series_id),
 k AS (SELECT *, CASE greatest(p0, p1, p2, p3) WHEN p0 THEN 0 WHEN p1 THEN 1 WHEN p2 THEN 2 ELSE 3 END AS class FROM p)

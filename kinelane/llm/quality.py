@@ -105,10 +105,12 @@ def document_statistics(df: DataFrame, id_column: str = "doc_id", text_column: s
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from at most ``rows`` labelled documents (``labels``: doc_id, quality 0 or 1; nulls are left out).
 
-    ``docs``: doc_id, text. The chosen ids are at most ``rows``, so they are broadcast and no text is shuffled.
+    ``docs``: doc_id, text. The ids are chosen among the labels of ``docs``, at most ``rows``, so they are broadcast and no
+    text is shuffled.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.join(F.broadcast(known), "doc_id").select(F.struct("doc_id", "quality").alias("doc_id"), "text")
     sample = document_statistics(chosen).select("doc_id.quality", *SHARES).toPandas()
     x = sample[list(SHARES)].to_numpy(float).reshape(len(sample), len(SHARES))

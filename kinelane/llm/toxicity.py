@@ -14,8 +14,8 @@ from kinelane.llm.rolling import _BYTE, _ROOT, SEGMENT, _between, _prefix, mix,
 
 #: Labelled documents the model is fitted on, at most: those with the least hash of their id.
 TRAIN_ROWS = 24_000
-#: Token statistics the model keeps, at most (the most frequent), and the least documents for one to be kept.
-MODEL_ROWS, LEAST = 400_000, 3
+#: The least documents of the bounded sample for a token's statistics to be kept; the sample bounds their number.
+LEAST = 3
 #: Prior weights, in documents: of a prefix for its longer prefix or word, and of the overall rate for a prefix.
 PRIOR = 20.0
 #: Taken off every token, so that ordinary text drifts down and segments end.
@@ -179,10 +179,14 @@ def calibrate(model: Model, found: list[tuple[int, int, list[float]]]) -> Model:
     return model._replace(slope=float(max(w[0], 1e-3)) / EVIDENCE, shift=float(w[1]))
 
 
-def _train_ids(labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out third, half of them for counts and half to calibrate."""
+def _train_ids(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` labelled documents outside the held-out third, half of them for counts and half to calibrate.
+
+    They are chosen among the labels of ``docs``, so that labels of other documents take no place in the sample.
+    """
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out("doc_id"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return first.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
 
@@ -222,11 +226,11 @@ def held_out(column: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """``docs``: doc_id, text. Sends at most MODEL_ROWS token counts and ``rows`` calibration rows to the driver.
+    """``docs``: doc_id, text. Sends the token counts of a sample of ``rows`` documents, and their calibration rows, to the driver.
 
     The calibration is fitted on the half that the token scores in it did not see; the final scores are from both halves.
     """
-    sample = _without_copies(stored(docs.join(F.broadcast(_train_ids(labels, rows)), "doc_id"), "sample")).select("text", "toxic", "half")
+    sample = _without_copies(stored(docs.join(F.broadcast(_train_ids(docs, labels, rows)), "doc_id"), "sample")).select("text", "toxic", "half")
     depth = len(PREFIXES) + 1
 
     def count(batches):
@@ -255,8 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     names = ["level", "own", "above", "bad_half", "good_half", "bad", "good"]
     counted = sample.mapInArrow(count, "level int, " + ", ".join(f"{n} long" for n in names[1:]))
     table = counted.groupBy("level", "own").agg(F.min("above").alias("above"), *[F.sum(n).alias(n) for n in names[3:]])
-    documents = F.col("bad") + F.col("good")
-    kept = table.filter(documents >= LEAST).orderBy(documents.desc(), "level", "own").limit(MODEL_ROWS).toPandas()
+    kept = table.filter(F.col("bad") + F.col("good") >= LEAST).toPandas().sort_values(["level", "own"])
     sizes = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
 
     def model_of(suffix: str, halves: tuple[int, ...]) -> Model:

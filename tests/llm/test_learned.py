@@ -234,3 +234,17 @@ def test_driver_tables(spark, data, name):
         assert np.mean([got[r.doc_id].kept == bool(r.quality) for r in judged]) > 0.9
     else:
         assert np.mean([got[r.doc_id].predicted == r.toxic for r in labels]) > 0.85
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    """Of ten thousand labels, two hundred are of this table: all of them are in a sample of that size."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from kinelane.llm.toxicity import _train_ids
+
+    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    docs = spark.range(4_000, 4_200).select(F.col("id").alias("doc_id"))
+    held = sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in range(4_000, 4_200))
+    assert _train_ids(docs, labels, 200).count() == 200 - held

@@ -77,6 +77,24 @@ def test_packing_stage(kept):
 def test_run_and_registration(spark, data):
     import __spark_entry__ as driver
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
     assert pipeline.run(spark, data).columns[0] == "doc_id"
+
+
+CLASHING = "_row _again _turn row key node keys root least text_ component_id".split()
+
+
+def test_clashing_columns_and_empty_tables(spark, data):
+    """Every stage but the last passes other columns through, whatever their names, and takes a table without rows."""
+    texts = [" ".join(f"w{(i * k) % 97}" for i in range(120)) for k in (3, 5, 7)] + [None, ""]
+    made = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = made.union(made.limit(2)).withColumns({c: made["doc_id"] * 10 + i for i, c in enumerate(CLASHING)})
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, data)
+        none = stage(spark, docs.limit(0), data)
+        assert none.count() == 0 and none.columns == out.columns
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert [r[c] for c in CLASHING] == [r["doc_id"] * 10 + i for i in range(len(CLASHING))]

@@ -16,13 +16,21 @@ from kinelane.llm.simhash import near_duplicates
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the limits on their statistics and the trees fitted on this table's labelled documents."""
+    """Documents that pass the limits on their statistics and the trees fitted on this table's labelled documents.
+
+    Null and empty texts have no words and go; null ids are judged like others; repeated rows go or stay together; an
+    empty table stays empty; other columns pass through.
+    """
     trees = quality.train(docs.select("doc_id", text_of().alias("text")), read(spark, sf_dir, "labels"))
     return quality.keep_good(docs, trees)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score, learnt from labelled documents that are not held out, is below the limit."""
+    """Documents whose toxicity score, learnt from labelled documents that are not held out, is below the limit.
+
+    Null and empty texts are scored like text without toxic words; null ids are judged like others; repeated rows go or
+    stay together; an empty table stays empty; other columns pass through.
+    """
     model = toxicity.train(docs.select("doc_id", text_of().alias("text")), read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -32,13 +40,21 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows with equal id and text are one document, of which one row stays; a null id comes after all others.
     """
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    ids = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("_row").alias("row"))
+    key, turn = _free("_row", docs), _free("_turn", docs)
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    ids = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col(key).alias("row"))
     groups = near_duplicates(keyed.select(ids.alias("doc_id"), "text"), shingle=3, distance=3)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
-    kept = keyed.join(first, "_row", "left_semi")
-    again = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
-    return kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias(key))
+    kept = keyed.join(first, key, "left_semi")
+    numbered = kept.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return numbered.filter(F.col(turn) == 1).select(*docs.columns)
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """``name``, or the first longer one that is no column of ``df``."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +67,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of at most 1024 tokens."""
+    """Pieces of the remaining texts in sequences of at most 1024 tokens.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are packed as they occur; an empty table gives
+    no rows; other columns are left out.
+    """
     return best_fit(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +25,19 @@ from kinelane.llm.units import UnitCache
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Longer units are aligned where they stand and not remembered.
 REMEMBERED = 64
+#: Texts aligned at a time.
+TEXTS = 400
 #: Most frequent pairs that tasks get as a broadcast; the others are joined by shuffle. Pairs counted before a task hands them on.
 FREQUENT, HELD = 1_000_000, 2_000_000
 #: Links of a group that are listed one by one.
 LISTED = 4096
 
 
-class Aligned(NamedTuple):
-    """Tokens of a unit or text in both vocabularies: numbers, groups written out, linked pairs and their links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    written: str
-    codes: bytes  # 64-bit: A id times the size of B, plus B id
-    links: bytes
+#: A unit in both vocabularies: numbers of A tokens, B tokens, groups and links; groups written out; linked pairs as 64-bit
+#: codes (A id times the size of B, plus B id) and the links of each.
+Aligned = tuple[int, int, int, int, str, bytes, bytes]
+#: The links of pairs that are linked once each.
+ONES = [np.ones(k, np.int64).tobytes() for k in range(64)]
 
 
 class PlainIds(Ids):
@@ -73,31 +70,44 @@ class Aligner:
         self.span = self.size_a * self.size_b
         normal = normaliser_of(piece_path)
         self.cuts = self.a.ranked is not None and cuts_at_spaces(self.b) and normal.identity and normal.dummy_prefix
-        self.units = UnitCache(self._align, limit=150_000)
+        self.units = UnitCache(self._align, limit=100_000)
 
     def _align(self, units: list[str]) -> list[Aligned | None]:
         """Each unit with the space before it; None where the tokens' bytes are not the unit's."""
         raws = [b" " + u.encode() for u in units]
-        a_ids = [np.frombuffer(i, np.uint32) for i in self.a._merge(units)]
-        b_ids = self.b.encode(units, num_threads=1)
-        good = [
-            b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            for raw, a, b in zip(raws, a_ids, b_ids, strict=True)
-        ]
+        a_blobs, b_ids = self.a._merge(units), self.b.encode(units, num_threads=1)
+        a, b = np.frombuffer(b"".join(a_blobs), np.uint32).astype(np.int64), np.fromiter(chain.from_iterable(b_ids), np.int64, sum(map(len, b_ids)))
+        a_counts, b_counts, sizes = ([len(x) // 4 for x in a_blobs], list(map(len, b_ids)), np.array(list(map(len, raws))))
+        chosen = range(len(units))
+        if not self._covers(a, a_counts, b, b_counts, raws, sizes):
+            chosen = [k for k in chosen if self._covers(*self._one(k, a_blobs, b_ids), raws[k : k + 1], sizes[k : k + 1])]
+            a = np.frombuffer(b"".join([a_blobs[k] for k in chosen]), np.uint32).astype(np.int64)
+            b = np.array([i for k in chosen for i in b_ids[k]], np.int64)
         out: list[Aligned | None] = [None] * len(units)
-        chosen = [k for k, g in enumerate(good) if g]
-        if chosen:
-            made = self._linked(np.concatenate([a_ids[k] for k in chosen]), [len(a_ids[k]) for k in chosen], [b_ids[k] for k in chosen], [len(raws[k]) for k in chosen])
+        if len(chosen):
+            made = self._linked(a, [a_counts[k] for k in chosen], b, [b_counts[k] for k in chosen], int(sizes[chosen].sum()))
             for k, found in zip(chosen, made, strict=True):
                 out[k] = found
         return out
 
-    def _linked(self, a: np.ndarray, a_counts: list[int], b_lists: list[list[int]], sizes: list[int]) -> Iterator[Aligned]:
+    @staticmethod
+    def _one(k: int, a_blobs: list[bytes], b_ids: list[list[int]]) -> tuple:
+        a = np.frombuffer(a_blobs[k], np.uint32).astype(np.int64)
+        return a, [len(a)], np.array(b_ids[k], np.int64), [len(b_ids[k])]
+
+    def _covers(self, a: np.ndarray, a_counts: list[int], b: np.ndarray, b_counts: list[int], raws: list[bytes], sizes: np.ndarray) -> bool:
+        """Whether the tokens of every unit, joined, are its bytes in both vocabularies."""
+        whole = b"".join(raws)
+        for ids, counts, parts, lengths in ((a, a_counts, self.a_bytes, self.lengths[0]), (b, b_counts, self.b_bytes, self.lengths[1])):
+            ends = np.append(0, np.cumsum(lengths[ids]))[np.append(0, np.cumsum(counts))]
+            if (np.diff(ends) != sizes).any() or b"".join(map(parts.__getitem__, ids.tolist())) != whole:
+                return False
+        return True
+
+    def _linked(self, a: np.ndarray, a_counts: list[int], b: np.ndarray, b_counts: list[int], size: int) -> Iterator[Aligned]:
         """Groups and links of units whose tokens cover their bytes, all at once: bytes of the units stand in a row."""
-        a = a.astype(np.int64)
-        b = np.fromiter(chain.from_iterable(b_lists), np.int64, sum(map(len, b_lists)))
         a_end, b_end = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
-        ends = np.zeros((2, sum(sizes) + 1), bool)
+        ends = np.zeros((2, size + 1), bool)
         ends[0, a_end] = ends[1, b_end] = True
         a_last, b_last = ends[1, a_end], ends[0, b_end]
         a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
@@ -113,18 +123,18 @@ class Aligner:
         before = np.cumsum(listed) - listed
         one = np.repeat(np.arange(len(a)), listed)
         codes = a[one] * self.size_b + b[b_first[a_group[one]] + np.arange(len(one)) - before[one]]
-        a_upto, b_upto = np.cumsum(a_counts), np.cumsum(list(map(len, b_lists)))
+        a_upto, b_upto = np.cumsum(a_counts), np.cumsum(b_counts)
         groups = np.append(0, a_group[a_upto - 1] + 1).tolist()
         code_upto = np.append(before, len(codes))[a_upto].tolist()
         large = np.flatnonzero(links > LISTED).tolist()
         total = np.append(0, np.cumsum(links))[groups].tolist()
-        raw, ones, x, i, p = codes.tobytes(), np.ones(len(codes), np.int64).tobytes(), 0, 0, 0
+        raw, x, i, p = codes.tobytes(), 0, 0, 0
         for k, (n_a, y, upto) in enumerate(zip(a_counts, (a_upto + b_upto).tolist(), code_upto, strict=True)):
-            own, counts = raw[8 * p : 8 * upto], ones[8 * p : 8 * upto]
+            own, counts = raw[8 * p : 8 * upto], ONES[upto - p] if upto - p < len(ONES) else ONES[1] * (upto - p)
             while i < len(large) and large[i] < groups[k + 1]:
                 found = self._counted(a[a_first[large[i]] :][: a_size[large[i]]], b[b_first[large[i]] :][: b_size[large[i]]])
                 own, counts, i = own + found[0], counts + found[1], i + 1
-            yield Aligned(n_a, y - x - n_a, groups[k + 1] - groups[k], total[k + 1] - total[k], "".join(written[x:y])[:-1], own, counts)
+            yield n_a, y - x - n_a, groups[k + 1] - groups[k], total[k + 1] - total[k], "".join(written[x:y])[:-1], own, counts
             x, p = y, upto
 
     def _counted(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
@@ -133,13 +143,14 @@ class Aligner:
         return np.add.outer(a * self.size_b, b).tobytes(), np.multiply.outer(m, n).tobytes()
 
     def align(self, texts: list[str]) -> list[list[Aligned] | None]:
-        """Aligned units of each text; None for texts without tokens."""
+        """Aligned units of each text; None for texts without tokens. Units that these texts hold once are not remembered."""
         split = [CUT.split(t) if self.cuts and t else [t] * bool(t) for t in texts]
-        wanted = set().union(*split)
-        long = [u for u in wanted if len(u) > REMEMBERED]
-        self.units.fill(wanted.difference(long))
-        here = dict(zip(long, self._align(long), strict=True))
-        made = [[here[u] if u in here else self.units[u] for u in units] if here else [self.units[u] for u in units] for units in split]
+        counts = Counter(chain.from_iterable(split))
+        self.units.fill({u for u in counts if counts[u] > 1 and len(u) <= REMEMBERED})
+        left = [u for u in counts if u not in self.units]
+        here = dict(zip(left, chain.from_iterable(self._align(left[k : k + 20_000]) for k in range(0, len(left), 20_000)), strict=True))
+        known = self.units
+        made = [[known[u] if u in known else here[u] for u in units] for units in split]
         return [None if not m or None in m else m for m in made]
 
 
@@ -173,7 +184,7 @@ def aligned_texts(df: DataFrame, byte_path: str, piece_path: str, text_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_path, piece_path)
         for batch in batches:
-            for part in small(batch):
+            for part in (p.slice(k, TEXTS) for p in small(batch) for k in range(0, p.num_rows, TEXTS)):
                 made = own.align(part.column(2).to_pylist())
                 rows = [k for k, m in enumerate(made) if m is not None]
                 if not rows:

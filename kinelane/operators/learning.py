@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
+from math import gcd
+from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -13,19 +18,19 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelane.schema import SERIES
+from kinelane.session import ensure_checkpoints
 
-# The forest search space. Unlimited depth becomes Spark's documented maximum, and the
+# Fixed values (but FIT_ROWS): the forest search space. Unlimited depth becomes Spark's documented maximum, and the
 # split-size setting has no Spark counterpart, so 18 combinations remain.
+FIT_ROWS = 100_000  # rows of a partition that forests are searched on
 FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]}
 
 
@@ -39,6 +44,14 @@ def forest(
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model])
 
 
+class Search(NamedTuple):
+    """Candidates of a search, the mean accuracy of each over the folds, and the best one fitted on all rows."""
+
+    candidates: list[dict[str, int]]
+    accuracies: list[float]
+    best: PipelineModel
+
+
 def forest_search(
     df: DataFrame,
     columns: Sequence[str],
@@ -46,26 +59,58 @@ def forest_search(
     weight: str | None = "weight",
     grid: dict[str, list] | None = None,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
-) -> CrossValidatorModel:
-    """Cross-validated grid search by accuracy, refitted on all rows. The features are kept for all fits."""
-    pipeline = forest(columns, label, weight=weight, seed=seed)
-    model = pipeline.getStages()[1]
-    builder = ParamGridBuilder()
-    for name, values in (grid or FOREST_GRID).items():
-        builder = builder.addGrid(model.getParam(name), values)
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=builder.build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    kept = df.select(*columns, label, *([weight] if weight else [])).persist()
+) -> Search:
+    """Cross-validated grid search by accuracy, refitted on all rows.
+
+    A forest is the mean of its trees, so a forest of 300 is three of 100 with seeds of their own, and its first parts are
+    the forests of 100 and 200: one block of trees is fitted once and serves every candidate that holds it. The rows and
+    their folds are written down, in as many partitions as they need, since a fit is some hundred jobs over them.
+    """
+    grid = grid or FOREST_GRID
+    names = list(grid)
+    candidates = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
+    block = gcd(*grid["numTrees"])
+    kept = df.select(*columns, label, *([weight] if weight else [])).withColumn("_fold", F.floor(F.rand(seed) * folds).cast("int"))
+    ensure_checkpoints(df.sparkSession)
+    kept = kept.checkpoint(eager=True)
+    kept = kept.coalesce(max(1, -(-kept.count() // FIT_ROWS))).persist()
+
+    def fitted(part: DataFrame, trees: int, own: dict[str, int], turn: int = 0) -> PipelineModel:
+        pipeline = forest(columns, label, trees=trees, weight=weight, seed=seed + turn)
+        model = pipeline.getStages()[1]
+        return pipeline.fit(part, {model.getParam(n): v for n, v in own.items() if n != "numTrees"})
+
+    def judge(task: tuple[int, tuple]) -> dict[tuple, float]:
+        """Accuracy on one fold of all numbers of trees, for one choice of the other parameters."""
+        fold, other = task
+        own = dict(other)
+        scored, train = kept.filter(F.col("_fold") == fold), kept.filter(F.col("_fold") != fold)
+        for turn in range(max(grid["numTrees"]) // block):
+            made = fitted(train, block, own, turn).transform(scored)
+            scored = made.withColumn(f"_p{turn}", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
+        right = []
+        for trees in grid["numTrees"]:
+            votes = F.col("_p0")
+            for turn in range(1, trees // block):
+                votes = F.zip_with(votes, F.col(f"_p{turn}"), lambda x, y: x + y)
+            guess = F.array_position(votes, F.array_max(votes)) - 1
+            right.append(F.avg((guess == F.col(label)).cast("double")).alias(f"_{trees}"))
+        found = scored.agg(*right).first()
+        return {(trees, other): found[f"_{trees}"] for trees in grid["numTrees"]}
+
+    others = list(dict.fromkeys(tuple((n, c[n]) for n in names if n != "numTrees") for c in candidates))
     try:
-        return search.fit(kept)
+        with ThreadPool(parallelism) as pool:
+            judged = pool.map(inheritable_thread_target(df.sparkSession)(judge), [(fold, other) for fold in range(folds) for other in others])
+        accuracies = []
+        for c in candidates:
+            key = (c["numTrees"], tuple((n, c[n]) for n in names if n != "numTrees"))
+            known = [j[key] for j in judged if j.get(key) is not None]  # a fold without rows says nothing
+            accuracies.append(sum(known) / len(known))
+        best = candidates[max(range(len(candidates)), key=accuracies.__getitem__)]
+        return Search(candidates, accuracies, fitted(kept, best["numTrees"], best))
     finally:
         kept.unpersist()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,3 +200,9 @@ def concatenate(
         .withColumn("dataset", F.lit(into))
         .drop("_offset")
     )
+
+
+def union_labelled(sets: dict[int, DataFrame], label: str = "label") -> DataFrame:
+    """Window sets of several classes as one, every set's rows with its class. Columns are matched by name."""
+    tagged = [df.withColumn(label, F.lit(value)) for value, df in sets.items()]
+    return reduce(lambda a, b: a.unionByName(b), tagged)

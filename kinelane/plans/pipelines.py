@@ -145,7 +145,7 @@ def train_segments(
     scaler = fit_minmax(train, names)
     scaled = [f"{c}_scaled" for c in names]
     found = forest_search(class_weights(apply_minmax(train, scaler, names)), scaled, grid=grid, folds=folds)
-    model = found.bestModel
+    model = found.best
     return Trained(model, scaler, model.transform(apply_minmax(parts.filter("part = 'test'"), scaler, names)))
 
 

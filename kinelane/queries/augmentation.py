@@ -81,21 +81,21 @@ spline AS (SELECT a.series_id, a.k AS seq, (1 - t) * p.y + t * q.y
   FROM spot a JOIN knots p ON p.series_id = a.series_id AND p.seq = a.cell JOIN knots q ON q.series_id = a.series_id AND q.seq = a.cell + 1)"""
 
 
-def _variants_sql() -> str:
+def variants_sql(digits: int = 5) -> str:
     """The four variants, each as its own query's twin makes it, with both clocks."""
     clocks = ("vec_id * 10", "vec_id * 10 + 6")
     plain = ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for c, n in zip(clocks, ("timestamp_acc", "timestamp_gyro"), strict=True))
-    noisy = ", ".join(f"{r(f'{a} + 0.02 * {z}', 5)} AS {a}" for a, z in zip(AXES, normals_sql(42)))
-    jittered = ", ".join(f"{r(f'{a} + 0.01 * stddev_pop({a}) OVER (PARTITION BY series_id) * {z}', 5)} AS {a}" for a, z in zip(AXES, normals_sql(43)))
+    noisy = ", ".join(f"{r(f'{a} + 0.02 * {z}', digits)} AS {a}" for a, z in zip(AXES, normals_sql(42)))
+    jittered = ", ".join(f"{r(f'{a} + 0.01 * stddev_pop({a}) OVER (PARTITION BY series_id) * {z}', digits)} AS {a}" for a, z in zip(AXES, normals_sql(43)))
     c, d = "cos(radians(10))", "sin(radians(10))"
-    rotated = ", ".join(f"{r(f'{c} * {p}_x - {d} * {p}_y', 5)} AS {p}_x, {r(f'{d} * {p}_x + {c} * {p}_y', 5)} AS {p}_y, {r(f'{p}_z', 5)} AS {p}_z" for p in ("acc", "gyro"))
+    rotated = ", ".join(f"{r(f'{c} * {p}_x - {d} * {p}_y', digits)} AS {p}_x, {r(f'{d} * {p}_x + {c} * {p}_y', digits)} AS {p}_y, {r(f'{p}_z', digits)} AS {p}_z" for p in ("acc", "gyro"))
     made = [f"SELECT series_id, seq, '{name}' AS variant, {plain}, {axes} FROM em" for name, axes in (("noisy", noisy), ("jittered", jittered), ("rotated", rotated))]
     share = "(CAST(s.k * (s.n - 1) - s.cell * (2 * s.n - 1) AS DOUBLE) / (2 * s.n - 1))"
-    times = ", ".join(f"{r(f'{c.replace('vec_id', 'p.vec_id')} + (q.vec_id - p.vec_id) * 10 * {share}', 5)} AS {n}" for c, n in zip(clocks, ("timestamp_acc", "timestamp_gyro"), strict=True))
+    times = ", ".join(f"{r(f'{c.replace('vec_id', 'p.vec_id')} + (q.vec_id - p.vec_id) * 10 * {share}', digits)} AS {n}" for c, n in zip(clocks, ("timestamp_acc", "timestamp_gyro"), strict=True))
     splines = "".join(
         f" JOIN (WITH RECURSIVE {EM}, {spline_sql('em', a)} SELECT series_id, seq, value AS {a} FROM spline) USING (series_id, seq)" for a in AXES
     )
-    axes = ", ".join(f"{r(a, 5)} AS {a}" for a in AXES)
+    axes = ", ".join(f"{r(a, digits)} AS {a}" for a in AXES)
     return f"""
 WITH {EM}, o AS (SELECT series_id, n, unnest(range(2 * n)) AS k FROM em WHERE seq = 0 AND n >= 4),
 s AS (SELECT *, least((k * (n - 1)) // (2 * n - 1), n - 2) AS cell FROM o),
@@ -134,5 +134,5 @@ FROM c JOIN t a ON a.series_id = c.series_id AND a.seq = cell LEFT JOIN t b ON b
     "resample_cubic": Query(
         _cubic, f"WITH RECURSIVE {US}, {spline_sql('us')} SELECT series_id, CAST(seq AS BIGINT) AS seq, {r('value')} AS value FROM spline"
     ),
-    "augment_all": Query(_variants, _variants_sql()),
+    "augment_all": Query(_variants, variants_sql()),
 }

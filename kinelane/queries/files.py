@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.signal import magnitude
+from kinelane.operators.augment import variants
 from kinelane.operators.lanes import number_rows
 from kinelane.operators.learning import forest
 from kinelane.operators.scaling import apply_minmax, fit_minmax, save_params
 from kinelane.operators.splits import random_split
 from kinelane.operators.verdicts import majority_vote
 from kinelane.queries import Query
+from kinelane.queries.augmentation import variants_sql
 from kinelane.queries.common import EM, EV, r, rounded
 from kinelane.schema import AXES, LENGTH, PROFILES, SEQ, SERIES
 from kinelane.session import ensure_checkpoints, work_path
 from kinelane.sources.recordings import Scan, embedding_series, epoch_us, event_series, scan_recordings, scan_written, table
-from kinelane.sources.sinks import load_model, save_model, write_labelled, write_recordings
+from kinelane.sources.sinks import load_model, save_model, write_history, write_labelled, write_record, write_recordings, write_variants
 
 RAW = PROFILES["P8_RAW"]
 
@@ -107,6 +111,45 @@ def _stored_forest(spark: SparkSession, folder: str) -> DataFrame:
     return majority_vote(model.transform(rows.filter("part = 'test'")).withColumn("prediction", F.col("prediction").cast("int")))
 
 
+def _variants_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Augmented recordings are written below their variant and read back, in order, from the paths."""
+    path = work_path(spark, "variants")
+    clocks = {"timestamp_acc": F.col("vec_id") * 10, "timestamp_gyro": F.col("vec_id") * 10 + 6}
+    made = variants(embedding_series(spark, folder).withColumns(clocks))
+    write_variants(made.withColumns({c: F.floor(F.round(c, 3)).cast("long") for c in clocks}), path)
+    found = [scan_written(spark, f"{path}/variant={v}", RAW).withColumn("variant", F.lit(v)) for v in ("noisy", "jittered", "rotated", "interpolated")]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    every = [F.round(F.sum(F.col(a) * (F.col(SEQ) + 1)), 2).alias(a) for a in AXES]
+    return rows.groupBy("variant", SERIES).agg(F.count("*").alias("rows"), F.sum("timestamp_gyro").alias("clock"), *every)
+
+
+VARIANTS_ROUNDTRIP_SQL = f"""
+WITH v AS ({variants_sql(15)})
+SELECT variant, variant || '_' || series_id AS series_id, count(*) AS rows, CAST(sum(CAST(floor(round(timestamp_gyro, 3)) AS BIGINT)) AS BIGINT) AS clock,
+       {", ".join(f"{r(f'sum({a} * (seq + 1))', 2)} AS {a}" for a in AXES)}
+FROM v GROUP BY variant, series_id"""
+
+
+def _record(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest recorded sample, written alone with its own columns and read back."""
+    path = work_path(spark, "record")
+    rows = recordings(spark, folder)
+    write_record(rows.select(SERIES, "event_id", *RAW).orderBy(F.desc("timestamp_acc"), F.desc("event_id")).limit(1), path)
+    out = spark.read.option("header", "true").csv(path)
+    return out.select(SERIES, F.col("event_id").cast("long"), F.col("timestamp_acc").cast("long"), *[F.round(F.col(a).cast("double"), 6).alias(a) for a in AXES])
+
+
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    """A history by step (the mean value of each hour stands for the loss) and its parameters, written and read back."""
+    path = work_path(spark, "history")
+    steps = table(spark, folder, "events").groupBy(F.hour("ts").alias("iteration")).agg(F.avg("value").alias("loss"))
+    write_history(steps, {"maxIter": 100, "regParam": 0.001}, path)
+    read = spark.read.option("header", "true").csv(f"{path}/history")
+    params = spark.read.text(f"{path}/params").select(F.get_json_object("value", "$.maxIter").cast("int").alias("max_iter"))
+    out = read.select(F.col("iteration").cast("int"), F.round(F.col("loss").cast("double"), 6).alias("loss"))
+    return out.join(F.broadcast(params), how="cross")
+
+
 MS = "CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)"
 
 QUERIES = {
@@ -137,4 +180,14 @@ FROM events WHERE user_id % 10 IN (1, 2, 3)""",
         + " FROM em",
     ),
     "stored_forest": Query(_stored_forest),
+    "variants_roundtrip": Query(_variants_roundtrip, VARIANTS_ROUNDTRIP_SQL),
+    "record_roundtrip": Query(
+        _record,
+        f"""WITH {EV} SELECT series_id, event_id, {MS} AS timestamp_acc, {", ".join(f"{r(f'value * {i + 1}')} AS {a}" for i, a in enumerate(AXES))}
+FROM ev ORDER BY {MS} DESC, event_id DESC LIMIT 1""",
+    ),
+    "history_roundtrip": Query(
+        _history,
+        f"SELECT CAST(hour(ts) AS INTEGER) AS iteration, {r('avg(value)')} AS loss, 100 AS max_iter FROM events GROUP BY hour(ts)",
+    ),
 }

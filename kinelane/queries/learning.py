@@ -87,10 +87,7 @@ def _forest_grid(spark: SparkSession, folder: str) -> DataFrame:
     scaled, names = _segments(spark, folder)
     train, _ = _split(scaled, [SERIES, "segment"])
     found = forest_search(class_weights(train), names)
-    rows = []
-    for i, (m, a) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics)):
-        value = {p.name: int(v) for p, v in m.items()}
-        rows.append((i, *(value[n] for n in FOREST_GRID), float(a)))
+    rows = [(i, *(c[n] for n in FOREST_GRID), float(a)) for i, (c, a) in enumerate(zip(found.candidates, found.accuracies, strict=True))]
     return spark.createDataFrame(rows, "candidate int, num_trees int, max_depth int, min_rows int, accuracy double")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.functions.windows_udtf import register_window_starts
 from kinelane.operators.lanes import Lanes
+from kinelane.operators.learning import per_column, per_series
 from kinelane.operators.splits import class_weights, random_split
 from kinelane.operators.windows import (
     chronological_split,
@@ -18,9 +20,10 @@ from kinelane.operators.windows import (
     sequence_targets,
     shift_ahead,
     sliding_windows,
+    union_labelled,
 )
 from kinelane.queries import Query
-from kinelane.queries.common import EM, EV, US, r
+from kinelane.queries.common import EM, EV, US, r, rounded
 from kinelane.schema import AXES, SEQ, SERIES
 from kinelane.sources.recordings import embedding_series, event_series, table
 
@@ -190,6 +193,33 @@ def _weights(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("event_id", "event_type", F.round("weight", 6).alias("weight"))
 
 
+def _union_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of two sets of recordings (even and odd users), each cut by itself, as one labelled set."""
+    rows = event_series(spark, folder, "user_id")
+    odd = F.col(SERIES).cast("long") % 2
+    made = {k: sliding_windows(rows.filter(odd == k), ["value"], 20, 10) for k in (0, 1)}
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v[0])
+    return union_labelled(made).select(SERIES, "window_id", "label", F.round(total, 6).alias("total"))
+
+
+def _per_column(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's column function on several columns."""
+    made = per_column(embedding_series(spark, folder), AXES, lambda c: F.sqrt(F.abs(c)), "_root")
+    return rounded(made, [SERIES, SEQ], [f"{a}_root" for a in AXES])
+
+
+def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
+    ordered = pdf.sort_values("seq")
+    steps = ordered["value"].diff().abs().sum()
+    return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "rows": [len(pdf)], "path": [float(steps)]})
+
+
+def _per_series(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's pandas function on every recording: the length of the way its values take."""
+    rows = event_series(spark, folder, "user_id").select(SERIES, SEQ, "value")
+    return rounded(per_series(rows, _spans, "series_id string, rows long, path double"), [SERIES, "rows"], ["path"])
+
+
 QUERIES = {
     "sliding_windows": Query(_sliding(100, 50), _digest_sql(EV, "ev", 100, 50, ["value"], 100)),
     "sliding_windows_dense": Query(_sliding(100, 10), _digest_sql(EV, "ev", 100, 10, ["value"], 100)),
@@ -245,4 +275,18 @@ UNION ALL SELECT 'user_' || user_id, count(*), {r('sum(value)', 4)} FROM events
 SELECT event_id, e.event_type, {r('(SELECT sum(k) FROM c) / ((SELECT count(*) FROM c) * CAST(k AS DOUBLE))')} AS weight
 FROM events e JOIN c ON e.event_type = c.event_type""",
     ),
+    "union_window_sets": Query(
+        _union_sets,
+        f"""WITH {US}, w AS (SELECT series_id, unnest(range(0, n - 19, 10)) AS s FROM us WHERE seq = 0 AND n >= 20)
+SELECT w.series_id, CAST(w.s // 10 AS BIGINT) AS window_id, CAST(CAST(w.series_id AS BIGINT) % 2 AS INTEGER) AS label, {r('sum(value)')} AS total
+FROM w JOIN us ON us.series_id = w.series_id AND us.seq BETWEEN w.s AND w.s + 19 GROUP BY w.series_id, w.s""",
+    ),
+    "per_column": Query(
+        _per_column, f"WITH {EM} SELECT series_id, seq, " + ", ".join(f"{r(f'sqrt(abs({a}))')} AS {a}_root" for a in AXES) + " FROM em"
+    ),
+    "per_series": Query(
+        _per_series,
+        f"""WITH {US}, d AS (SELECT series_id, abs(value - lag(value) OVER (PARTITION BY series_id ORDER BY seq)) AS d FROM us)
+SELECT series_id, count(*) AS rows, {r('coalesce(sum(d), 0)')} AS path FROM d GROUP BY series_id""",
+    ),
 }

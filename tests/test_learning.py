@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelane.operators import quantiles, splits
-from kinelane.operators.learning import cluster, members, per_column, project_2d, score_windows, silhouette
+from kinelane.operators.learning import cluster, forest, forest_search, members, per_column, project_2d, score_windows, silhouette
 from kinelane.operators.metrics import classification_report, confusion_cells
 from kinelane.operators.quantiles import exact_quantiles
 from kinelane.operators.scaling import apply_minmax, fit_minmax, minmax_series, standardise_series
@@ -187,6 +187,24 @@ def test_row_and_segment_forests(spark):
     assert found.test.select("prediction").count() > 0
 
 
+def test_search_serves_all_sizes_from_blocks_of_trees(spark):
+    """The accuracy of the least forest is that of a forest fitted apart; classes that differ plainly are told apart."""
+    rng = np.random.default_rng(2)
+    y = np.arange(90) % 3
+    rows = spark.createDataFrame(pd.DataFrame({"a": y + rng.normal(0, 0.6, 90), "b": rng.normal(size=90), "label": y}))
+    grid = {"numTrees": [4, 8, 12], "maxDepth": [2, 5], "minInstancesPerNode": [1]}
+    found = forest_search(rows, ["a", "b"], weight=None, grid=grid, folds=3)
+    assert found.candidates == [{"numTrees": t, "maxDepth": d, "minInstancesPerNode": 1} for t in (4, 8, 12) for d in (2, 5)]
+    folds = rows.withColumn("_fold", F.floor(F.rand(42) * 3).cast("int")).checkpoint()
+    for depth, got in zip((2, 5), found.accuracies[:2]):
+        apart = []
+        for k in range(3):
+            model = forest(["a", "b"], trees=4, depth=depth).fit(folds.filter(f"_fold != {k}").coalesce(1))
+            apart.append(model.transform(folds.filter(f"_fold = {k}")).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
+        assert abs(got - np.mean(apart)) < 0.1
+    assert min(found.accuracies) > 0.6 and found.best.stages[-1].getNumTrees in (4, 8, 12)
+
+
 def test_rows_without_a_class_are_kept(spark):
     from kinelane.operators.splits import class_weights, random_split
 

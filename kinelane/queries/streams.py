@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelane.operators.scaling import apply_minmax, fit_minmax
-from kinelane.operators.verdicts import newest_pointer
 from kinelane.queries import Query
 from kinelane.queries.common import EV, r
 from kinelane.schema import SEQ, SERIES
 from kinelane.sources.recordings import event_series, table
-from kinelane.streaming.live import count_windows, detect_motion, pointed_feed, time_windows, to_table, with_end
+from kinelane.streaming.live import (
+    MOVING,
+    STILL,
+    count_windows,
+    detect_motion,
+    followed_feed,
+    motion_messages,
+    time_windows,
+    to_table,
+    with_end,
+)
 from kinelane.session import work_path
 
 FILE_ROWS = 1_000_000  # rows of a file of the written feed
@@ -29,23 +38,39 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(pattern)
 
 
+def _sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Signups as the sessions that point at a user's feed."""
+    events = _stream(spark, folder, "events").filter("event_type = 'signup'")
+    return events.select(F.col("user_id").alias("document_id"), F.col("ts").alias("updated_at"))
+
+
 def _motion(spark: SparkSession, folder: str) -> DataFrame:
-    """Live rows of the newest user, scaled with stored parameters and scored with a stored model."""
+    """Live rows of the user whose session is newest, scaled with stored parameters and scored with a stored model.
+
+    The model tells errors from other events by value and hour.
+    """
     events = table(spark, folder, "events").withColumn("hour", F.hour("ts").cast("double"))
     params = fit_minmax(events, ["value", "hour"])
-    train = apply_minmax(events, params, ["value", "hour"]).withColumn("label", (F.col("value") > 50).cast("int"))
+    train = apply_minmax(events, params, ["value", "hour"]).withColumn("label", (F.col("event_type") == "error").cast("int"))
     steps = [
         VectorAssembler(inputCols=["value_scaled", "hour_scaled"], outputCol="features"),
-        LogisticRegression(labelCol="label", maxIter=20),
+        LogisticRegression(labelCol="label", maxIter=100),
     ]
     model = Pipeline(stages=steps).fit(train)
-    pointer = newest_pointer(events.select(F.col("user_id").alias("document_id"), F.col("ts").alias("updated_at")))
-    live = _stream(spark, folder, "events").withColumn("hour", F.hour("ts").cast("double"))
-    live = pointed_feed(live, pointer, key="user_id")
+    live = followed_feed(_stream(spark, folder, "events"), _sessions(spark, folder), key="user_id")
+    live = live.withColumn("hour", F.hour("ts").cast("double"))
     scored = detect_motion(apply_minmax(live, params, ["value", "hour"]), model)
     return to_table(scored.select("user_id", "event_id", "message"), "stream-motion")
 
 
+def _pointer(spark: SparkSession, folder: str) -> DataFrame:
+    """Live rows of the user whose session is newest, scaled, with the message of a fixed limit in the model's place."""
+    params = fit_minmax(table(spark, folder, "events"), ["value"])
+    live = followed_feed(_stream(spark, folder, "events"), _sessions(spark, folder), key="user_id")
+    scored = apply_minmax(live, params, ["value"]).withColumn("prediction", (F.col("value_scaled") > 0.25).cast("int"))
+    return to_table(motion_messages(scored).select("user_id", "event_id", "message"), "stream-pointer")
+
+
 def _count_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered recordings are written as a stream's input and cut into windows as they arrive."""
     source = work_path(spark, "stream-source")
@@ -53,7 +78,7 @@ def _count_windows(spark: SparkSession, folder: str) -> DataFrame:
     files = max(6, -(-rows.count() // FILE_ROWS))
     rows.repartitionByRange(files, SEQ).write.parquet(source)
     feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    out = to_table(count_windows(feed, ["value"], 100, 10), "stream-windows")
+    out = to_table(count_windows(feed, ["value"], 100, 10), "stream-windows", empty_batches=False)
     total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v[0])
     return out.select(
         SERIES, "window_id", "start", F.size("features").cast("long").alias("samples"), F.round(total, 6).alias("value_sum")
@@ -79,6 +104,14 @@ def _time_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "stream_motion": Query(_motion),
+    "stream_pointer": Query(
+        _pointer,
+        f"""
+WITH s AS (SELECT ts AS updated_at, max(CAST(user_id AS VARCHAR)) AS document_id FROM events WHERE event_type = 'signup' GROUP BY ts),
+m AS (SELECT min(value) AS low, max(value) AS high FROM events)
+SELECT e.user_id, e.event_id, CASE WHEN (e.value - m.low) / (m.high - m.low) > 0.25 THEN '{MOVING}' ELSE '{STILL}' END AS message
+FROM events e ASOF JOIN s ON e.ts >= s.updated_at CROSS JOIN m WHERE CAST(e.user_id AS VARCHAR) = s.document_id""",
+    ),
     "stream_count_windows": Query(
         _count_windows,
         f"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -17,11 +18,12 @@ from kinelane.operators.lanes import LANE, Lanes
 from kinelane.schema import SEQ, SERIES
 from kinelane.session import work_path
 
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 MOVING, STILL = "Movimiento detectado", "No hay movimiento"  # fixed values
 
 
 def pointed_feed(feed: DataFrame, pointer: DataFrame, key: str = SERIES, document: str = "document_id") -> DataFrame:
-    """Rows of the live document only (stream-static join with the one-row pointer)."""
+    """Rows of the live document only (stream-static join with a one-row pointer that does not change; see ``followed_feed``)."""
     return feed.join(F.broadcast(pointer.select(F.col(document).alias(key))), key, "inner")
 
 
@@ -34,60 +36,131 @@ def detect_motion(scaled: DataFrame, model: PipelineModel) -> DataFrame:
     return motion_messages(model.transform(scaled))
 
 
+def _pointed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows whose document the pointer named at their time; a slot's state holds the pointers that may still count."""
+    held = list(zip(*state.get)) if state.exists else []
+    known, asked = set(held), []
+    for pdf in batches:
+        points = pdf["_is_session"].to_numpy(bool)
+        known.update(zip(pdf["_at"][points].tolist(), pdf["_document"][points].tolist()))
+        asked.append(pdf[~points])
+    pointers = sorted(known)  # of two at one time the greater name counts
+    if not pointers:
+        return
+    at = np.array([p[0] for p in pointers], np.int64)
+    names = np.array([p[1] for p in pointers], object)
+    # Rows before the watermark do not come any more: of the pointers up to it, the newest is enough.
+    past = max(0, int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, "right")) - 1)
+    if pointers[past:] != held:
+        state.update((at[past:].tolist(), names[past:].tolist()))
+    for pdf in asked:
+        place = np.searchsorted(at, pdf["_at"].to_numpy(), "right") - 1
+        live = (place >= 0) & (names[np.maximum(place, 0)] == pdf["_document"].to_numpy())
+        if live.any():
+            yield pdf.loc[live, ["_row"]]
+
+
+def followed_feed(
+    feed: DataFrame,
+    sessions: DataFrame,
+    key: str = SERIES,
+    ts: str = "ts",
+    document: str = "document_id",
+    updated: str = "updated_at",
+    late: str = "10 minutes",
+    slots: int = 64,
+) -> DataFrame:
+    """Rows of the document that the newest session named at their time; both sides are streams.
+
+    A new session switches the feed while it runs. Rows are dealt to ``slots`` by hash and every session goes to each slot,
+    so a busy document is not one state key; a slot keeps the sessions after the watermark and the last one before it.
+    A row is judged when it arrives, by the sessions known then: a session that comes after its rows changes none of
+    them. Rows and sessions later than ``late`` are dropped, as are rows without time or document. Of sessions of one time
+    the greater name counts.
+    """
+    row = F.array(F.struct(*feed.columns))  # as a list, since pandas would make integers beside nulls floats
+    slot = F.pmod(F.xxhash64(key, ts), F.lit(slots)).cast("int")
+    time, named = F.col(ts).cast("timestamp"), F.col(key).cast("string")
+    rows = feed.filter(time.isNotNull() & named.isNotNull()).select(
+        slot.alias("_slot"), time.alias("_time"), named.alias("_document"), row.alias("_row"), F.lit(False).alias("_is_session")
+    )
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+    every = F.explode(F.array(*[F.lit(i) for i in range(slots)]))
+    points = sessions.filter(F.col(updated).isNotNull() & F.col(document).isNotNull()).select(
+        every.alias("_slot"), F.col(updated).cast("timestamp").alias("_time"), F.col(document).cast("string").alias("_document"), none.alias("_row"), F.lit(True).alias("_is_session")
+    )
+    both = rows.unionByName(points).withWatermark("_time", late).withColumn("_at", F.unix_micros("_time"))
+    schema = StructType([StructField("_row", rows.schema["_row"].dataType)])
+    live = both.groupBy("_slot").applyInPandasWithState(
+        _pointed, schema, "at array<bigint>, document array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return live.select(F.col("_row")[0].alias("_row")).select("_row.*")
+
+
 def count_windows(
     stream: DataFrame,
     columns: Sequence[str],
     width: int,
     step: int,
     lanes: Lanes = Lanes(rows=1000),
+    term: timedelta = timedelta(hours=1),
 ) -> DataFrame:
-    """Full windows of ``width`` samples every ``step`` samples, as soon as their last sample is there.
+    """Full windows of ``width`` samples every ``step`` samples, as soon as all their samples are there.
 
-    State is kept per lane, not per series: a row goes to every lane whose windows may need it, so one
-    busy series is spread over the cluster. A lane's state holds at most its own rows plus ``width - 1``,
-    keyed by position. Once its last window is out only the next start is left, so that rows of a
-    document that is sent again stay ignored.
+    State is kept per lane, not per series: a row goes to every lane whose windows may need it, so one busy series is
+    spread over the cluster. A lane holds the samples of its open windows, at most its own rows plus ``width - 1``, and
+    which windows are out; when its last window is out the samples go at once. A lane for which nothing comes for ``term``
+    of processing time is forgotten, whether finished or idle. So a document that is sent again is ignored inside the term,
+    and taken as a new one after it. A sample that is missing holds up the windows over it only. Null samples are NaN.
     """
-    keys, seq, rows = list(lanes.keys), lanes.seq, lanes.rows
-    columns = list(columns)
-    size = len(columns)
+    keys, seq, columns = list(lanes.keys), lanes.seq, list(columns)
+    rows, size, patience = lanes.rows, len(columns), max(1, round(term.total_seconds() * 1000))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lane = int(key[-1])
-        first = -(-lane * rows // step) * step
-        end = (lane + 1) * rows
-        if state.exists:
-            start, at, values = state.get
-            held = {int(p): list(values[i * size : (i + 1) * size]) for i, p in enumerate(at)}
-        else:
-            start, held = first, {}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        end = (int(key[-1]) + 1) * rows
+        starts = np.arange(-(-(end - rows) // step) * step, end, step, dtype=np.int64)
+        now, fresh = state.getCurrentProcessingTimeMs(), (end - rows, [], [], [], None)
+        since, later, at, flat, until = state.get if state.exists else fresh
+        if until is not None and until < now:  # rows came in the same batch as the end of the term
+            since, later, at, flat, _ = fresh
+        done = (starts < since) | np.isin(starts, np.array(later, np.int64))
+        places, values = [np.array(at, np.int64)], [np.array(flat, float).reshape(-1, size)]
         for pdf in batches:
-            block = pdf[columns].to_numpy(dtype=float).tolist()
-            for p, row in zip(pdf[seq].tolist(), block):
-                if p >= start:
-                    held.setdefault(int(p), row)
-        out = []
-        while start < end and all((start + i) in held for i in range(width)):
-            out.append((*key[:-1], start // step, start, [held[start + i] for i in range(width)]))
-            start += step
-        held = {p: v for p, v in held.items() if p >= start}
-        at = sorted(held)
-        if start < end:
-            state.update((start, at, [x for p in at for x in held[p]]))
-        else:
-            state.update((start, [], []))
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "window_id", "start", "features"])
+            places.append(pdf[seq].to_numpy(np.int64))
+            values.append(pdf[columns].to_numpy(float))
+        at, came = np.unique(np.concatenate(places), return_index=True)  # of a position the sample that came first
+        samples = np.concatenate(values)[came]
+        left = np.searchsorted(at, starts)
+        right = left + width - 1
+        # Positions are distinct and sorted: a window is full if its ends are width - 1 places apart.
+        full = ~done & (right < len(at))
+        full[full] &= (at[left[full]] == starts[full]) & (at[right[full]] == starts[full] + width - 1)
+        ready = np.flatnonzero(full)
+        open_starts = starts[~(done | full)]
+        since = int(open_starts[0]) if len(open_starts) else end
+        before = np.searchsorted(open_starts, at, "right") - 1
+        needed = before >= 0
+        needed[needed] = open_starts[before[needed]] > at[needed] - width
+        later = starts[(done | full) & (starts > since)].tolist()
+        state.update((since, later, at[needed].tolist(), samples[needed].ravel().tolist(), now + patience))
+        state.setTimeoutDuration(patience)
+        if len(ready):
+            named = {k: [v] * len(ready) for k, v in zip(keys, key)}
+            features = [samples[left[i] : left[i] + width].tolist() for i in ready]
+            yield pd.DataFrame({**named, "window_id": starts[ready] // step, "start": starts[ready], "features": features})
 
     types = dict(stream.dtypes)
     named = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    spread = lanes.spread(stream, 0, width - 1).select(*keys, LANE, seq, *columns)
+    spread = lanes.spread(stream, 0, width - 1).select(*keys, LANE, F.col(seq).cast("long").alias(seq), *columns)
     return spread.groupBy(*lanes.group).applyInPandasWithState(
         advance,
         f"{named}, window_id bigint, start bigint, features array<array<double>>",
-        "start bigint, at array<bigint>, vals array<double>",
+        "start bigint, later array<bigint>, at array<bigint>, vals array<double>, until bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
@@ -127,10 +200,14 @@ def with_end(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[datetime]
     return stream.unionByName(spark.readStream.schema(schema).parquet(path)), end
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
+def to_table(
+    stream: DataFrame, name: str, mode: str = "append", then: Callable[[], None] | None = None, empty_batches: bool = True
+) -> DataFrame:
     """Run a stream over all available input into a table in the shared folder and read it back.
 
-    ``then`` is called when the input is used up, and the stream goes on from there with what came meanwhile.
+    ``then`` is called when the input is used up, and the stream goes on from there with what came meanwhile. State that
+    ends by the clock (``count_windows``) asks for one more batch for ever; without ``empty_batches`` the run ends with
+    the input.
     """
     spark = stream.sparkSession
     path = work_path(spark, name)
@@ -141,10 +218,15 @@ def to_table(stream: DataFrame, name: str, mode: str = "append", then: Callable[
         .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
     )
-    writer.start().awaitTermination()
-    if then is not None:
-        then()
+    usual = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, str(empty_batches and usual == "true").lower())
+    try:
         writer.start().awaitTermination()
+        if then is not None:
+            then()
+            writer.start().awaitTermination()
+    finally:
+        spark.conf.set(EMPTY_BATCHES, usual)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 

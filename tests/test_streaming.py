@@ -1,5 +1,8 @@
 """Stream results equal batch results whatever the micro-batches."""
 
+import time
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +10,7 @@ import pytest
 from kinelane.operators.lanes import Lanes
 from kinelane.operators.windows import sliding_windows
 from kinelane.plans.pipelines import watch
-from kinelane.streaming.live import count_windows, pointed_feed, to_table
+from kinelane.streaming.live import count_windows, followed_feed, pointed_feed, to_table
 from kinelane.functions.windows_udtf import register_window_starts
 from series import frame
 
@@ -29,7 +32,7 @@ def test_count_windows_from_any_batches(spark, tmp_path, seed):
     batches = [shuffled.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
     batches.append(rows.head(120))  # a document sent again
     feed = _feed(spark, tmp_path, [b for b in batches if len(b)])
-    got = to_table(count_windows(feed, ["x"], 20, 7, Lanes(rows=50)), "t").toPandas()
+    got = to_table(count_windows(feed, ["x"], 20, 7, Lanes(rows=50)), "t", empty_batches=False).toPandas()
     want = sliding_windows(frame(spark, VALUES), ["x"], 20, 7).toPandas()
 
     def key(df):
@@ -38,6 +41,51 @@ def test_count_windows_from_any_batches(spark, tmp_path, seed):
     assert key(got) == key(want)
 
 
+def test_count_windows_forget_what_is_idle(spark, tmp_path):
+    """A document sent again is ignored inside the term and new after it; a gap holds up the windows over it only."""
+    rows = pd.DataFrame({"series_id": "a", "seq": np.arange(60), "x": np.arange(60.0)})
+    feed = _feed(spark, tmp_path, [rows[rows.seq != 30], rows.head(20)])
+
+    def later():
+        time.sleep(4)
+        rows.head(25).to_parquet(tmp_path / "900.parquet")
+
+    got = to_table(count_windows(feed, ["x"], 10, 5, Lanes(rows=40), timedelta(seconds=3)), "t", then=later, empty_batches=False).toPandas()
+    starts = sorted(got.start.tolist())
+    assert starts == sorted([0, 5, 10, 15, 20, 35, 40, 45, 50] + [0, 5, 10, 15])
+    assert all(f[0][0] == s and f[-1][0] == s + 9 for s, f in zip(got.start, got.features))
+
+
+def test_feed_follows_the_newest_session(spark, tmp_path):
+    """A session that comes while the stream runs switches the feed; integers above 2**53 and nulls pass unchanged."""
+    day = datetime(2024, 1, 1)
+    at = [day + timedelta(seconds=i) for i in range(40)]
+    for name in ("rows", "sessions"):
+        (tmp_path / name).mkdir()
+
+    def rows(part):
+        many = [(k, at[i], (1 << 60) + i, None if i % 3 else float(i)) for i in part for k in "abc"]
+        return spark.createDataFrame(many, "series_id string, ts timestamp, id long, x double")
+
+    def send(df, name):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    sessions = "document_id string, updated_at timestamp"
+    send(rows(range(20)), "rows")
+    send(spark.createDataFrame([("a", at[3]), ("b", at[10]), ("c", None), (None, at[12])], sessions), "sessions")
+
+    def later():
+        send(spark.createDataFrame([("c", at[25]), ("a", at[25]), ("a", at[35])], sessions), "sessions")
+        send(rows(range(20, 40)), "rows")
+
+    feed = spark.readStream.schema("series_id string, ts timestamp, id long, x double").parquet(str(tmp_path / "rows"))
+    news = spark.readStream.schema(sessions).parquet(str(tmp_path / "sessions"))
+    got = to_table(followed_feed(feed, news, slots=3, late="5 seconds"), "t", then=later).collect()
+    want = {(k, i) for k, part in (("a", range(3, 10)), ("b", range(10, 25)), ("c", range(25, 35)), ("a", range(35, 40))) for i in part}
+    assert {(r.series_id, r.id - (1 << 60)) for r in got} == want and len(got) == len(want)
+    assert all(r.x == (None if (r.id - (1 << 60)) % 3 else float(r.id - (1 << 60))) for r in got)
+
+
 def test_watch_hands_messages_to_the_action(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

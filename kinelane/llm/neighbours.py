@@ -123,13 +123,15 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("rank") <= degree).drop("rank")
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, kind: type = np.float16) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, kind: type = np.float16, chunk: int = CHUNK) -> DataFrame:
     """``u, v, d``: near neighbours of every node (``nodes``: node, packed; packed is the vector as floats of ``kind``).
 
     Start: nodes are compared within two sets of blocks drawn by hash. Each round joins the neighbours of a node, in both directions,
     with their vectors, and compares them with one another (neighbours of neighbours); a pair counts if it is nearer
-    than the worst neighbour that one of them has so far, and was not compared before in that role. Nodes with many
-    reverse neighbours are compared in chunks, dealt anew each round. Distances are squared, in double precision.
+    than the worst neighbour that one of them has so far, and was not compared before in that role. Nodes with over ``chunk``
+    neighbours are cut into parts of about that size, dealt anew by hash each round, which are tasks' work of their own.
+    Two members that never met in a part may both be old by then, so parts compare old members as well. Distances are
+    squared, in double precision.
     """
     count = nodes.count()
     blocks = lanes_for(count, BLOCK)
@@ -171,7 +173,7 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
                 nearer = d < worst[i]
                 best.add(ids[i[nearer]], ids[j[nearer]], d[nearer])
 
-        _grouped(batches, compare, CHUNK)
+        _grouped(batches, compare, chunk)
         yield best.batch()
 
     for turn in range(rounds if count > degree + 1 else 0):
@@ -180,8 +182,13 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
         known = nodes.join(worst, "node")
         both = edges.select("u", "v", "new").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "new"))
         both = both.groupBy("u", "v").agg(F.max("new").alias("new"))
-        members = both.join(known, both["v"] == known["node"]).select("u", "v", F.col("new").cast("int").alias("new"), "worst", "packed")
-        dealt = members.repartition(F.col("u")).sortWithinPartitions("u", F.xxhash64("v", F.lit(turn)))
+        both = stored(both, "both")
+        parts = both.groupBy("u").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts")).filter("parts > 1")
+        both = both.join(parts, "u", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("v", F.lit(turn)), "parts"), F.lit(0)).alias("part")
+        fresh = (F.col("new") | F.col("parts").isNotNull()).cast("int").alias("new")
+        members = both.join(known, both["v"] == known["node"]).select("u", "v", fresh, "worst", "packed", part)
+        dealt = members.repartition(F.col("u"), F.col("part")).sortWithinPartitions("u", "part", F.xxhash64("v", F.lit(turn)))
         found = dealt.mapInArrow(local_join, EDGE).select("u", "v", "d", F.lit(True).alias("new"))
         every = found.union(edges.select("u", "v", "d", F.lit(False).alias("new")))
         once = every.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))

@@ -10,7 +10,7 @@ import pytest
 from helpers import ODD, documents, prose, rows
 from pyspark.sql import functions as F
 
-from kinelane.llm import toxicity
+from kinelane.llm import neighbours, toxicity
 from kinelane.llm.boosting import fit
 from kinelane.llm.neighbours import graph_search, nearest, neighbour_graph
 from kinelane.llm.quality import COUNTS, SHARES, keep_good, quality_rules, statistics, train
@@ -223,6 +223,22 @@ def test_graph_keeps_the_nearest(spark):
     assert len(seen) == len(set(seen)) and set(np.argsort(d[4])[:3]) <= set(seen)
 
 
+def test_graph_around_hubs_in_small_parts(spark, monkeypatch):
+    """Every vector lies round one of two hubs, so that a hub has hundreds of neighbours; parts of 16 and blocks of 64 still find the nearest."""
+    rng = np.random.default_rng(8)
+    centers = 3 * rng.normal(size=(2, 24))
+    around = rng.normal(size=(600, 24))
+    x = np.concatenate([centers, centers[np.arange(600) % 2] + 2 * around / np.linalg.norm(around, axis=1)[:, None]])
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, packed binary")
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    edges = {(r.u, r.v) for r in neighbour_graph(nodes, degree=10, kind=np.float64, chunk=16).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i])[:10]}
+    assert sum(v < 2 for _, v in edges) > 550
+    assert len(edges & want) > 0.95 * len(want)
+
+
 @pytest.mark.parametrize("name", ["op7_quality_rules", "op6_toxicity"])
 def test_driver_tables(spark, data, name):
     got = {r.doc_id: r for r in QUERIES[name](spark, data).collect()}

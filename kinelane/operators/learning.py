@@ -10,14 +10,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -160,20 +160,97 @@ def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
+class Clusters(NamedTuple):
+    """Centres in the order of their coordinates, and the sum of squared distances of the rows to their own."""
+
+    centres: list[list[float]]
+    cost: float
+
+
+def _drawn(rows: DataFrame, centres: np.ndarray, seed: int) -> np.ndarray:
+    """One more centre for every start: a row drawn by its squared distance from the start's centres, in one scan.
+
+    Each row draws an exponential time over its weight and the earliest one wins, so tasks draw apart from one another.
+    """
+    starts, have, _ = centres.shape
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, have, TaskContext.get().partitionId()])
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            if not len(x):
+                continue
+            weight = np.ones((starts, len(x)))
+            if have:
+                weight = np.stack([np.min([((x - c) ** 2).sum(1) for c in own], axis=0) for own in centres])
+            with np.errstate(divide="ignore"):
+                time = rng.exponential(size=weight.shape) / weight
+            first = time.argmin(1)
+            yield pa.RecordBatch.from_pydict({"start": np.arange(starts), "time": time[np.arange(starts), first], "x": x[first].tolist()})
+
+    made = rows.mapInArrow(draw, "start long, time double, x array<double>")
+    found = made.groupBy("start").agg(F.min_by("x", F.struct("time", "x")).alias("x")).collect()
+    new = np.array([r.x for r in sorted(found, key=lambda r: r.start)])
+    return np.concatenate([centres.reshape(starts, have, new.shape[1]), new[:, None]], axis=1)
+
+
+def _assigned(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums and squared distances of the clusters of every start: one scan, one number per entry from a task."""
+    starts, k, d = centres.shape
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((starts, k, d + 2))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            wide = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            for start, own in enumerate(centres):
+                far = np.stack([((x - c) ** 2).sum(1) for c in own])
+                at = far.argmin(0)
+                for c in range(k):
+                    totals[start, c, :-1] += wide[at == c].sum(0)
+                    totals[start, c, -1] += far[c, at == c].sum()
+        yield pa.RecordBatch.from_pydict({"entry": np.arange(totals.size), "total": totals.ravel()})
+
+    found = rows.mapInArrow(add, "entry long, total double").groupBy("entry").agg(F.sum("total").alias("total")).collect()
+    totals = np.zeros(starts * k * (d + 2))
+    for r in found:
+        totals[r.entry] = r.total
+    totals = totals.reshape(starts, k, d + 2)
+    return totals[..., -2], totals[..., :-2], totals[..., -1].sum(1)
+
+
 def cluster(
-    df: DataFrame, columns: Sequence[str], k: int = 2, restarts: int = 14, seed: int = 0
-) -> tuple[DataFrame, KMeansModel]:
-    """k-means with several starts, the cheapest kept; adds ``cluster``. Needs at least ``k`` rows."""
-    rows = _vectors(df, columns).persist()
-    try:
-        if len(rows.head(k)) < k:
-            raise ValueError(f"clustering needs at least {k} series")
-        fits = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(rows) for i in range(restarts)]
-    finally:
-        rows.unpersist()
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    best = best.setPredictionCol("cluster")
-    return best.transform(_vectors(df, columns)), best
+    df: DataFrame, columns: Sequence[str], k: int = 2, restarts: int = 14, seed: int = 0, iterations: int = 20, moved: float = 1e-4
+) -> tuple[DataFrame, Clusters]:
+    """k-means with several starts, the cheapest kept; adds ``cluster``. Needs at least ``k`` rows.
+
+    All starts share a scan: one per centre drawn, one per iteration, until no centre moves by more than ``moved``, and one
+    for the costs. Rows with a null or NaN among ``columns`` take no part and get no cluster. Clusters are numbered by
+    their centres' coordinates; a row as near to two goes to the first; a centre without rows stays where it is.
+    """
+    ensure_checkpoints(df.sparkSession)
+    numbers = [F.col(c).cast("double") for c in columns]
+    whole = F.lit(True)
+    for x in numbers:
+        whole = whole & x.isNotNull() & ~F.isnan(x)
+    rows = df.filter(whole).select(F.array(*numbers).alias("x")).checkpoint(eager=True)
+    if len(rows.head(k)) < k:
+        raise ValueError(f"clustering needs at least {k} series")
+    centres = np.zeros((restarts, 0, len(columns)))
+    for _ in range(k):
+        centres = _drawn(rows, centres, seed)
+    for _ in range(iterations):
+        count, total, _ = _assigned(rows, centres)
+        means = np.where(count[..., None] > 0, total / np.maximum(count, 1)[..., None], centres)
+        far = np.sqrt(((means - centres) ** 2).sum(2)).max()
+        centres = means
+        if far <= moved:
+            break
+    costs = _assigned(rows, centres)[2]
+    best = sorted(centres[costs.argmin()].tolist())
+    squares = [sum(((x - F.lit(v)) * (x - F.lit(v)) for x, v in zip(numbers[1:], c[1:], strict=True)), (numbers[0] - F.lit(c[0])) * (numbers[0] - F.lit(c[0]))) for c in best]
+    place = (F.array_position(F.array(*squares), F.array_min(F.array(*squares))) - 1).cast("int")
+    return df.withColumn("cluster", F.when(whole, place)), Clusters(best, float(costs.min()))
 
 
 def members(clustered: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:

@@ -131,7 +131,7 @@ def test_clusters_and_projection(spark):
     for r in members(found).collect():
         groups.setdefault(r.cluster, set()).add(r.series_id)
     assert sorted(map(len, groups.values())) == [30, 40]
-    points, centres = project_2d(df, ["a", "b"], [m.tolist() for m in model.clusterCenters()])
+    points, centres = project_2d(df, ["a", "b"], model.centres)
     z = x - x.mean(0)
     v = np.linalg.svd(z, full_matrices=False)[2]
     v = v * np.sign(v[np.arange(2), np.abs(v).argmax(1)])[:, None]
@@ -141,6 +141,26 @@ def test_clusters_and_projection(spark):
         cluster(df.limit(1).drop("cluster"), ["a", "b"])
 
 
+def test_clusters_of_a_known_split(spark):
+    """Five far groups of unequal size: the best of the starts finds them exactly; odd rows get no cluster."""
+    rng = np.random.default_rng(4)
+    sizes = [200, 60, 20, 6, 2]
+    own = np.repeat(np.arange(5), sizes)
+    x = np.array([[0, 0], [50, 0], [0, 50], [50, 50], [25, 25]])[own] + rng.normal(size=(len(own), 2))
+    rows = [(str(i), *map(float, v)) for i, v in enumerate(x)] + [("null", None, 1.0), ("nan", 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "series_id string, a double, b double").repartition(7)
+    found, model = cluster(df, ["a", "b"], k=5, restarts=14)
+    got = {r.series_id: r.cluster for r in found.collect()}
+    assert got.pop("null") is None and got.pop("nan") is None
+    assert len({(own[int(i)], c) for i, c in got.items()}) == 5
+    means = np.array([x[own == g].mean(0) for g in range(5)])
+    assert np.allclose(model.centres, sorted(means.tolist()))
+    assert np.isclose(model.cost, ((x - means[own]) ** 2).sum())
+    same = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "series_id string, a double")
+    found, model = cluster(same, ["a"], k=2)
+    assert [r.cluster for r in found.collect()] == [0, 0, 0] and model.cost == 0
+
+
 def test_user_model_and_column_functions(spark):
     rows = spark.createDataFrame([("a", [[1.0, 2.0], [3.0, 4.0]])], "series_id string, features array<array<double>>")
 

@@ -51,13 +51,31 @@ def _written(spark: SparkSession, folder: str) -> str:
     line = F.when((F.col("k") % 10 == 2) & (F.col(SEQ) == 0), "1,2,3").otherwise(line)
     line = F.when((F.col("k") % 10 == 3) & (F.col(SEQ) == 0), F.lit(",".join(["x"] * 8))).otherwise(line)
     heads = rows.filter(F.col(SEQ) == 0).select(SERIES, F.lit(-1).cast("long").alias(SEQ), F.when(F.col("k") % 10 == 1, F.lit(",".join(RAW).replace("acc_x", "ax"))).otherwise(F.lit(",".join(RAW))).alias("value"))
-    lines = heads.unionByName(rows.select(SERIES, SEQ, line.alias("value")))
-    path = work_path(spark, "scan")
+    return _plain_files(heads.unionByName(rows.select(SERIES, SEQ, line.alias("value"))))
+
+
+def _plain_files(lines: DataFrame) -> str:
+    """Lines in ``seq`` order as one text file per series; the path of their folder."""
+    path = work_path(lines.sparkSession, "scan")
     dealt = lines.withColumnRenamed(SERIES, "name").repartition(F.col("name")).sortWithinPartitions("name", SEQ)
     dealt.select("name", "value").write.partitionBy("name").option("lineSep", "\n").format("text").save(path)
     return path
 
 
+def _scan_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings with an index and a label column, as files of the profile with nine columns; the index is dropped."""
+    events = table(spark, folder, "events").withColumn("k", F.col("user_id") % 20)
+    rows = number_rows(events.select(F.concat(F.lit("rec_"), F.col("k").cast("string")).alias(SERIES), "k", "ts", "event_id", "value"), ["ts", "event_id"])
+    ms = F.floor(epoch_us("ts") / 1000).cast("long")
+    numbers = [F.col(SEQ), ms, *[F.col("value") * (i + 1) for i in range(6)], F.col("k") % 4]
+    heads = rows.filter(F.col(SEQ) == 0).select(SERIES, F.lit(-1).cast("long").alias(SEQ), F.lit(",".join(PROFILES["P9_LABEL"])).alias("value"))
+    lines = heads.unionByName(rows.select(SERIES, SEQ, F.concat_ws(",", *[c.cast("string") for c in numbers]).alias("value")))
+    found = scan_recordings(spark, f"{_plain_files(lines)}/*", profile="P9_LABEL", pattern="*.txt").recordings
+    return found.select(
+        F.regexp_extract(SERIES, r"name=([^/]+)", 1).alias(SERIES), SEQ, LENGTH, "timestamp", *[F.round(a, 6).alias(a) for a in AXES], "label"
+    )
+
+
 def _scan(spark: SparkSession, folder: str, large: bool = False) -> Scan:
     """What a scan finds in the written files; the folder of a file is its name."""
     found = scan_recordings(spark, f"{_written(spark, folder)}/*", large_files=large, pattern="*.txt")
@@ -79,6 +97,15 @@ SELECT 'rec_' || CAST(k AS VARCHAR) AS series_id, seq, n, ms AS timestamp_acc, m
 FROM e WHERE k % 10 NOT IN (1, 2, 3)"""
 
 
+LABELLED_SQL = f"""
+WITH e AS (SELECT user_id % 20 AS k, value, floor(epoch_us(ts) / 1000.0) AS ms,
+       row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS seq,
+       count(*) OVER (PARTITION BY user_id % 20) AS n FROM events)
+SELECT 'rec_' || CAST(k AS VARCHAR) AS series_id, seq, n, CAST(ms AS DOUBLE) AS timestamp,
+       {", ".join(f"{r(f'value * {i + 1}')} AS {a}" for i, a in enumerate(AXES))}, CAST(k % 4 AS INTEGER) AS label
+FROM e"""
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "labelled")
     names = F.when(F.col(SERIES).isin("click", "view"), F.concat(F.lit("flexion_cuello_"), SERIES)).when(
@@ -153,6 +180,7 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
 MS = "CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)"
 
 QUERIES = {
+    "scan_labelled": Query(_scan_labelled, LABELLED_SQL),
     "csv_roundtrip": Query(
         _roundtrip,
         f"WITH {EV} SELECT series_id, seq, n, {MS} AS timestamp_acc, {MS} + 5 AS timestamp_gyro, "

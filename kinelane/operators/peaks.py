@@ -73,33 +73,41 @@ def local_maxima(df: DataFrame, column: str, height: float | None = None, lanes:
     return found.select(*lanes.keys, lanes.seq, column, "left", "right")
 
 
+def _greedy(at: np.ndarray, x: np.ndarray, state: np.ndarray, distance: int) -> np.ndarray:
+    """Highest first: 0 open, 1 kept, 2 dropped, 3 unknown. What hangs on an unknown peak is unknown too."""
+    first = np.searchsorted(at, at - distance, side="right")
+    last = np.searchsorted(at, at + distance, side="left")
+    settled = state == 1
+    for i in np.flatnonzero(settled):
+        around = state[first[i] : last[i]]
+        around[around != 1] = 2
+    for i in np.lexsort((at, x))[::-1]:
+        if settled[i] or state[i] == 2:
+            continue
+        around = state[first[i] : last[i]]
+        if state[i] == 3:
+            around[around == 0] = 3
+        else:
+            around[around != 1] = 2
+            state[i] = 1
+    return state
+
+
+def _sorted_zone(zone: pa.Table, seq: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    zone = zone.take(pa.array(np.argsort(zone.column(seq).to_numpy())))
+    return zone, zone.column(seq).to_numpy(), zone.column("_x").to_numpy(), zone.column("_state").to_numpy().copy()
+
+
 def _decide(keys: list[str], seq: str, distance: int, rows: int, halo: int):
     """Greedy choice on one lane and its halo, leaving open what depends on peaks beyond the halo."""
 
     def decide(zone: pa.Table) -> pa.Table:
-        zone = zone.take(pa.array(np.argsort(zone.column(seq).to_numpy())))
-        at, x = zone.column(seq).to_numpy(), zone.column("_x").to_numpy()
-        state = zone.column("_state").to_numpy().copy()  # 0 undecided, 1 kept, 2 dropped, 3 unknown here
+        zone, at, x, state = _sorted_zone(zone, seq)
         lane = zone.column(LANE)[0].as_py()
         low, high = lane * rows - halo, (lane + 1) * rows - 1 + halo
         near_edge = ((at - distance + 1 < low) & (low > 0)) | (at + distance - 1 > high)
-        first = np.searchsorted(at, at - distance, side="right")
-        last = np.searchsorted(at, at + distance, side="left")
-        settled = state == 1
-        for i in np.flatnonzero(settled):
-            around = state[first[i] : last[i]]
-            around[around == 0] = 2
-        for i in np.lexsort((at, x))[::-1]:
-            if settled[i] or state[i] == 2:
-                continue
-            around = state[first[i] : last[i]]
-            if state[i] == 3 or near_edge[i]:
-                around[around == 0] = 3
-                state[i] = 3
-            else:
-                around[around != 1] = 2
-                state[i] = 1
-            settled[i] = True
+        state[near_edge & (state == 0)] = 3
+        state = _greedy(at, x, state, distance)
         own = pa.array((at >= lane * rows) & (at < (lane + 1) * rows) & (state != 2))
         kept = zone.select([*keys, seq, "_x"]).append_column("_state", pa.array((state == 1).astype("int32")))
         return kept.filter(own)
@@ -107,34 +115,134 @@ def _decide(keys: list[str], seq: str, distance: int, rows: int, halo: int):
     return decide
 
 
+#: In place of a position: no open peak of the zone is kept; the zone is unknown.
+NONE, UNKNOWN = -1, -2
+
+
+def _border_maps(keys: list[str], seq: str, distance: int, rows: int):
+    """What each outcome of the neighbour's border zone makes of the lane's own zone on the other side.
+
+    A border zone is the ``distance`` positions of a lane next to a border; at most one of its peaks is kept. For side 1
+    the input is the first zone of the next lane and the output the lane's own first zone; for side -1 it is mirrored.
+    """
+
+    def maps(zone: pa.Table) -> pa.Table:
+        zone, at, x, state = _sorted_zone(zone, seq)
+        lane = zone.column(LANE)[0].as_py()
+        low, high = lane * rows, (lane + 1) * rows
+        left, right = at < low, at >= high
+        was_open = state == 0
+        found: list[tuple[int, int | None, int | None, int]] = []
+        for side, given, other, zone_out in (
+            (1, right, left, (at >= low) & (at < low + distance)),
+            (-1, left, right, (at >= high - distance) & (at < high)),
+        ):
+            if not (was_open & zone_out).any():
+                continue
+
+            def outcome(hyp: int, given=given, other=other, zone_out=zone_out) -> int:
+                now = state.copy()
+                now[other & was_open] = 3
+                now[given & was_open] = 3 if hyp == UNKNOWN else 2
+                if hyp >= 0:
+                    now[given & was_open & (at == hyp)] = 1
+                now = _greedy(at, x, now, distance)
+                if (now[zone_out & was_open] == 3).any():
+                    return UNKNOWN
+                kept = at[zone_out & was_open & (now == 1)]
+                return int(kept[0]) if len(kept) else NONE
+
+            alone = outcome(UNKNOWN)
+            ask = at[given & was_open].tolist()
+            if alone != UNKNOWN or not ask:
+                found.append((side, None, None, alone))
+                continue
+            found.append((side, lane + side, UNKNOWN, UNKNOWN))
+            found += [(side, lane + side, hyp, outcome(hyp)) for hyp in [NONE, *ask]]
+        columns = [pa.array([row[i] for row in found], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+        own = zone.select(keys).take(pa.array([0] * len(found), pa.int64()))
+        for name, values in zip(("side", "to", "hyp", "out"), columns, strict=True):
+            own = own.append_column(name, values)
+        return own.append_column("lane", pa.array([lane] * len(found), pa.int64()))
+
+    return maps
+
+
+def _follow(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """Border maps joined with those they point to until none points on: each step doubles the lanes they reach over."""
+    lane = [*keys, "side", "lane"]
+    whole = Window.partitionBy(*lane)
+    told = F.when(F.col("hyp").isNull() | (F.col("hyp") != UNKNOWN), F.col("out"))
+    while True:
+        # One outcome whatever comes in: the lane points nowhere.
+        agreed = F.min(told).over(whole)
+        same = (agreed == F.max(told).over(whole)) & (agreed != UNKNOWN)
+        maps = maps.withColumns({"_same": same | F.col("to").isNull(), "_agreed": F.coalesce(agreed, F.lit(UNKNOWN))})
+        ended = maps.filter("_same").select(
+            *lane, F.lit(None).cast("long").alias("to"), F.lit(None).cast("long").alias("hyp"), F.col("_agreed").alias("out")
+        )
+        maps = ended.distinct().unionByName(maps.filter("not _same").drop("_same", "_agreed")).checkpoint(eager=True)
+        pointing = maps.filter("to is not null")
+        if pointing.isEmpty():
+            return maps
+        ahead = maps.select(*keys, "side", F.col("lane").alias("to"), F.col("out").alias("hyp"), F.col("to").alias("_to"), F.col("hyp").alias("_hyp"))
+        moved = pointing.join(ahead, [*keys, "side", "to", "hyp"]).select(
+            *lane, F.col("_to").alias("to"), F.col("_hyp").alias("hyp"), "out"
+        )
+        maps = maps.filter("to is null").unionByName(moved)
+
+
 def keep_distance(peaks: DataFrame, column: str, distance: int, lanes: Lanes = Lanes()) -> DataFrame:
     """Highest peaks first, dropping every other peak closer than ``distance`` (ties: the later one wins).
 
-    Each round decides the peaks whose higher neighbours are all known inside a lane and its halo. A
-    peak that hangs on an undecided one beyond the halo waits for the next round, which uses lanes four
-    times as long; the highest undecided peak is always decided, so the loop ends with the exact set.
-    Rounds after the first hold only kept peaks (at least ``distance`` apart) and the few open ones.
+    A round decides the peaks whose higher neighbours are all known inside a lane and its halo. Peaks that hang on
+    each other across lanes (a rising series holds one such chain) wait; lanes keep their size. What can pass a border is
+    which peak of its zone is kept, so every lane with open peaks is reduced to a table from the outcome of one
+    border zone to that of the other. The tables are joined along the chain in a logarithmic number of steps, and the
+    outcomes they give settle the zones, which cuts the chain into lanes for the next round. Chains that rise to both
+    sides through the same lanes leave zones unknown, which later rounds settle lane by lane.
     """
     if distance <= 1:
         return peaks
     ensure_checkpoints(peaks.sparkSession)
     keys, seq = list(lanes.keys), lanes.seq
     types = dict(peaks.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"`{seq}` bigint, _x double, _state int"])
+    key_types = [f"`{k}` {types[k]}" for k in keys]
+    schema = ", ".join([*key_types, f"`{seq}` bigint, _x double, _state int"])
+    map_schema = ", ".join([*key_types, "side int, `to` bigint, hyp bigint, out bigint, lane bigint"])
     states = peaks.select(*keys, seq, F.col(column).cast("double").alias("_x"), F.lit(0).alias("_state"))
-    rows, halo = max(lanes.rows, distance), 4 * distance
-    open_left = True
-    while open_left:
-        zone = Lanes(keys=tuple(keys), seq=seq, rows=rows)
+    rows, halo = max(lanes.rows, 2 * distance), 4 * distance
+    zone = Lanes(keys=tuple(keys), seq=seq, rows=rows)
+    while True:
         states = (
             zone.spread(states, halo, halo)
             .groupBy(*zone.group)
             .applyInArrow(_decide(keys, seq, distance, rows, halo), schema)
             .checkpoint(eager=True)
         )
-        open_left = not states.filter("_state = 0").isEmpty()
-        rows *= 4
-    return states.select(*keys, seq, F.col("_x").alias(column))
+        if states.filter("_state = 0").isEmpty():
+            return states.select(*keys, seq, F.col("_x").alias(column))
+        near = zone.spread(states, distance, distance)
+        active = near.filter("_state = 0").select(*zone.group).distinct()
+        maps = near.join(active, zone.group, "left_semi").groupBy(*zone.group).applyInArrow(
+            _border_maps(keys, seq, distance, rows), map_schema
+        )
+        known = _follow(maps, keys).filter(F.col("out") != UNKNOWN)
+        outcomes = known.groupBy(*keys, F.col("lane").alias(LANE)).agg(
+            F.max(F.when(F.col("side") == 1, F.col("out"))).alias("_first"),
+            F.max(F.when(F.col("side") == -1, F.col("out"))).alias("_last"),
+        )
+        place = F.pmod(F.col(seq), F.lit(rows))
+        outcome = F.when(place < distance, F.col("_first"))
+        outcome = F.coalesce(outcome, F.when(place >= rows - distance, F.col("_last")))
+        settled = F.when(F.col("_state") == 1, 1).when(outcome.isNull(), F.col("_state")).when(outcome == F.col(seq), 1).otherwise(2)
+        states = (
+            zone.tag(states)
+            .join(outcomes, zone.group, "left")
+            .withColumn("_state", settled.cast("int"))
+            .filter("_state <> 2")
+            .select(*keys, seq, "_x", "_state")
+        )
 
 
 def _tree(samples: DataFrame, column: str, lanes: Lanes, fan: int, depth: int) -> list[DataFrame]:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from kinelane.operators import peaks
 from kinelane.operators.lanes import Lanes
 from kinelane.operators.peaks import consensus_repetitions, count_peaks, find_peaks, local_maxima, prominences, windowed_peaks
 from series import frame, maxima, prominence, shapes, spaced
@@ -35,6 +36,40 @@ def test_distance_chain_longer_than_a_lane(spark):
     assert got == spaced([m[0] for m in maxima(x)], x, 6)
 
 
+def chains() -> dict[str, np.ndarray]:
+    """Peaks that hang on each other over many lanes: up, down, to both sides, from both sides, and interleaved."""
+    rng = np.random.default_rng(3)
+    out = {k: np.zeros(800) for k in ("up", "down", "valley", "hill", "crossed", "ties", "drift", "loose")}
+    at = np.arange(1, 798, 4)
+    out["up"][at] = np.arange(len(at)) + 1.0
+    out["down"][at] = np.arange(len(at))[::-1] + 1.0
+    out["valley"][at] = np.abs(np.arange(len(at)) - 90.5) + 1
+    out["hill"][at] = 300 - np.abs(np.arange(len(at)) - 90.5)
+    out["crossed"][at] = np.where(np.arange(len(at)) % 2, np.arange(len(at)) + 1.5, np.arange(len(at))[::-1] + 1.0)
+    out["ties"][at] = 1.0
+    out["drift"][:] = np.arange(800) * 0.05 + rng.normal(size=800)
+    out["loose"][np.cumsum(rng.integers(2, 9, size=140))[:130]] = np.arange(130) + 1.0
+    for x in out.values():
+        x[-1] = -1
+    return out
+
+
+@pytest.mark.parametrize("distance", [5, 6, 13])
+def test_distance_over_chains_of_many_lanes(spark, monkeypatch, distance):
+    rounds = []
+    maps = peaks._border_maps
+    monkeypatch.setattr(peaks, "_border_maps", lambda *a: rounds.append(a) or maps(*a))
+    single = {k: x for k, x in chains().items() if k != "crossed"}
+    lanes = Lanes(rows=16)
+    for values, most in ((single, 1), ({"crossed": chains()["crossed"]}, 50)):
+        rounds.clear()
+        out = find_peaks(frame(spark, values), "x", distance=distance, lanes=lanes).toPandas()
+        for name, x in values.items():
+            assert sorted(out[out.series_id == name].seq) == spaced([m[0] for m in maxima(x)], x, distance), name
+        assert len(rounds) <= most
+        assert all(rows == max(16, 2 * distance) for *_, rows in rounds)
+
+
 @pytest.mark.parametrize("rows,fan", [(16, 2), (64, 8)])
 def test_prominence_over_a_deep_tree(df, rows, fan):
     lanes = Lanes(rows=rows)

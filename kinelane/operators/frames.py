@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinelane.functions.signal import magnitude
 from kinelane.operators.lanes import LANE, Lanes, join_small, running_before
+from kinelane.operators.wide import frame_sums
 from kinelane.schema import ACC, AXES, GYRO, LENGTH
 from kinelane.session import ensure_checkpoints
 
@@ -23,13 +24,13 @@ def moving_average(
     Series shorter than ``width`` have no result of their own length and are left out.
     """
     before, after = width // 2, (width - 1) // 2
-    frame = lanes.frame(before, after)
-    return lanes.run(
-        lanes.with_length(df).filter(F.col(LENGTH) >= width),
-        before,
-        after,
-        lambda d: d.withColumns({f"{c}{suffix}": F.sum(c).over(frame) / F.lit(float(width)) for c in columns}),
-    )
+
+    def make(d: DataFrame) -> DataFrame:
+        d = frame_sums(d, columns, before, after, 0, lanes)
+        means = {f"{c}{suffix}": F.col(f"_{c}_m0") / F.lit(float(width)) for c in columns}
+        return d.withColumns(means).drop(*[f"_{c}_m0" for c in columns])
+
+    return lanes.run(lanes.with_length(df).filter(F.col(LENGTH) >= width), before, after, make)
 
 
 def _moments(x: Column, w: WindowSpec) -> dict[str, Column]:

@@ -196,8 +196,9 @@ def keep_distance(peaks: DataFrame, column: str, distance: int, lanes: Lanes = L
     """Highest peaks first, dropping every other peak closer than ``distance`` (ties: the later one wins).
 
     A round decides the peaks whose higher neighbours are all known inside a lane and its halo. Peaks that hang on
-    each other across lanes (a rising series holds one such chain) wait; lanes keep their size. What can pass a border is
-    which peak of its zone is kept, so every lane with open peaks is reduced to a table from the outcome of one
+    each other across lanes wait for the next round; lanes keep their size. Where a round leaves over half of the
+    waiting peaks open (a rising series holds one chain of all its peaks), chains are contracted: what can pass a border
+    is which peak of its zone is kept, so every lane with open peaks is reduced to a table from the outcome of one
     border zone to that of the other. The tables are joined along the chain in a logarithmic number of steps, and the
     outcomes they give settle the zones, which cuts the chain into lanes for the next round. Chains that rise to both
     sides through the same lanes leave zones unknown, which later rounds settle lane by lane.
@@ -213,6 +214,7 @@ def keep_distance(peaks: DataFrame, column: str, distance: int, lanes: Lanes = L
     states = peaks.select(*keys, seq, F.col(column).cast("double").alias("_x"), F.lit(0).alias("_state"))
     rows, halo = max(lanes.rows, 2 * distance), 4 * distance
     zone = Lanes(keys=tuple(keys), seq=seq, rows=rows)
+    waiting = None
     while True:
         states = (
             zone.spread(states, halo, halo)
@@ -220,8 +222,11 @@ def keep_distance(peaks: DataFrame, column: str, distance: int, lanes: Lanes = L
             .applyInArrow(_decide(keys, seq, distance, rows, halo), schema)
             .checkpoint(eager=True)
         )
-        if states.filter("_state = 0").isEmpty():
+        before, waiting = waiting, states.filter("_state = 0").count()
+        if not waiting:
             return states.select(*keys, seq, F.col("_x").alias(column))
+        if before is None or waiting <= before // 2:
+            continue  # most peaks hang on the next lane only
         near = zone.spread(states, distance, distance)
         active = near.filter("_state = 0").select(*zone.group).distinct()
         maps = near.join(active, zone.group, "left_semi").groupBy(*zone.group).applyInArrow(

@@ -1,9 +1,9 @@
 """Savitzky-Golay smoothing from three moment sums per frame.
 
 A least-squares polynomial of degree 2 on equally spaced points depends on the samples only through
-sum(x), sum(k*x) and sum(k*k*x). The sums are plain window aggregates with ``k`` counted from the lane
-centre (small numbers, so shifting them to the frame centre loses no accuracy that matters), and the
-two edges use the sums over the first and last frame of the series. No Python, one shuffle.
+sum(x), sum(k*x) and sum(k*k*x). Sums of wide frames come from heads and tails of blocks, whatever the width, those of
+narrow frames from plain window aggregates; the two edges use the sums of the first and last frame of the series. No
+Python, one shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelane.operators.lanes import LANE, Lanes
+from kinelane.operators.lanes import Lanes
+from kinelane.operators.wide import frame_sums
 from kinelane.schema import LENGTH
 
 SMOOTH_LANES = Lanes(rows=1024)
@@ -52,34 +53,34 @@ def savgol(
     before, after = (width - 1) // 2, width // 2
     half = width // 2
     pos, n = F.col(lanes.seq), F.col(LENGTH)
-    frame, whole = lanes.frame(before, after), lanes.whole
-    local = (pos - F.col(LANE) * F.lit(lanes.rows) - F.lit(lanes.rows // 2)).cast("double")
-    centre = F.col("_k") + F.lit((after - before) / 2.0)
     mid = (width - 1) / 2.0
 
     def make(d: DataFrame) -> DataFrame:
-        d = d.withColumn("_k", local)
+        d = d.withColumns({f"_{c}_x": F.col(c).cast("double") for c in columns})
+        d = frame_sums(d, [f"_{c}_x" for c in columns], before, after, 2, lanes)
+        sums = {c: [F.col(f"__{c}_x_m{p}") for p in range(3)] for c in columns}
+        if edges:
+            # The first and the last whole frame of the series serve all rows beside them.
+            every = F.struct(*[m.alias(f"{c}_m{p}") for c in columns for p, m in enumerate(sums[c])])
+            d = d.withColumns(
+                {
+                    "_left": F.first(F.when(pos == before, every), ignorenulls=True).over(lanes.whole),
+                    "_right": F.first(F.when(pos == n - 1 - after, every), ignorenulls=True).over(lanes.whole),
+                }
+            )
         made: dict[str, Column] = {}
         for c in columns:
-            x = F.col(c).cast("double")
-            m0 = F.sum(x).over(frame)
-            t1 = F.sum(x * F.col("_k")).over(frame)
-            t2 = F.sum(x * F.col("_k") * F.col("_k")).over(frame)
-            inner = _polynomial(m0, t1 - centre * m0, t2 - F.lit(2.0) * centre * t1 + centre * centre * m0, width, None)
-            if not edges:
-                made[f"{c}{suffix}"] = inner
-                continue
-            value = inner
-            for is_edge, in_frame, k in (
-                (pos < half, pos < width, pos - F.lit(mid)),
-                (pos >= n - half, pos >= n - width, pos - (n - width) - F.lit(mid)),
-            ):
-                e0, e1, e2 = (
-                    F.sum(F.when(in_frame, term)).over(whole) for term in (x, x * k, x * k * k)
+            value = _polynomial(*sums[c], width, None)
+            if edges:
+                left, right = ([F.col(side).getField(f"{c}_m{p}") for p in range(3)] for side in ("_left", "_right"))
+                value = (
+                    F.when(pos >= n - half, _polynomial(*right, width, pos - (n - width) - F.lit(mid)))
+                    .when(pos < half, _polynomial(*left, width, pos - F.lit(mid)))
+                    .otherwise(value)
                 )
-                value = F.when(is_edge, _polynomial(e0, e1, e2, width, k)).otherwise(value)
             made[f"{c}{suffix}"] = value
-        return d.withColumns(made).drop("_k")
+        helpers = [f"__{c}_x_m{p}" for c in columns for p in range(3)] + [f"_{c}_x" for c in columns]
+        return d.withColumns(made).drop("_left", "_right", *helpers)
 
     ready = lanes.with_length(df).filter(n >= width)
     out = lanes.run(ready, width - 1, width - 1, make)
@@ -96,18 +97,19 @@ def savgol_nearest(
     """Degree-1 filter with ``nearest`` edges: a moving mean whose missing samples repeat the end value."""
     before, after = (width - 1) // 2, width // 2
     pos, n = F.col(lanes.seq), F.col(LENGTH)
-    frame, whole = lanes.frame(before, after), lanes.whole
+    whole = lanes.whole
     left = F.greatest(F.lit(before) - pos, F.lit(0))
     right = F.greatest(pos + F.lit(after) - (n - 1), F.lit(0))
 
     def make(d: DataFrame) -> DataFrame:
+        d = frame_sums(d, columns, before, after, 0, lanes)
         made = {}
         for c in columns:
             x = F.col(c)
             first = F.coalesce(F.max(F.when(pos == 0, x)).over(whole), F.lit(0.0))
             last = F.coalesce(F.max(F.when(pos == n - 1, x)).over(whole), F.lit(0.0))
-            made[f"{c}{suffix}"] = (F.sum(x).over(frame) + left * first + right * last) / F.lit(float(width))
-        return d.withColumns(made)
+            made[f"{c}{suffix}"] = (F.col(f"_{c}_m0") + left * first + right * last) / F.lit(float(width))
+        return d.withColumns(made).drop(*[f"_{c}_m0" for c in columns])
 
     return lanes.run(lanes.with_length(df), before, after, make)
 

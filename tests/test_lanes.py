@@ -9,6 +9,7 @@ from kinelane.operators.augment import add_noise, jitter, resample_cubic, resamp
 from kinelane.operators.frames import integrate, moving_average, rolling, running_sum
 from kinelane.operators.lanes import LANE, Lanes, number_rows, running_before, sample_slots
 from kinelane.operators.savgol import savgol, savgol_nearest
+from kinelane.operators.wide import frame_sums
 from kinelane.operators.windows import concatenate, segment_rows, sequence_targets, sliding_windows
 from series import by_series, frame, savgol as savgol_brute, shapes, spline
 
@@ -104,6 +105,27 @@ def test_savgol_against_polynomial_fits(df, width):
             assert np.allclose(got[name][:, 0], savgol_brute(x, width), atol=1e-9), name
 
 
+@pytest.mark.parametrize("before,after", [(3, 3), (4, 3), (0, 6), (20, 21)])
+def test_sums_of_wide_frames_equal_plain_ones(spark, before, after):
+    rng = np.random.default_rng(5)
+    values = {f"s{n}": rng.normal(size=n) for n in (1, before + after + 1, 95, 160)}
+    values["spike"] = np.where(np.arange(100) == 50, 1e15, rng.normal(size=100))
+    values["gaps"] = np.where((np.arange(100) > 30) & (np.arange(100) < 80), np.nan, rng.normal(size=100))
+    rows = frame(spark, values).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    spread = SMALL.spread(rows, before, after)
+    sums = {}
+    for narrow in (0, 1000):
+        made = SMALL.keep(frame_sums(spread, ["x"], before, after, 0, SMALL, narrow=narrow))
+        made = made.select("series_id", "seq", "_x_m0").toPandas()
+        sums[narrow] = made.sort_values(["series_id", "seq"]).reset_index(drop=True)
+    assert (sums[0]["_x_m0"].isna() == sums[1000]["_x_m0"].isna()).all()
+    far = sums[0]["series_id"] != "spike"
+    assert np.allclose(sums[0]["_x_m0"][far], sums[1000]["_x_m0"][far], equal_nan=True, atol=1e-12)
+    for r in sums[0][~far].itertuples():
+        part = values["spike"][max(r.seq - before, 0) : r.seq + after + 1]
+        assert abs(r[3] - part.sum()) < (1e-9 if part.max() < 1e9 else 8.0)
+
+
 def test_savgol_returns_quadratics_unchanged(spark):
     t = np.arange(130.0)
     x = 0.5 * t * t - 3 * t + 2

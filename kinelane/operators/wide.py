@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from kinelane.operators.lanes import Lanes
 from kinelane.schema import LENGTH
 
-#: Up to this width a frame is summed as it is: cheaper than running sums in two orders.
-NARROW = 64
+#: Up to this width a frame is summed as it is: cheaper, as measured, than running sums in two orders.
+NARROW = 160
 
 
 def _whole(a: Column, b: Column) -> Column:

@@ -96,7 +96,7 @@ def test_rolling_statistics(df, width):
         assert np.allclose(got[name], want, equal_nan=True, atol=1e-8, rtol=1e-7), name
 
 
-@pytest.mark.parametrize("width", [51, 100, 101])
+@pytest.mark.parametrize("width", [51, 100, 201, 202])
 def test_savgol_against_polynomial_fits(df, width):
     got = by_series(savgol(df, ["x"], width, lanes=SMALL), "x_smooth")
     for name, x in shapes().items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from itertools import product
 from math import gcd
 from multiprocessing.pool import ThreadPool
@@ -21,16 +22,19 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelane.schema import SERIES
-from kinelane.session import ensure_checkpoints
+from kinelane.session import ensure_checkpoints, work_path
 
 # Fixed values (but FIT_ROWS): the forest search space. Unlimited depth becomes Spark's documented maximum, and the
 # split-size setting has no Spark counterpart, so 18 combinations remain.
 FIT_ROWS = 100_000  # rows of a partition that forests are searched on
+WHOLE_ROWS = 200_000  # rows times trees of a forest that is fitted at once
+HELD_ROWS = 1_500_000  # rows times trees of the fits that run at a time: the driver holds their nodes, about one for two rows
+FITS = 8  # fits that run at a time
 FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]}
 
 
@@ -44,6 +48,56 @@ def forest(
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model])
 
 
+def forest_parts(
+    train: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 100, depth: int = 30, weight: str | None = None, seed: int = 42
+) -> list[Callable[[], PipelineModel]]:
+    """A forest as functions that fit a part of its trees each, with seeds of their own.
+
+    A deep tree has about a node for every second row, and a fit holds the nodes of all its trees in the driver. So the more
+    rows, the fewer trees a part has: what ``each_part`` holds at a time does not grow until one tree of all rows is over
+    that. Up to ``WHOLE_ROWS`` the forest is one part. ``train`` should be written down, since every part reads it.
+    """
+    rows = max(1, train.count())
+    if rows * trees <= WHOLE_ROWS:
+        return [lambda: forest(columns, label, trees, depth, weight, seed).fit(train)]
+    own = min(-(-trees // FITS), max(1, HELD_ROWS // (FITS * rows)))
+    kept = train.select(*columns, label, *([weight] if weight else [])).coalesce(max(1, -(-rows // FIT_ROWS)))
+
+    def part(first: int) -> PipelineModel:
+        return forest(columns, label, min(own, trees - first), depth, weight, seed + first).fit(kept)
+
+    return [partial(part, first) for first in range(0, trees, own)]
+
+
+def each_part(spark: SparkSession, rows: int, parts: Sequence[Callable[[], PipelineModel]], action: Callable[[int, PipelineModel], None], trees: int = 100) -> None:
+    """``action`` on every part of a forest over ``rows`` rows; no more parts at a time than ``HELD_ROWS`` allows."""
+    own = -(-trees // len(parts))
+    with ThreadPool(max(1, min(FITS, HELD_ROWS // max(1, own * rows)))) as pool:
+        pool.map(inheritable_thread_target(spark)(lambda turn: action(turn, parts[turn]())), range(len(parts)), chunksize=1)
+
+
+def forest_votes(rows: DataFrame, parts: Sequence[Callable[[], PipelineModel]], train_rows: int, trees: int = 100) -> DataFrame:
+    """``rows`` with the ``prediction`` of the whole forest: a part is scored when it is there, and then let go.
+
+    The votes of a part are written down by row, and added up in the order of the parts. ``rows`` should be written down.
+    """
+    if len(parts) == 1:
+        return parts[0]().transform(rows)
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    path = work_path(rows.sparkSession, "votes")
+
+    def score(turn: int, model: PipelineModel) -> None:
+        made = model.transform(numbered).select("_row", vector_to_array("rawPrediction").alias("raw"))
+        made.write.parquet(f"{path}/turn={turn}")
+
+    each_part(rows.sparkSession, train_rows, parts, score, trees)
+    votes = rows.sparkSession.read.parquet(path).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("turn", "raw"))).alias("_votes"))
+    every = F.transform("_votes", lambda v: v["raw"])
+    total = F.aggregate(F.slice(every, 2, len(parts)), every[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    guess = votes.select("_row", total.alias("_total")).select("_row", (F.array_position("_total", F.array_max("_total")) - 1).cast("double").alias("prediction"))
+    return numbered.join(guess, "_row").drop("_row")
+
+
 class Search(NamedTuple):
     """Candidates of a search, the mean accuracy of each over the folds, and the best one fitted on all rows."""
 

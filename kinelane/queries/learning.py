@@ -15,8 +15,9 @@ from kinelane.operators.learning import (
     binary_window_model,
     cluster,
     forecaster,
-    forest,
+    forest_parts,
     forest_search,
+    forest_votes,
     history,
     members,
     multiclass_window_model,
@@ -61,8 +62,9 @@ def _report(df: DataFrame) -> DataFrame:
 
 def _forest_rows(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _split(_rows(spark, folder), [SERIES, SEQ])
-    model = forest([f"{c}_scaled" for c in ROW_FEATURES], trees=100, depth=30).fit(train)
-    return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
+    parts = forest_parts(train, [f"{c}_scaled" for c in ROW_FEATURES], trees=100, depth=30)
+    scored = forest_votes(test, parts, train.count())
+    return _report(scored.select("label", F.col("prediction").cast("int").alias("prediction")))
 
 
 def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
@@ -78,8 +80,9 @@ def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
 def _forest_segments(spark: SparkSession, folder: str) -> DataFrame:
     scaled, names = _segments(spark, folder)
     train, test = _split(scaled, [SERIES, "segment"])
-    model = forest(names, trees=100, depth=30, weight="weight").fit(class_weights(train))
-    return _report(model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction")))
+    train = class_weights(train).checkpoint(eager=True)
+    scored = forest_votes(test, forest_parts(train, names, trees=100, depth=30, weight="weight"), train.count())
+    return _report(scored.select("label", F.col("prediction").cast("int").alias("prediction")))
 
 
 def _forest_grid(spark: SparkSession, folder: str) -> DataFrame:

@@ -225,6 +225,29 @@ def test_search_serves_all_sizes_from_blocks_of_trees(spark):
     assert min(found.accuracies) > 0.6 and found.best.stages[-1].getNumTrees in (4, 8, 12)
 
 
+def test_forest_in_parts_holds_few_trees_at_a_time(spark, monkeypatch):
+    """A small forest is one fit, as ever; a large one is fitted and scored in parts that vote together."""
+    from kinelane.operators import learning
+
+    rng = np.random.default_rng(3)
+    y = np.arange(400) % 2
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(400), "a": y + rng.normal(0, 0.15, 400), "b": rng.normal(size=400), "label": y}))
+    rows = rows.checkpoint()
+    train, test = rows.filter("id < 300"), rows.filter("id >= 300")
+    assert len(learning.forest_parts(train, ["a", "b"], trees=10, depth=5)) == 1
+    whole = learning.forest_votes(test, learning.forest_parts(train, ["a", "b"], trees=10, depth=5), 300)
+    again = forest(["a", "b"], trees=10, depth=5).fit(train).transform(test)
+    assert {(r.id, r.prediction) for r in whole.collect()} == {(r.id, r.prediction) for r in again.collect()}
+    monkeypatch.setattr(learning, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(learning, "HELD_ROWS", 300 * 8 * 3)
+    parts = learning.forest_parts(train, ["a", "b"], trees=10, depth=5)
+    sizes = [m.stages[-1].getNumTrees for m in (p() for p in parts)]
+    assert sum(sizes) == 10 and max(sizes) <= 3
+    voted = learning.forest_votes(test, parts, 300, 10).collect()
+    assert sorted(r.id for r in voted) == list(range(300, 400)) and "_row" not in voted[0]
+    assert np.mean([r.prediction == r.label for r in voted]) > 0.9
+
+
 def test_rows_without_a_class_are_kept(spark):
     from kinelane.operators.splits import class_weights, random_split
 

@@ -5,12 +5,13 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from kinelane.operators.lanes import Lanes
 from kinelane.operators.windows import sliding_windows
 from kinelane.plans.pipelines import watch
-from kinelane.streaming.live import count_windows, followed_feed, pointed_feed, to_table
+from kinelane.streaming.live import _with_newest, count_windows, followed_feed, pointed_feed, to_table
 from kinelane.functions.windows_udtf import register_window_starts
 from series import frame
 
@@ -86,6 +87,31 @@ def test_feed_follows_the_newest_session(spark, tmp_path):
     assert all(r.x == (None if (r.id - (1 << 60)) % 3 else float(r.id - (1 << 60))) for r in got)
 
 
+def test_sessions_are_not_copied_to_every_slot(spark, tmp_path):
+    """What the sessions become grows with them, not with the slots; spans of all sizes follow the same pointers."""
+    rng = np.random.default_rng(6)
+    day = datetime(2024, 1, 1)
+    many = [("abc"[k], day + timedelta(seconds=int(t)), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 900), rng.integers(0, 9000, 900)))]
+    points = [("abc"[k], day + timedelta(seconds=int(t))) for k, t in zip(rng.integers(0, 3, 200), rng.integers(3000, 7000, 200))]
+    spark.createDataFrame(many, "series_id string, ts timestamp, id long").repartition(3).write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame(points, "document_id string, updated_at timestamp").repartition(2).write.parquet(str(tmp_path / "sessions"))
+    feed = spark.readStream.schema("series_id string, ts timestamp, id long").parquet(str(tmp_path / "rows"))
+    news = spark.readStream.schema("document_id string, updated_at timestamp").parquet(str(tmp_path / "sessions"))
+    want = []
+    for k, t, i in many:
+        before = [(u, d) for d, u in points if u <= t]
+        if before and max(before)[1] == k:
+            want.append(i)
+    for seconds in (7, 600, 100_000):
+        got = to_table(followed_feed(feed, news, slots=16, span=timedelta(seconds=seconds)), f"t{seconds}").collect()
+        assert sorted(r.id for r in got) == sorted(want), seconds
+    made = []
+    sent = pa.RecordBatch.from_pydict({"at": np.arange(1000), "name": ["a"] * 1000})
+    for batch in _with_newest(100)(iter([sent])):
+        made += batch.column("_last").to_pylist()
+    assert made.count(False) == 1000 and made.count(True) == 10
+
+
 def test_watch_hands_messages_to_the_action(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ RULE_D = [
     ("gir_flex_izqda", 3), ("gir_flex_dcha", 3),
 ]
 
+SLICE_BYTES = 4_000_000  # of text that is decomposed at a time
 LATIN = [(0x00A8, 0x024F), (0x0300, 0x036F), (0x1E00, 0x1EFF)]
 
 
@@ -33,6 +35,10 @@ def _without_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+def _plain(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else _without_marks(text)
+
+
 def _accent_map() -> tuple[str, str]:
     """Latin letters to their base letter; combining marks have no counterpart, so they vanish."""
     kept, removed, bases = [], [], []
@@ -56,15 +62,19 @@ def strip_accents(c: Column, exact: bool = False) -> Column:
     if not exact:
         return F.translate(c, *_accent_map())
 
-    @F.pandas_udf("string")
-    def decompose(text: pd.Series) -> pd.Series:
-        # One pass over a text at a time; equal and plain texts are not decomposed again.
-        other = text[~text.isna()].drop_duplicates()
-        other = other[~other.map(str.isascii)]
-        made = dict(zip(other, other.map(_without_marks), strict=True))
-        return text.map(lambda s: made.get(s, s), na_action="ignore")
-
-    return decompose(c)
+    @F.arrow_udf("string")
+    def decompose(text: pa.Array) -> pa.Array:
+        made, first, held = [], 0, 0
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        for i, size in enumerate([*sizes.tolist(), SLICE_BYTES]):
+            if held + size > SLICE_BYTES and i > first or i == len(sizes):  # a slice at a time becomes Python strings
+                made.append(pa.array(map(_plain, text.slice(first, i - first).to_pylist()), pa.string()))
+                first, held = i, 0
+            held += size
+        return pa.concat_arrays(made)
+
+    # Plain texts stay where they are.
+    return F.coalesce(decompose(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def decimal_comma(c: Column) -> Column:

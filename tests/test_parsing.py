@@ -88,6 +88,21 @@ def test_accents(spark):
         assert got == ["Flexion AEIou n C e", None]
 
 
+def test_accents_of_any_script_by_slices(spark, monkeypatch):
+    """Slices of a few bytes, nulls, empty and long texts: the same as Python's own decomposition of each text."""
+    import unicodedata
+
+    from kinelane.functions import text
+
+    monkeypatch.setattr(text, "SLICE_BYTES", 40)
+    texts = ["", None, "plain", "Ελλάδα ό", "한국어 각", "ﬁn ﬀ ½", "é" * 500, "a\u0301\u0323b", "日本ガ", "𝒜é𐐀", None, "x" * 300, "ñ"] * 7
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = dict(df.select("i", strip_accents(F.col("t"), True)).collect())
+    want = [t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    assert df.limit(0).select(strip_accents(F.col("t"), True)).count() == 0
+
+
 def _squares(line):
     """Twelve lines of x = i * i; the fourth is broken."""
     return ["broken" if i == 3 else line(i * i) for i in range(12)]

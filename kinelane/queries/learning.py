@@ -36,7 +36,7 @@ from kinelane.functions.text import CLASS_NAMES
 from kinelane.queries import Query
 from kinelane.queries.common import EM, r, rounded
 from kinelane.schema import AXES, LENGTH, SEQ, SERIES
-from kinelane.session import ensure_checkpoints
+from kinelane.session import ensure_checkpoints, work_path
 from kinelane.sources.recordings import embedding_series, event_series, table
 
 ROW_FEATURES = [*AXES, "acc_magnitude", "gyro_magnitude"]
@@ -123,8 +123,9 @@ def _window_multiclass(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = window_vectors(forecast_windows(event_series(spark, folder), "value"))
-    parts = random_split(pairs, [SERIES, "window_id"])
+    path = work_path(spark, "pairs")  # written down by column: the split reads the keys only, the fit its part
+    forecast_windows(event_series(spark, folder), "value").write.parquet(path)
+    parts = random_split(window_vectors(spark.read.parquet(path)), [SERIES, "window_id"])
     model = forecaster(parts.filter("part = 'train'"), iterations=100)
     return rounded(regression_metrics(model.transform(parts.filter("part = 'test'")), "target", "prediction"), ["n"], ["mae", "huber", "mape"], 3)
 

@@ -248,6 +248,16 @@ def test_forest_in_parts_holds_few_trees_at_a_time(spark, monkeypatch):
     assert np.mean([r.prediction == r.label for r in voted]) > 0.9
 
 
+def test_forecast_cuts_its_windows_once(spark, data, monkeypatch):
+    """The split and the fit read written pairs; they do not number and cut the events again."""
+    from kinelane.queries import learning
+
+    seen, split = [], learning.random_split
+    monkeypatch.setattr(learning, "random_split", lambda df, *a, **k: seen.append(df.inputFiles()) or split(df, *a, **k))
+    assert learning._forecast(spark, data).first().n > 0
+    assert seen[0] and all("pairs-" in f for f in seen[0])
+
+
 def test_rows_without_a_class_are_kept(spark):
     from kinelane.operators.splits import class_weights, random_split
 

@@ -106,6 +106,60 @@ class Search(NamedTuple):
     best: PipelineModel
 
 
+class CutTrees(NamedTuple):
+    """Trees as they are when they end at any of some depths.
+
+    ``shares``: class shares of every node, tree after tree. ``leaves``: per depth the node that takes the place of each
+    leaf, tree after tree. ``first``: the place of each tree's first leaf.
+    """
+
+    shares: np.ndarray
+    leaves: dict[int, np.ndarray]
+    first: np.ndarray
+
+
+def cut_trees(model: PipelineModel, depths: Sequence[int]) -> CutTrees:
+    """The trees of a fitted forest at every one of ``depths``, from its stored nodes.
+
+    Nodes are split level by level, so a tree that ends at a depth is the deeper one cut there. As in a fit of that depth,
+    a node whose leaves all predict one class is a leaf, with its own shares.
+    """
+    spark = SparkSession.active()
+    path = work_path(spark, "trees")
+    model.stages[-1].write().save(path)
+    columns = ["id", "prediction", "impurityStats", "leftChild", "rightChild"]
+    table = spark.read.parquet(f"{path}/data").select("treeID", *[f"nodeData.{c}" for c in columns]).toArrow().sort_by([("treeID", "ascending"), ("id", "ascending")])
+    tree, prediction, left, right = (table.column(c).to_numpy() for c in ("treeID", "prediction", "leftChild", "rightChild"))
+    stats = table.column("impurityStats").combine_chunks().flatten().to_numpy().reshape(len(tree), -1)
+    total = stats.sum(1, keepdims=True)
+    shares = np.divide(stats, total, out=np.zeros_like(stats), where=total != 0)
+
+    roots = np.flatnonzero(np.diff(tree, prepend=-1))
+    end = left < 0
+    start = roots[tree]  # ids count from 0 in every tree, a node before those on its left, these before those on its right
+    left, right = left + start, right + start
+    levels = [roots]
+    while len(inner := levels[-1][~end[levels[-1]]]):
+        levels.append(np.concatenate([left[inner], right[inner]]))
+    leaves = {}
+    for depth in depths:
+        leaf, label, place = end.copy(), prediction.copy(), np.arange(len(tree))
+        if depth < len(levels):
+            leaf[levels[depth]] = True
+        for level in levels[:depth][::-1]:
+            inner = level[~leaf[level]]
+            a, b = left[inner], right[inner]
+            one = leaf[a] & leaf[b] & (label[a] == label[b])
+            leaf[inner[one]], label[inner[one]] = True, label[a[one]]
+        for level in levels:
+            inner = level[~end[level]]
+            held = leaf[inner] | (place[inner] != inner)
+            for child in (left[inner], right[inner]):
+                place[child] = np.where(held, place[inner], child)
+        leaves[depth] = place[end].astype(np.int32)
+    return CutTrees(shares, leaves, np.cumsum(end)[roots] - end[roots])
+
+
 def forest_search(
     df: DataFrame,
     columns: Sequence[str],
@@ -119,49 +173,74 @@ def forest_search(
     """Cross-validated grid search by accuracy, refitted on all rows.
 
     A forest is the mean of its trees, so a forest of 300 is three of 100 with seeds of their own, and its first parts are
-    the forests of 100 and 200: one block of trees is fitted once and serves every candidate that holds it. The rows and
-    their folds are written down, in as many partitions as they need, since a fit is some hundred jobs over them.
+    the forests of 100 and 200: one block of trees is fitted once and serves every candidate that holds it. A block is
+    fitted at the greatest depth and cut at the lesser ones, which gives the trees of fits of their own as long as a level of
+    a block's nodes goes through Spark's memory at once, and trees of other random draws beyond. The rows and their folds are
+    written down, in as many partitions as they need, since a fit is some thirty jobs over them. No more fits at a time than
+    ``HELD_ROWS`` allows, but one.
     """
+    spark = df.sparkSession
     grid = grid or FOREST_GRID
     names = list(grid)
     candidates = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
     block = gcd(*grid["numTrees"])
+    depths = list(grid.get("maxDepth", [30]))
     kept = df.select(*columns, label, *([weight] if weight else [])).withColumn("_fold", F.floor(F.rand(seed) * folds).cast("int"))
-    ensure_checkpoints(df.sparkSession)
-    kept = kept.checkpoint(eager=True)
-    kept = kept.coalesce(max(1, -(-kept.count() // FIT_ROWS))).persist()
+    ensure_checkpoints(spark)
+    kept = kept.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rows = kept.count()
+    kept = kept.coalesce(max(1, -(-rows // FIT_ROWS))).persist()
+    path = work_path(spark, "votes")
+
+    def choice(c: dict[str, int]) -> tuple:
+        return tuple((n, c[n]) for n in names if n not in ("numTrees", "maxDepth"))
 
     def fitted(part: DataFrame, trees: int, own: dict[str, int], turn: int = 0) -> PipelineModel:
         pipeline = forest(columns, label, trees=trees, weight=weight, seed=seed + turn)
-        model = pipeline.getStages()[1]
+        model = pipeline.getStages()[1].setCacheNodeIds(True)  # the trees stay in the driver while they grow
         return pipeline.fit(part, {model.getParam(n): v for n, v in own.items() if n != "numTrees"})
 
-    def judge(task: tuple[int, tuple]) -> dict[tuple, float]:
-        """Accuracy on one fold of all numbers of trees, for one choice of the other parameters."""
-        fold, other = task
-        own = dict(other)
+    others = list(dict.fromkeys(choice(c) for c in candidates))
+
+    def score(task: tuple[int, int, int]) -> None:
+        """Class probabilities of a fold's rows by one block of trees at every depth, for one choice of the other parameters."""
+        fold, other, turn = task
         scored, train = kept.filter(F.col("_fold") == fold), kept.filter(F.col("_fold") != fold)
-        for turn in range(max(grid["numTrees"]) // block):
-            made = fitted(train, block, own, turn).transform(scored)
-            scored = made.withColumn(f"_p{turn}", vector_to_array("probability")).drop("features", "rawPrediction", "probability", "prediction")
-        right = []
-        for trees in grid["numTrees"]:
-            votes = F.col("_p0")
-            for turn in range(1, trees // block):
-                votes = F.zip_with(votes, F.col(f"_p{turn}"), lambda x, y: x + y)
-            guess = F.array_position(votes, F.array_max(votes)) - 1
-            right.append(F.avg((guess == F.col(label)).cast("double")).alias(f"_{trees}"))
-        found = scored.agg(*right).first()
-        return {(trees, other): found[f"_{trees}"] for trees in grid["numTrees"]}
-
-    others = list(dict.fromkeys(tuple((n, c[n]) for n in names if n != "numTrees") for c in candidates))
+        model = fitted(train, block, {**dict(others[other]), "maxDepth": max(depths)}, turn)
+        model.stages[-1].setLeafCol("_leaf").setPredictionCol("").setProbabilityCol("").setRawPredictionCol("")
+        shared = spark.sparkContext.broadcast(tuple(cut_trees(model, depths)))
+
+        @F.pandas_udf("array<array<double>>")
+        def votes(found: pd.Series) -> pd.Series:
+            shares, leaves, first = shared.value
+            places = (np.stack(found.to_list()).astype(np.int64) + first).T
+            made = np.stack([sum(shares[leaves[depth][place]] for place in places) for depth in depths], 1)
+            return pd.Series((made / made.sum(2, keepdims=True)).tolist())
+
+        made = model.transform(scored).select("_row", "_fold", label, votes(vector_to_array("_leaf", "float32")).alias("votes"))
+        made.write.parquet(f"{path}/other={other}/turn={turn}/part={fold}")
+        shared.destroy()
+
+    turns = max(grid["numTrees"]) // block
+    sizes = [(depth, trees) for depth in depths for trees in grid["numTrees"]]
+    held = rows * (folds - 1) // folds * block
     try:
-        with ThreadPool(parallelism) as pool:
-            judged = pool.map(inheritable_thread_target(df.sparkSession)(judge), [(fold, other) for fold in range(folds) for other in others])
+        with ThreadPool(max(1, min(parallelism, HELD_ROWS // max(1, held)))) as pool:
+            tasks = product(range(folds), range(len(others)), range(turns))
+            pool.map(inheritable_thread_target(spark)(score), list(tasks), chunksize=1)
+        by_turn = F.transform(F.array_sort(F.collect_list(F.struct("turn", "votes"))), lambda v: v["votes"])
+        whole = spark.read.parquet(path).groupBy("other", "_fold", "_row").agg(F.first(label).alias("_label"), by_turn.alias("_votes"))
+
+        def right(depth: int, trees: int) -> F.Column:
+            every = F.transform(F.slice("_votes", 1, trees // block), lambda v: v[depths.index(depth)])
+            total = F.aggregate(F.slice(every, 2, turns), every[0], lambda x, v: F.zip_with(x, v, lambda y, z: y + z))
+            return F.avg((F.array_position(total, F.array_max(total)) - 1 == F.col("_label")).cast("double"))
+
+        judged = sorted(whole.groupBy("other", "_fold").agg(*[right(*size).alias(f"_{i}") for i, size in enumerate(sizes)]).collect(), key=lambda r: r["_fold"])
         accuracies = []
         for c in candidates:
-            key = (c["numTrees"], tuple((n, c[n]) for n in names if n != "numTrees"))
-            known = [j[key] for j in judged if j.get(key) is not None]  # a fold without rows says nothing
+            other, i = others.index(choice(c)), sizes.index((c.get("maxDepth", depths[0]), c["numTrees"]))
+            known = [r[f"_{i}"] for r in judged if r["other"] == other and r[f"_{i}"] is not None]  # a fold without rows says nothing
             accuracies.append(sum(known) / len(known))
         best = candidates[max(range(len(candidates)), key=accuracies.__getitem__)]
         return Search(candidates, accuracies, fitted(kept, best["numTrees"], best))

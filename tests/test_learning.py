@@ -225,6 +225,38 @@ def test_search_serves_all_sizes_from_blocks_of_trees(spark):
     assert min(found.accuracies) > 0.6 and found.best.stages[-1].getNumTrees in (4, 8, 12)
 
 
+def test_search_fits_once_for_all_depths(spark, monkeypatch):
+    """One fit a fold and block; its trees cut at a depth give the probabilities and accuracy of a fit of that depth."""
+    from kinelane.operators import learning
+
+    rng = np.random.default_rng(4)
+    y = np.arange(240) % 3
+    made = pd.DataFrame({"a": y + rng.normal(0, 0.9, 240), "b": rng.normal(size=240), "label": y, "weight": 1.0 + y / 7})
+    rows = spark.createDataFrame(made).coalesce(1).checkpoint()
+    deep = forest(["a", "b"], trees=6, depth=12, weight="weight").fit(rows)
+    scored = deep.stages[-1].setLeafCol("leaf").transform(deep.stages[0].transform(rows)).toPandas()
+    leaves = np.stack([v.toArray() for v in scored["leaf"]]).astype(int)
+    shares, places, first = learning.cut_trees(deep, [0, 1, 3, 7, 12])
+    for depth in (0, 1, 3, 7, 12):
+        votes = sum(shares[places[depth][leaves[:, t] + first[t]]] for t in range(6))
+        apart = forest(["a", "b"], trees=6, depth=depth, weight="weight").fit(rows).transform(rows).toPandas()["probability"]
+        assert np.allclose(votes / votes.sum(1, keepdims=True), np.stack([v.toArray() for v in apart]), rtol=0, atol=1e-12)
+
+    fits, own = [], learning.forest
+    monkeypatch.setattr(learning, "forest", lambda *a, **k: fits.append(k) or own(*a, **k))
+    grid = {"numTrees": [3, 6], "maxDepth": [1, 4, 9], "minInstancesPerNode": [1]}
+    found = forest_search(rows, ["a", "b"], grid=grid, folds=2)
+    assert len(fits) == 2 * 2 + 1
+    assert len(set(found.accuracies)) > 2
+    folds = rows.withColumn("_fold", F.floor(F.rand(42) * 2).cast("int")).checkpoint()
+    for i, depth in enumerate((1, 4, 9)):
+        apart = []
+        for k in range(2):
+            model = own(["a", "b"], trees=3, depth=depth, weight="weight").fit(folds.filter(f"_fold != {k}").coalesce(1))
+            apart.append(model.transform(folds.filter(f"_fold = {k}")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+        assert found.accuracies[i] == sum(apart) / 2
+
+
 def test_forest_in_parts_holds_few_trees_at_a_time(spark, monkeypatch):
     """A small forest is one fit, as ever; a large one is fitted and scored in parts that vote together."""
     from kinelane.operators import learning

@@ -47,6 +47,25 @@ def test_toxicity_stage(spark, data, kept):
     assert np.mean([i in after for i in clean]) > 0.97
 
 
+def test_toxicity_stage_learns_from_the_whole_table(spark, tmp_path):
+    """Few documents are left and none of them is one to learn from: the toxic ones still go."""
+    rng = np.random.default_rng(7)
+    plain, vile = [f"{a}{b}{a}" for a in "bcdfgklmnp" for b in ("ora", "eli", "uste", "ami")], ["zvile", "xfoul", "qgrim", "jrot"]
+    made = []
+    for i in range(600):
+        words = rng.choice(plain, 120).tolist()
+        if i % 3 == 0:
+            words[40:52] = rng.choice(vile, 12).tolist()
+        made.append((i, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) as toxic", "1 as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs.filter("crc32(cast(doc_id as string)) % 3 = 1").limit(60)
+    want = {r.doc_id for r in left.collect() if r.doc_id % 3}
+    got = {r.doc_id for r in pipeline.not_toxic(spark, left, str(tmp_path)).collect()}
+    assert 0 < len(want) < 60 and got == want
+
+
 def test_near_copies_stage(kept):
     before = sorted(kept[2].collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     roots = _groups([_print(r.text) for r in before], 3)

@@ -177,6 +177,39 @@ def test_repeats(spark, monkeypatch, hot):
     assert got == sorted(((i, *r) for i, r in enumerate(_repeats(texts, 100))), key=repr)
 
 
+def test_repeats_sorts_stay_small(monkeypatch):
+    sizes, sort = [], repeats.repeated_starts
+
+    def counted(texts, starts, width):
+        sizes.append(sum(map(len, texts)))
+        return sort(texts, starts, width)
+
+    monkeypatch.setattr(repeats, "repeated_starts", counted)
+    rng = np.random.default_rng(3)
+    texts, keys = [], []
+    for key in range(2_500):  # two different stretches an anchor, of which every fifth pair shares a window
+        a, b = rng.integers(97, 123, 450, np.uint8).tobytes(), rng.integers(97, 123, 450, np.uint8).tobytes()
+        texts += [a, a[7:407] + b"#" * 50 if key % 5 == 0 else b]
+        keys += [key, key]
+    n = len(texts)
+    entries = {"key": np.array(keys, np.uint64), "row": np.arange(n), "at": np.zeros(n, np.int32), "starts": np.full(n, 51, np.int32), "whole": np.arange(n, dtype=np.uint64)}
+    found = set()
+    for part in repeats._judge(entries, texts.__getitem__, 400):
+        for row, at, run in zip(part["row"].tolist(), part["at"].tolist(), part["starts"].tolist(), strict=True):
+            found |= {(row, at + i) for i in range(run)}
+    assert found == {(row + k, 7 * (1 - k)) for row in range(0, n, 10) for k in (0, 1)}
+    assert sum(sizes) > 2_000_000 and max(sizes) <= 500_000
+
+
+def test_repeats_handed_on_in_small_parts(spark, monkeypatch):
+    passage = prose(7, 60)
+    texts = [*[prose(i, 30) + passage for i in range(20)], *[prose(0, 200) + prose(i, 20) for i in range(5)]]
+    want = sorted(((i, *r) for i, r in enumerate(_repeats(texts, 100))), key=repr)
+    for name, value in {"HOT": 4, "HELD_WINDOWS": 200, "HELD_BYTES": 2_000, "SORTED": 1_000, "SHARD_BYTES": 5_000}.items():
+        monkeypatch.setattr(repeats, name, value)
+    assert rows(remove_repeats(documents(spark, texts), 100), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_repeats_null_ids_texts_and_no_rows(spark):
     df = documents(spark, ["é" * 90, "é" * 90, "short"], [None, None, 3])
     found = remove_repeats(df, 100, texts=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from itertools import product
-from math import gcd
+from math import gcd, prod
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +27,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from kinelane.operators.trees import candidate_cuts, ended, grow, in_tasks, node_rows, packed, reached
 from kinelane.schema import SERIES
 from kinelane.session import ensure_checkpoints, work_path
 
@@ -35,6 +39,9 @@ FIT_ROWS = 100_000  # rows of a partition that forests are searched on
 WHOLE_ROWS = 200_000  # rows times trees of a forest that is fitted at once
 HELD_ROWS = 1_500_000  # rows times trees of the fits that run at a time: the driver holds their nodes, about one for two rows
 FITS = 8  # fits that run at a time
+SHARED_BYTES = 64_000_000  # of rows that every task may hold: a byte per feature
+LOADED = 3  # parts of a grown forest that are loaded at a time, where a part has more than one tree
+VOTED = 20  # trees that vote together at most, in a search
 FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]}
 
 
@@ -53,13 +60,19 @@ def forest_parts(
 ) -> list[Callable[[], PipelineModel]]:
     """A forest as functions that fit a part of its trees each, with seeds of their own.
 
-    A deep tree has about a node for every second row, and a fit holds the nodes of all its trees in the driver. So the more
+    A deep tree has about a node for every second row, and a model holds the nodes of all its trees in the driver. So the more
     rows, the fewer trees a part has: what ``each_part`` holds at a time does not grow until one tree of all rows is over
-    that. Up to ``WHOLE_ROWS`` the forest is one part. ``train`` should be written down, since every part reads it.
+    that. Up to ``WHOLE_ROWS`` the forest is one part. Beyond that trees are grown by tasks that hold all rows, as long as
+    these take ``SHARED_BYTES``; then they are fitted by Spark again, level by level. ``train`` should be written down, since
+    every part reads it.
     """
     rows = max(1, train.count())
     if rows * trees <= WHOLE_ROWS:
         return [lambda: forest(columns, label, trees, depth, weight, seed).fit(train)]
+    if rows * len(columns) <= SHARED_BYTES:
+        grown = Grown(train, columns, label, weight, depth, seed)
+        own = min(-(-trees // FITS), max(1, HELD_ROWS // (LOADED * rows)))
+        return [GrownPart(grown, first, min(own, trees - first)) for first in range(0, trees, own)]
     own = min(-(-trees // FITS), max(1, HELD_ROWS // (FITS * rows)))
     kept = train.select(*columns, label, *([weight] if weight else [])).coalesce(max(1, -(-rows // FIT_ROWS)))
 
@@ -69,6 +82,115 @@ def forest_parts(
     return [partial(part, first) for first in range(0, trees, own)]
 
 
+class Grown:
+    """Binned training rows in every task, for trees grown there; a tree's draws depend on ``seed`` and its number."""
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], label: str, weight: str | None, depth: int, seed: int, least: int = 1):
+        self.train, self.columns, self.label, self.weight, self.depth, self.seed, self.least = train, list(columns), label, weight, depth, seed, least
+        self.spark = train.sparkSession
+        self.cuts = candidate_cuts(train, columns)
+        rows = packed(train, columns, [self.cuts], {c: "float64" for c in (label, weight) if c})
+        truth, weights = _judged(rows.others, label, weight)
+        self.classes = int(truth.max(initial=0)) + 1
+        self.shared = self.spark.sparkContext.broadcast((rows.x[0], truth, weights))
+        self._lock, self._form = Lock(), None
+
+    def tree(self) -> Callable:
+        """Grows the tree of a number, in a task."""
+        shared, classes, depth, least, seed = self.shared, self.classes, self.depth, self.least, self.seed
+        return lambda number: grow(*shared.value, classes, depth, least, [seed, number])
+
+    def votes(self, rows: DataFrame, trees: int, path: str) -> int:
+        """Writes the class shares of ``rows`` (by ``_row``), summed over some trees each, and says over how many such turns."""
+        tested = packed(rows, self.columns, [self.cuts], {"_row": "int64"})
+        shown = self.spark.sparkContext.broadcast((tested.x[0], tested.others["_row"]))
+        tree, own, depth = self.tree(), max(1, trees // 50), self.depth
+
+        def vote(turn: int) -> Iterator[pa.RecordBatch]:
+            x, number = shown.value
+            total = 0.0
+            for grown in map(tree, range(turn * own, min((turn + 1) * own, trees))):
+                total = total + grown.shares()[ended(grown, depth)[0][reached(grown, x)]]
+            yield from _by_row({"turn": np.full(len(x), turn, np.int32), "_row": number}, "raw", total)
+
+        turns = -(-trees // own)
+        in_tasks(self.spark.range(0, turns, 1, turns), vote, "turn int, _row long, raw array<double>").write.parquet(path)
+        shown.destroy()
+        return turns
+
+    def template(self) -> tuple[PipelineModel, T.StructType]:
+        """A stump that Spark has fitted on the same rows, whose stored form the trees take over, and the schema of its nodes."""
+        with self._lock:
+            if self._form is None:
+                model = forest(self.columns, self.label, 1, 0, self.weight, self.seed).fit(self.train)
+                path = work_path(self.spark, "stump")
+                model.stages[-1].write().save(path)
+                self._form = model, self.spark.read.parquet(f"{path}/data").schema
+            return self._form
+
+
+class GrownPart:
+    """Some trees of a grown forest. A call gives their model; stored as a model's writer does, they never pass the driver."""
+
+    def __init__(self, grown: Grown, first: int, trees: int):
+        self.grown, self.first, self.trees = grown, first, trees
+
+    def __call__(self) -> PipelineModel:
+        path = work_path(self.grown.spark, "part")
+        self.save(path)
+        return PipelineModel.load(path)
+
+    def write(self) -> GrownPart:
+        return self
+
+    def overwrite(self) -> GrownPart:
+        return self
+
+    def save(self, path: str) -> None:
+        grown, spark = self.grown, self.grown.spark
+        model, schema = grown.template()
+        model.write().overwrite().save(path)
+        stage = f"{path}/stages/{len(model.stages) - 1}_{model.stages[-1].uid}"
+        about = json.loads(spark.read.text(f"{stage}/metadata").first().value)
+        about["paramMap"].update(numTrees=self.trees, maxDepth=grown.depth, minInstancesPerNode=grown.least)
+        about["numTrees"] = self.trees
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{stage}/metadata")
+        trees = spark.read.parquet(f"{stage}/treesMetadata")
+        _, one, weight = trees.first()
+        own = json.loads(one)
+        own["paramMap"].update(maxDepth=grown.depth, minInstancesPerNode=grown.least)
+        named = [(i, json.dumps(own), weight) for i in range(self.trees)]
+        spark.createDataFrame(named, trees.schema).coalesce(1).write.mode("overwrite").parquet(f"{stage}/treesMetadata")
+        tree, first, cuts, depth, form = grown.tree(), self.first, grown.cuts, grown.depth, to_arrow_schema(schema)
+        nodes = in_tasks(spark.range(0, self.trees, 1, self.trees), lambda i: [node_rows(tree(first + i), i, cuts, depth, form)], schema)
+        nodes.write.mode("overwrite").parquet(f"{stage}/data")
+
+
+def _judged(others: dict[str, np.ndarray], label: str, weight: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Classes and weights of training rows, None as weights where all are 1."""
+    truth, weights = others[label], others[weight] if weight else None
+    if (truth < 0).any() or (truth != np.floor(truth)).any():
+        raise ValueError("classes of a forest are whole numbers from 0")
+    if weights is not None and not (weights >= 0).all():
+        raise ValueError("weights of training rows are not negative")
+    return truth.astype(np.uint8 if truth.max(initial=0) < 256 else np.int32), None if weights is None or (weights == 1).all() else weights
+
+
+def _by_row(keys: dict[str, np.ndarray], name: str, values: np.ndarray, batch: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``keys`` and of the further dimensions of ``values`` as nested lists."""
+    for at in range(0, len(values), batch):
+        part = values[at : at + batch]
+        made = pa.array(part.ravel())
+        for d in range(part.ndim - 1, 0, -1):
+            made = pa.ListArray.from_arrays(np.arange(prod(part.shape[:d]) + 1, dtype=np.int32) * part.shape[d], made)
+        yield pa.RecordBatch.from_pydict({**{k: v[at : at + batch] for k, v in keys.items()}, name: made})
+
+
+def stored_as(parts: Sequence[Callable[[], PipelineModel]]) -> list[Callable]:
+    """The same parts, but what a call gives need only be stored: grown trees are not loaded for that."""
+    return [(lambda p=p: p) if isinstance(p, GrownPart) else p for p in parts]
+
+
 def each_part(spark: SparkSession, rows: int, parts: Sequence[Callable[[], PipelineModel]], action: Callable[[int, PipelineModel], None], trees: int = 100) -> None:
     """``action`` on every part of a forest over ``rows`` rows; no more parts at a time than ``HELD_ROWS`` allows."""
     own = -(-trees // len(parts))
@@ -79,31 +201,45 @@ def each_part(spark: SparkSession, rows: int, parts: Sequence[Callable[[], Pipel
 def forest_votes(rows: DataFrame, parts: Sequence[Callable[[], PipelineModel]], train_rows: int, trees: int = 100) -> DataFrame:
     """``rows`` with the ``prediction`` of the whole forest: a part is scored when it is there, and then let go.
 
-    The votes of a part are written down by row, and added up in the order of the parts. ``rows`` should be written down.
+    The votes of a part are written down by row, and added up in the order of the parts. Grown trees vote in the tasks that
+    grow them. ``rows`` should be written down.
     """
     if len(parts) == 1:
         return parts[0]().transform(rows)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    count, numbered = rows.count(), rows.withColumn("_row", F.monotonically_increasing_id())
     path = work_path(rows.sparkSession, "votes")
+    # A task gets the whole part, so no more tasks than the rows need.
+    dealt = numbered.coalesce(max(1, -(-count // FIT_ROWS)))
 
     def score(turn: int, model: PipelineModel) -> None:
-        made = model.transform(numbered).select("_row", vector_to_array("rawPrediction").alias("raw"))
+        made = model.transform(dealt).select("_row", vector_to_array("rawPrediction").alias("raw"))
         made.write.parquet(f"{path}/turn={turn}")
 
-    each_part(rows.sparkSession, train_rows, parts, score, trees)
+    if isinstance(parts[0], GrownPart) and count * len(parts[0].grown.columns) <= SHARED_BYTES:
+        turns = parts[0].grown.votes(numbered, trees, path)
+    else:
+        turns = len(parts)
+        each_part(rows.sparkSession, train_rows, parts, score, trees)
     votes = rows.sparkSession.read.parquet(path).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("turn", "raw"))).alias("_votes"))
     every = F.transform("_votes", lambda v: v["raw"])
-    total = F.aggregate(F.slice(every, 2, len(parts)), every[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    total = F.aggregate(F.slice(every, 2, turns), every[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     guess = votes.select("_row", total.alias("_total")).select("_row", (F.array_position("_total", F.array_max("_total")) - 1).cast("double").alias("prediction"))
     return numbered.join(guess, "_row").drop("_row")
 
 
 class Search(NamedTuple):
-    """Candidates of a search, the mean accuracy of each over the folds, and the best one fitted on all rows."""
+    """Candidates of a search, the mean accuracy of each over the folds, and the best one fitted on all rows.
+
+    Trees that tasks have grown are stored, and loaded when ``best`` is read.
+    """
 
     candidates: list[dict[str, int]]
     accuracies: list[float]
-    best: PipelineModel
+    fitted: Callable[[], PipelineModel]
+
+    @property
+    def best(self) -> PipelineModel:
+        return self.fitted()
 
 
 class CutTrees(NamedTuple):
@@ -177,7 +313,8 @@ def forest_search(
     fitted at the greatest depth and cut at the lesser ones, which gives the trees of fits of their own as long as a level of
     a block's nodes goes through Spark's memory at once, and trees of other random draws beyond. The rows and their folds are
     written down, in as many partitions as they need, since a fit is some thirty jobs over them. No more fits at a time than
-    ``HELD_ROWS`` allows, but one.
+    ``HELD_ROWS`` allows, but one. Blocks of over ``WHOLE_ROWS`` rows times trees are grown by tasks that hold all rows, a few
+    trees each, as long as these take ``SHARED_BYTES``.
     """
     spark = df.sparkSession
     grid = grid or FOREST_GRID
@@ -189,7 +326,9 @@ def forest_search(
     ensure_checkpoints(spark)
     kept = kept.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
     rows = kept.count()
-    kept = kept.coalesce(max(1, -(-rows // FIT_ROWS))).persist()
+    held = rows * (folds - 1) // folds * block
+    by_tasks = held > WHOLE_ROWS and rows * len(columns) * folds <= SHARED_BYTES and set(grid) <= {"numTrees", "maxDepth", "minInstancesPerNode"}
+    kept = kept if by_tasks else kept.coalesce(max(1, -(-rows // FIT_ROWS))).persist()
     path = work_path(spark, "votes")
 
     def choice(c: dict[str, int]) -> tuple:
@@ -221,19 +360,51 @@ def forest_search(
         made.write.parquet(f"{path}/other={other}/turn={turn}/part={fold}")
         shared.destroy()
 
+    def grown(voting: int) -> None:
+        """The class shares of every row by trees of the other folds, ``voting`` trees together."""
+        known = [kept.filter(F.col("_fold") != fold) for fold in range(folds)]
+        wanted = {**{c: "float64" for c in (label, weight) if c}, "_fold": "int32", "_row": "int64"}
+        every = packed(kept, columns, [candidate_cuts(part, columns) for part in known], wanted)
+        truth, weights = _judged(every.others, label, weight)
+        shared = spark.sparkContext.broadcast((every.x, truth, weights, every.others["_fold"], every.others["_row"]))
+        classes, least = int(truth.max()) + 1, [dict(o).get("minInstancesPerNode", 1) for o in others]
+        tasks = list(product(range(folds), range(len(others)), range(max(grid["numTrees"]) // voting)))
+
+        def vote(task: int) -> Iterator[pa.RecordBatch]:
+            fold, other, turn = tasks[task]
+            every, truth, weights, folds_of, number = shared.value
+            mine = folds_of == fold
+            x, scored = every[fold][~mine], every[fold][mine]
+            own = x, truth[~mine], None if weights is None else weights[~mine]
+            total = np.zeros((len(scored), len(depths), classes))
+            for i in range(turn * voting, (turn + 1) * voting):
+                tree = grow(*own, classes, max(depths), least[other], [seed, i])
+                leaves, shares = reached(tree, scored), tree.shares()
+                for d, depth in enumerate(depths):
+                    total[:, d] += shares[ended(tree, depth)[0][leaves]]
+            keys = {"other": np.full(len(scored), other, np.int32), "turn": np.full(len(scored), turn, np.int32), "_fold": folds_of[mine], "_row": number[mine], "_label": truth[mine].astype(np.int32)}
+            yield from _by_row(keys, "votes", total)
+
+        schema = "other int, turn int, _fold int, _row long, _label int, votes array<array<double>>"
+        in_tasks(spark.range(0, len(tasks), 1, len(tasks)), vote, schema).write.parquet(path)
+        shared.destroy()
+
     turns = max(grid["numTrees"]) // block
     sizes = [(depth, trees) for depth in depths for trees in grid["numTrees"]]
-    held = rows * (folds - 1) // folds * block
+    voting = max(t for t in range(1, VOTED + 1) if block % t == 0) if by_tasks else block
     try:
-        with ThreadPool(max(1, min(parallelism, HELD_ROWS // max(1, held)))) as pool:
-            tasks = product(range(folds), range(len(others)), range(turns))
-            pool.map(inheritable_thread_target(spark)(score), list(tasks), chunksize=1)
+        if by_tasks:
+            grown(voting)
+        else:
+            with ThreadPool(max(1, min(parallelism, HELD_ROWS // max(1, held)))) as pool:
+                tasks = product(range(folds), range(len(others)), range(turns))
+                pool.map(inheritable_thread_target(spark)(score), list(tasks), chunksize=1)
         by_turn = F.transform(F.array_sort(F.collect_list(F.struct("turn", "votes"))), lambda v: v["votes"])
-        whole = spark.read.parquet(path).groupBy("other", "_fold", "_row").agg(F.first(label).alias("_label"), by_turn.alias("_votes"))
+        whole = spark.read.parquet(path).groupBy("other", "_fold", "_row").agg(F.first("_label" if by_tasks else label).alias("_label"), by_turn.alias("_votes"))
 
         def right(depth: int, trees: int) -> F.Column:
-            every = F.transform(F.slice("_votes", 1, trees // block), lambda v: v[depths.index(depth)])
-            total = F.aggregate(F.slice(every, 2, turns), every[0], lambda x, v: F.zip_with(x, v, lambda y, z: y + z))
+            every = F.transform(F.slice("_votes", 1, trees // voting), lambda v: v[depths.index(depth)])
+            total = F.aggregate(F.slice(every, 2, trees // voting), every[0], lambda x, v: F.zip_with(x, v, lambda y, z: y + z))
             return F.avg((F.array_position(total, F.array_max(total)) - 1 == F.col("_label")).cast("double"))
 
         judged = sorted(whole.groupBy("other", "_fold").agg(*[right(*size).alias(f"_{i}") for i, size in enumerate(sizes)]).collect(), key=lambda r: r["_fold"])
@@ -243,7 +414,13 @@ def forest_search(
             known = [r[f"_{i}"] for r in judged if r["other"] == other and r[f"_{i}"] is not None]  # a fold without rows says nothing
             accuracies.append(sum(known) / len(known))
         best = candidates[max(range(len(candidates)), key=accuracies.__getitem__)]
-        return Search(candidates, accuracies, fitted(kept, best["numTrees"], best))
+        if by_tasks:
+            whole_forest = Grown(kept, columns, label, weight, best.get("maxDepth", depths[0]), seed, best.get("minInstancesPerNode", 1))
+            stored = work_path(spark, "forest")
+            GrownPart(whole_forest, 0, best["numTrees"]).save(stored)
+            return Search(candidates, accuracies, partial(PipelineModel.load, stored))
+        model = fitted(kept, best["numTrees"], best)
+        return Search(candidates, accuracies, lambda: model)
     finally:
         kept.unpersist()
 

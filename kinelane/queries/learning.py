@@ -71,7 +71,8 @@ def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     """Statistics of segments of 100 samples; series are event types, the axes multiples of the value."""
     rows = event_series(spark, folder).withColumns({a: F.col("value") * (i + 1) for i, a in enumerate(AXES)})
     rows = rows.withColumn("label", F.length(SERIES) % 2)
-    made = segment_features(rows, label="label", width=100)
+    ensure_checkpoints(spark)  # written down: the bounds, the split and the weights each read them
+    made = segment_features(rows, label="label", width=100).checkpoint(eager=True)
     names = [c for c in made.columns if c.endswith(("_mean", "_std"))]
     scaled = apply_minmax(made, fit_minmax(made, names), names)
     return scaled, [f"{c}_scaled" for c in names]

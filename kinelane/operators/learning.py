@@ -186,11 +186,6 @@ def _by_row(keys: dict[str, np.ndarray], name: str, values: np.ndarray, batch: i
         yield pa.RecordBatch.from_pydict({**{k: v[at : at + batch] for k, v in keys.items()}, name: made})
 
 
-def stored_as(parts: Sequence[Callable[[], PipelineModel]]) -> list[Callable]:
-    """The same parts, but what a call gives need only be stored: grown trees are not loaded for that."""
-    return [(lambda p=p: p) if isinstance(p, GrownPart) else p for p in parts]
-
-
 def each_part(spark: SparkSession, rows: int, parts: Sequence[Callable[[], PipelineModel]], action: Callable[[int, PipelineModel], None], trees: int = 100) -> None:
     """``action`` on every part of a forest over ``rows`` rows; no more parts at a time than ``HELD_ROWS`` allows."""
     own = -(-trees // len(parts))
@@ -198,6 +193,12 @@ def each_part(spark: SparkSession, rows: int, parts: Sequence[Callable[[], Pipel
         pool.map(inheritable_thread_target(spark)(lambda turn: action(turn, parts[turn]())), range(len(parts)), chunksize=1)
 
 
+def store_parts(spark: SparkSession, rows: int, parts: Sequence[Callable[[], PipelineModel]], save: Callable[[int, PipelineModel | GrownPart], None], trees: int = 100) -> None:
+    """``save`` on every part of a forest: grown trees are not loaded for that, so ``HELD_ROWS`` does not limit them."""
+    grown = isinstance(parts[0], GrownPart)
+    each_part(spark, 0 if grown else rows, [(lambda p=p: p) for p in parts] if grown else parts, save, trees)
+
+
 def forest_votes(rows: DataFrame, parts: Sequence[Callable[[], PipelineModel]], train_rows: int, trees: int = 100) -> DataFrame:
     """``rows`` with the ``prediction`` of the whole forest: a part is scored when it is there, and then let go.
 

@@ -73,8 +73,7 @@ def test_grown_forests_are_stored_as_spark_reads_them(spark, monkeypatch, tmp_pa
     parts = learning.forest_parts(train, names, trees=20, depth=9, weight="weight")
     assert len(parts) == 3 and all(isinstance(p, learning.GrownPart) for p in parts)
     saved = [str(tmp_path / str(i)) for i in range(3)]
-    for part, path in zip(learning.stored_as(parts), saved, strict=True):
-        save_model(part(), path)
+    learning.store_parts(spark, 700, parts, lambda turn, model: save_model(model, saved[turn]), 20)
     loaded = [load_model(path) for path in saved]
     whole = learning.GrownPart(parts[0].grown, 0, 20)()
     assert whole.stages[-1].getNumTrees == 20 and whole.stages[-1].getMaxDepth() == 9 == max(t.depth for t in whole.stages[-1].trees)
@@ -130,3 +129,15 @@ def test_segments_are_cut_once(spark, data):
 
     made, names = _segments(spark, data)
     assert made.select(*names).inputFiles() == []
+
+
+def test_storing_a_grown_forest_loads_no_part(spark, data, monkeypatch):
+    from kinelane.queries import files
+
+    monkeypatch.setattr(learning, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(learning, "FITS", 2)
+    monkeypatch.setattr(learning.GrownPart, "__call__", None)
+    kinds, save = [], files.save_model
+    monkeypatch.setattr(files, "save_model", lambda model, path: kinds.append(type(model)) or save(model, path))
+    assert sum(r.votes for r in files._stored_forest(spark, data).collect()) > 0
+    assert kinds == [learning.GrownPart] * 2

@@ -141,3 +141,12 @@ def test_storing_a_grown_forest_loads_no_part(spark, data, monkeypatch):
     monkeypatch.setattr(files, "save_model", lambda model, path: kinds.append(type(model)) or save(model, path))
     assert sum(r.votes for r in files._stored_forest(spark, data).collect()) > 0
     assert kinds == [learning.GrownPart] * 2
+
+
+def test_a_grown_forest_votes_without_a_model(spark, data, monkeypatch):
+    from kinelane.queries import learning as queries
+
+    monkeypatch.setattr(learning, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(learning, "forest", None)
+    got = {r.name: r for r in queries._forest_rows(spark, data).collect()}
+    assert got["accuracy"].support == got["weighted avg"].support > 0

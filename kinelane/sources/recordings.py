@@ -9,10 +9,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinelane.operators.lanes import Lanes, number_rows, running_before
+from kinelane.operators.lanes import Lanes, join_small, number_rows, running_before
 from kinelane.schema import AXES, LENGTH, PROFILES, SEQ, SERIES, column_type, kept_columns
 
 
+WHOLE_BYTES = 4 << 20  # of a file that is read as one value
+
+
 class Scan(NamedTuple):
     """Typed rows of the good recordings, and ``(series_id, reason)`` of the others."""
 
@@ -35,33 +38,44 @@ def _name(column: str, root: str) -> Column:
     return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
-def _lines_of_small_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(series_id, line_no, line)`` without a shuffle: one file is one value."""
+def _lines_by_size(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``(series_id, line_no, line)``: files of up to ``WHOLE_BYTES`` as one value each, longer ones in many splits."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)  # sizes only, no content
+    least, most = files.agg(F.min("length"), F.max("length")).first()
+    if most is None or most <= WHOLE_BYTES:
+        return _lines_of_small_files(spark, path, pattern)
+    large = _lines_of_large_files(spark, path, pattern, WHOLE_BYTES)
+    return large if least > WHOLE_BYTES else large.unionByName(_lines_of_small_files(spark, path, pattern, WHOLE_BYTES))
+
+
+def _lines_of_small_files(spark: SparkSession, path: str, pattern: str, most: int | None = None) -> DataFrame:
+    """``(series_id, line_no, line)`` without a shuffle: one file, of ``most`` bytes if given, is one value."""
     whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    if most is not None:
+        whole = whole.filter(F.col("_metadata.file_size") <= most)
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     return whole.select(_name("_metadata.file_path", path).alias(SERIES), F.posexplode(lines).alias("line_no", "line"))
 
 
-def _lines_of_large_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def _lines_of_large_files(spark: SparkSession, path: str, pattern: str, over: int | None = None) -> DataFrame:
     """The same for files read in many splits.
 
-    Inside one split rows are read in file order, so the position is the number of rows in earlier splits
-    of the file plus the rank in its own split.
+    Inside one split rows are read in file order, so the position is the number of rows in earlier splits of the file plus
+    the distance from the split's first row. Rows do not move: the offsets, one per split, come to them. With ``over`` only
+    files of more bytes are read, whose lines end where those of small files do.
     """
-    raw = spark.read.option("pathGlobFilter", pattern).text(path)
-    rows = raw.select(
-        _name("_metadata.file_path", path).alias(SERIES),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_id"),
-        F.col("value").alias("line"),
-    ).filter(F.trim("line") != "")
-    counts = rows.groupBy(SERIES, "_split").agg(F.count("*").alias("_rows"))
-    offsets = running_before(counts, [SERIES], "_split", ["_rows"])
-    w = Window.partitionBy(SERIES, "_split").orderBy("_id")
-    ranked = rows.withColumn("_k", F.row_number().over(w))
-    return ranked.join(offsets, [SERIES, "_split"]).select(
-        SERIES, (F.col("_rows_before") + F.col("_k") - 1).alias("line_no"), "line"
-    )
+    reader, line = spark.read.option("pathGlobFilter", pattern), F.col("value")
+    if over is None:
+        raw = reader.text(path)
+    else:
+        raw = reader.text(path, lineSep="\n").filter(F.col("_metadata.file_size") > over)
+        line = F.regexp_replace("value", r"\r\z", "")
+    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), line.alias("line"))
+    rows = rows.filter(F.trim("line") != "").withColumn("_id", F.monotonically_increasing_id())
+    counts = rows.groupBy("_file", "_split").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    offsets = running_before(counts, ["_file"], "_split", ["_rows"]).join(counts.drop("_rows"), ["_file", "_split"])
+    places = offsets.select("_file", "_split", _name("_file", path).alias(SERIES), (F.col("_rows_before") - F.col("_first")).alias("_shift"))
+    return join_small(rows, places, ["_file", "_split"]).select(SERIES, (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def scan_recordings(
@@ -69,12 +83,13 @@ def scan_recordings(
 ) -> Scan:
     """A directory of recording files, one series per file that fits ``pattern``.
 
+    Files of over ``WHOLE_BYTES`` are read in splits, smaller ones as one value each; with ``large_files`` all in splits.
     The profile gives the columns by position; ``check_header`` also wants the header to name exactly
     them (always for ``P8_RAW``). A series with a wrong header, a wrong column count, a value that is not
     a number or no rows at all goes to the rejects.
     """
     names = PROFILES[profile]
-    lines = (_lines_of_large_files if large_files else _lines_of_small_files)(spark, path, pattern)
+    lines = (_lines_of_large_files if large_files else _lines_by_size)(spark, path, pattern)
     cells = F.split("line", ",", -1)
     body = lines.withColumn("_cells", cells)
     wrong_header = (F.col("line_no") == 0) & (F.trim("line") != ",".join(names))

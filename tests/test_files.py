@@ -112,3 +112,30 @@ def test_names_that_meet(spark, tmp_path, tmp_path_factory):
     both = own.recordings.withColumn("series_id", F.explode(F.array(F.lit("Flexión"), F.lit("Flexion"), F.lit("Única"))))
     write_recordings(both, out)
     assert {r.series_id for r in scan_written(spark, out, PROFILES["P8_RAW"]).collect()} == {"Flexión", "Flexion", "Unica"}
+
+
+def test_long_files_are_read_in_splits(spark, folder, tmp_path, monkeypatch):
+    """A scan of files of all sizes gives the same rows and rejects when the long ones are no single values."""
+    from kinelane.sources import recordings
+
+    whole = scan_recordings(spark, folder)
+    want, wrong = sorted(whole.recordings.collect()), sorted(whole.rejects.collect())
+    (tmp_path / "more.csv").write_text(HEADER + "\r\n\r\n" + "1,2,3,4,5,6,7,8\r\n" * 200)
+    more = [r for r in scan_recordings(spark, folder).recordings.collect() if r.series_id == "more"]
+    assert len(more) == 200
+    split = []
+    lines = recordings._lines_of_large_files
+    monkeypatch.setattr(recordings, "_lines_of_large_files", lambda *a: split.append(lines(*a)) or split[-1])
+    monkeypatch.setattr(recordings, "WHOLE_BYTES", 1200)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        scan = scan_recordings(spark, folder)
+        assert sorted(scan.recordings.collect()) == sorted([*want, *more]) and sorted(scan.rejects.collect()) == wrong
+        assert {r.series_id for r in split[0].select("series_id").distinct().collect()} == {"flexion_cuello_2rep_0", "more"}
+        small = recordings._lines_of_small_files(spark, folder, "*.csv", 1200)
+        assert "file_size" in small._jdf.queryExecution().executedPlan().toString().split("DataFilters: ")[1].split("]")[0]
+        monkeypatch.setattr(recordings, "WHOLE_BYTES", 1)
+        scan = scan_recordings(spark, folder)
+        assert sorted(scan.recordings.collect()) == sorted([*want, *more]) and sorted(scan.rejects.collect()) == wrong
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
